@@ -53,3 +53,60 @@ def op6(docs):
         n, r = len(w), len(rep)
         out.append((d, n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, r, n < 20 or 100 * r > 30 * n))
     return out
+
+
+def op9(docs):
+    import xxhash
+
+    fps = []
+    for _, text in docs:
+        w = WS.findall(lower(text))
+        runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in runs]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    distinct = sorted(set(fps))
+    root = {f: f for f in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                root[find(a)] = find(b)
+    least = {}
+    for (d, _), f in zip(docs, fps):
+        if d is not None:
+            least[find(f)] = min(d, least.get(find(f), d))
+    return [(d, f"{f:016x}", least.get(find(f))) for (d, _), f in zip(docs, fps)]
+
+
+def op5(rows, docs, ids_of):
+    """What is wrong with pieces (doc_id, start, length, crc, doc_tokens, sequence_id, offset) of docs with distinct ids."""
+    import struct
+    import zlib
+
+    ids = {d: [*ids_of(t or ""), 1] for d, t in docs}
+    by_doc, by_seq = {}, {}
+    for d, start, length, crc, total, seq, offset in rows:
+        part = ids[d][start : start + length]
+        assert total == len(ids[d]) and len(part) == length > 0
+        assert zlib.crc32(struct.pack(f"<{length}I", *part)) == crc
+        by_doc.setdefault(d, []).append((start, length))
+        by_seq.setdefault(seq, []).append((offset, length))
+    assert set(by_doc) == set(ids)
+    for d, x in by_doc.items():
+        at = 0
+        for start, length in sorted(x):
+            assert start == at
+            at += length
+        assert at == len(ids[d])
+    for x in by_seq.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by_seq) == -(-sum(map(len, ids.values())) // 2048)

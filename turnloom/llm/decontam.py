@@ -10,7 +10,7 @@ k words, and looks them up among the hashes of all runs of k words of the window
 found chunk, and nowhere else, windows are compared as strings.  All of it is local to a row:
 no document text is shuffled.  Only (row, found window) pairs are, to look up the items.
 
-The set is put into the plan while it has at most ``inline_limit`` entries; a larger one is
+The set is put into the plan while there are at most ``inline_limit`` windows; a larger one is
 joined (``_joined``), with the same result.
 
 Defined cases: a null or empty text has no words and is never hit.  Null item ids name no
@@ -27,7 +27,7 @@ from .shared import ascii_lower, stored
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_AND_REST = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
-#: Most windows or chunks that are put into the plan as a set; more are joined.
+#: Most windows that are put into the plan as a set; more are joined.
 INLINE_LIMIT = 50_000
 
 
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, inline_limit:
     sizes = {r["length"]: r["count"] for r in wins.groupBy("length").count().collect()}
     lengths = sorted(sizes)
     base = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *keep, words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    if sum(n * L for L, n in sizes.items()) <= inline_limit:
+    if sum(sizes.values()) <= inline_limit:
         sets = {L: (sorted(r[0] for r in _chunks(wins, L).collect()), sorted({r[0] for r in wins.filter(F.col("length") == L).select("window").collect()})) for L in lengths}
         base = _inline(base, sets)
     else:

@@ -21,8 +21,26 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.op6(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.op5(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.op9(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op6_quality_rules)}
+    return {f.__name__: f for f in (op3_decontamination, op5_packing, op6_quality_rules, op8_quality_classifier, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
