@@ -110,3 +110,52 @@ def op5(rows, docs, ids_of):
             at += length
         assert at <= 2048
     assert len(by_seq) == -(-sum(map(len, ids.values())) // 2048)
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def pii(text):
+    text, out = text or "", []
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    for rank, (kind, rx, ok) in enumerate((
+        ("email", EMAIL, lambda m: True),
+        ("ip", IP, lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", CARD, lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", PHONE, lambda m: 9 <= len(digits(m)) <= 15),
+    )):
+        out += [(m.start(), rank, m.end(), kind) for m in rx.finditer(text) if ok(m[0])]
+    return sorted(out)
+
+
+def op10(docs):
+    out = []
+    for d, text in docs:
+        x = pii(text)
+        n = Counter(s[3] for s in x)
+        base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in x)
+        out.append((d, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(base.encode()).hexdigest()))
+    return out
+
+
+def op7(docs):
+    """Without the model's own score."""
+    import math
+    import zlib
+
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    toks = lambda t: [*WS.findall(lower(t)), None]
+    c = Counter(x for d, t in docs if not held(d) for x in toks(t))
+    n, v = sum(c.values()), len(c)
+    out = []
+    for d, t in docs:
+        x = toks(t)
+        out.append((d, held(d), len(x), sum(c[y] > 0 for y in x), n, sum(math.log10((c[y] + 0.1) / (n + 0.1 * (v + 1))) for y in x)))
+    return out

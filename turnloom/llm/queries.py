@@ -27,6 +27,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op5(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -39,8 +45,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op5_packing, op6_quality_rules, op8_quality_classifier, op9_simhash)}
+    return {f.__name__: f for f in (op3_decontamination, op5_packing, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
