@@ -159,3 +159,40 @@ def op7(docs):
         x = toks(t)
         out.append((d, held(d), len(x), sum(c[y] > 0 for y in x), n, sum(math.log10((c[y] + 0.1) / (n + 0.1 * (v + 1))) for y in x)))
     return out
+
+
+def op4(rows):
+    """turns and loss of each conversation: rows (conv_id, turn, role, text)."""
+    hard = r"\### Assistant: </turn> ok"
+    rows = [*rows, (-7, 0, "user", hard), (-7, 1, "assistant", hard)]
+    by = {}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    out = []
+    for c, x in by.items():
+        x.sort()
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        loss = "".join(t for *_, r, t in x if r == "assistant")
+        out.append((c, len(x), sha("".join(f"{r}\n{t}\n" for *_, r, t in x)), len(loss), sha(loss)))
+    return out
+
+
+def op2(docs):
+    """(doc_id, n_sentences, n_removed) for documents with distinct ids, spans compared as words."""
+    from turnloom.llm.substrings import LEAST_SENTENCES, LEAST_WORDS, sentences
+
+    first, spans = {}, []
+    for d, text in sorted(docs):
+        s = [(text or "")[a:b].split() for a, b in sentences(text)]
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                if j - i >= LEAST_SENTENCES and sum(map(len, s[i:j])) >= LEAST_WORDS:
+                    key = tuple(map(tuple, s[i:j]))
+                    spans.append((d, i, j, key))
+                    first.setdefault(key, (d, i))
+                    break
+    gone = {}
+    for d, i, j, key in spans:
+        if first[key] != (d, i):
+            gone.setdefault(d, set()).update(range(i, j))
+    return [(d, len(sentences(t)), len(gone.get(d, ()))) for d, t in docs]

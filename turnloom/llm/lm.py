@@ -123,11 +123,10 @@ def train(pairs: np.ndarray, dim: int = DIM, noise: float = NOISE, rounds: int =
 
 
 def encoded(docs: DataFrame, head: dict[bytes, tuple[int, int]], ends: int) -> DataFrame:
-    """A row for each document: uid, doc_id, held_out, n_tokens, base (sum of log10(c + ADD)
+    """A row for each document: uid, doc_id (as a string), held_out, n_tokens, base (sum of log10(c + ADD)
     over tokens in head and the end), known, classes (16-bit numbers), rare (tokens), times;
     and rows with pairs (keys u * CLASSES + w and counts) of each task's training documents."""
     shared = docs.sparkSession.sparkContext.broadcast(head)  # HEAD entries
-    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
@@ -159,9 +158,9 @@ def encoded(docs: DataFrame, head: dict[bytes, tuple[int, int]], ends: int) -> D
         if len(keys):
             yield pd.DataFrame([(None, None, None, None, None, None, None, None, None, keys.astype("<i8").tolist(), seen[keys].tolist())], columns=names)
 
-    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, base double, known long, classes binary, rare array<binary>, times array<int>, keys array<long>, counts array<long>"
+    schema = "uid long, doc_id string, held_out boolean, n_tokens long, base double, known long, classes binary, rare array<binary>, times array<int>, keys array<long>, counts array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", held_out().alias("held_out"), "text").mapInPandas(run, schema)
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string"), held_out().alias("held_out"), "text").mapInPandas(run, schema)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -225,7 +224,7 @@ def score(docs: DataFrame) -> DataFrame:
     logs = F.col("base") + F.coalesce("log", F.lit(0.0))
     unit = float(np.log10(n_train + ADD * (n_types + 1)))
     return found.join(got, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
         (logs + of_classes("classes")).alias("score"),
     )

@@ -101,9 +101,9 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """part, before (tokens before it in its part), doc_id, tokens, ids (16-bit numbers)."""
+    """part, before (tokens before it in its part), doc_id (as a string, so that pandas keeps it
+    beside nulls), tokens, ids (16-bit numbers)."""
     arrow_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, before, last = encoder(tokenizer), TaskContext.get().partitionId(), 0, array("H", [end]).tobytes()
@@ -113,7 +113,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             yield pd.DataFrame({"part": part, "before": before + n.cumsum() - n, "doc_id": b["doc_id"], "tokens": n, "ids": ids})
             before += int(n.sum())
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"part int, before long, doc_id {kind}, tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "part int, before long, doc_id string, tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -142,8 +142,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
             yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return at.mapInPandas(run, schema)
+    schema = f"doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    return at.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def tokenizer_path() -> str:

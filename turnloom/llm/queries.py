@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.op1(table(spark, sf_dir, "pages"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.op2(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.op4(table(spark, sf_dir, "conversations"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -52,7 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op5_packing, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_pii)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_decontamination, op4_chat_formatting, op5_packing, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

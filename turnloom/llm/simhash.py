@@ -18,7 +18,6 @@ id has a null id.  Repeated rows each give a row.  Further columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import repeat
 
 import pandas as pd
@@ -58,14 +57,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (long, the unsigned value's bits)."""
     arrow_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = [fingerprint(t, shingle, seed) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": pd.Series([x - (1 << 64) if x >> 63 else x for x in fps], dtype="int64")})
+    @F.pandas_udf("long")
+    def fps(texts: pd.Series) -> pd.Series:
+        found = [fingerprint(t, shingle, seed) for t in texts]
+        return pd.Series([x - (1 << 64) if x >> 63 else x for x in found], dtype="int64")
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", fps("text").alias("fp"))
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
