@@ -141,7 +141,7 @@ def train(rows: list[tuple[int, bytes, bytes]], seed: int = 7, epochs: int = EPO
     y = np.array([r[0] for r in rows], np.float32)
     mean = float(y.mean()) if len(y) else 0.5
     prior = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
-    if not 0 < mean < 1:
+    if not len(y) or not 0 < mean < 1:
         return np.zeros(BUCKETS, np.float32), prior
     rng = np.random.default_rng(seed)
     feats = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4").astype(np.float32)) for _, b, c in rows]
@@ -173,8 +173,8 @@ def train(rows: list[tuple[int, bytes, bytes]], seed: int = 7, epochs: int = EPO
             w -= 0.05 * lr / len(pick) * (doc.T @ p)
             bias -= 0.05 * lr / len(pick) * p.sum(axis=0)
             step = np.repeat(back * (lr / len(pick)), n, axis=0) * x[:, None]
-            for d in range(DIM):
-                table[:, d] -= np.bincount(idx, step[:, d], BUCKETS).astype(np.float32)
+            own, at = np.unique(idx, return_inverse=True)
+            table[own] -= np.stack([np.bincount(at, step[:, d], len(own)) for d in range(DIM)], axis=1).astype(np.float32)
             done += 1
     return table @ (w[:, 1] - w[:, 0]), float(bias[1] - bias[0])
 
@@ -220,6 +220,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return score(docs, fit(docs, labels, sample, crc_mod(F.col("doc_id"), 5) != 0))
 
 
+def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """docs without the rows that the classifier rejects; columns stay."""
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return classify(packed, labels, sample).filter("predicted = 1").select("__row.*")
+
+
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     model = fit(docs, labels, learn=crc_mod(F.col("doc_id"), 5) != 0)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import SPACE, space_words, stored
 
 RUN = 8
-#: A host is rejected when its shrunk failure rate is above this.
+#: A host is rejected when its shrunk failure rate is above this by two deviations of its posterior.
 HOST_LIMIT = 0.5
 #: Most rejected hosts that are broadcast; more are joined with salted keys.
 BROADCAST_HOSTS = 50_000
@@ -72,11 +72,12 @@ def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     hosts = rows.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     r = F.col("failed") / F.col("n")
     got = hosts.agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("failed").alias("f"), F.avg(1 / F.col("n")).alias("inv"), F.avg(r).alias("mean"), F.var_pop(r).alias("var")
+        F.count("*").alias("k"), F.avg(1 / F.col("n")).alias("inv"), (F.sum("failed") / F.sum("n")).alias("mean"), F.var_pop(r).alias("var")
     ).collect()[0]
     a, b = prior(got["k"] or 0, got["mean"], got["var"], got["inv"])
     rate = (F.col("failed") + a) / (F.col("n") + (a + b))
-    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate > limit).alias("rejected"))
+    spread = F.sqrt(rate * (1 - rate) / (F.col("n") + (a + b + 1)))
+    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate - 2 * spread > limit).alias("rejected"))
 
 
 def prior(k: int, mean: float | None, var: float | None, inv: float | None) -> tuple[float, float]:

@@ -104,7 +104,7 @@ def removed(text: str | None, cover: list | None) -> tuple[str | None, int, int]
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text that is left, n_sentences and n_removed."""
     arrow_batches(docs.sparkSession)
-    cover = covered(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "cover")
+    cover = covered(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("cover").alias("__cover"))
     df = docs.drop("n_sentences", "n_removed").withColumn("__hash", F.xxhash64("text"))
     df = df.join(cover, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
 
@@ -112,7 +112,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     def left(texts: pd.Series, covers: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([removed(t, c) for t, c in zip(texts, covers)], columns=["text", "n_sentences", "n_removed"])
 
-    df = df.withColumn("__r", left("text", "cover"))
+    df = df.withColumn("__r", left("text", "__cover"))
     keep = [F.col("__r.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_sentences", "n_removed")]
     return df.select(*keep, "__r.n_sentences", "__r.n_removed")
 
