@@ -41,6 +41,8 @@ ROUNDS = 250
 #: Distinct tokens that a task counts before it passes them on.
 DISTINCT = 300_000
 ADD = 0.1
+#: Pairs that each class adds to its own, dealt as all tokens are: a class seen seldom predicts as all do.
+SHRINK = 100.0
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -101,6 +103,7 @@ def train(pairs: np.ndarray, dim: int = DIM, noise: float = NOISE, rounds: int =
     total = max(float(pairs.sum()), 1.0)
     n = (pairs / total).astype(np.float32)
     unigram = ((pairs.sum(axis=0) + ADD) / (total + ADD * k)).astype(np.float32)
+    n += (SHRINK / total * unigram).astype(np.float32)
     of = n.sum(axis=1, keepdims=True)
     fake = noise * of * unigram
     shift = np.log(noise * unigram)
