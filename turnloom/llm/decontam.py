@@ -163,12 +163,15 @@ def clean(docs: DataFrame, bench: DataFrame, mode: str = "documents", window: in
     rest = tuple(c for c in docs.columns if c != "doc_id")
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
     _, found = scan(packed, bench, window, inline_limit, keep=("__row",))
+    # the filter uses a column that is not deterministic, so that it isn't pushed below the arrays of
+    # words, which would be made anew for each element that is looked up
+    found = found.withColumn("bad", contaminated()).withColumn("at", F.monotonically_increasing_id())
     out = [F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
     if mode == "documents":
-        return found.filter(~contaminated()).select(*out)
+        return found.filter(~F.col("bad") & (F.col("at") >= 0)).select(*out)
     pieces = F.regexp_extract_all(F.col("__row.text"), F.lit(WORD_AND_REST), F.lit(0))
     left = F.concat(F.regexp_extract(F.col("__row.text"), "^" + SEPARATORS, 0), F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("hit", i)), ""))
-    text = F.when(contaminated(), left).otherwise(F.col("__row.text"))
+    text = F.when(F.col("bad"), left).otherwise(F.col("__row.text"))
     return found.select(*[text.alias("text") if c == "text" else x for c, x in zip(docs.columns, out)])
 
 
