@@ -73,5 +73,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_decontamination, op4_chat_formatting, op5_packing, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_pii)}
 
 
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP3 = f"""
+WITH b AS (SELECT item_id::VARCHAR AS id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT id, least(len(w), 13) AS size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS k FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT uid, i, size, array_to_string(w[i:i + size - 1], ' ') AS k FROM d, (SELECT DISTINCT size FROM win) s, unnest(range(1, len(w) - size + 2)) AS t(i)),
+f AS (SELECT DISTINCT uid, i, size, id FROM dw JOIN win USING (size, k)),
+h AS (SELECT uid, count(DISTINCT p) AS n_hit FROM f, unnest(range(i, i + size)) AS t(p) GROUP BY uid),
+n AS (SELECT uid, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM f GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (uid) LEFT JOIN n USING (uid)
+"""
+
+OP6 = """
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT uid, i, array_to_string(w[i:i + 7], ' ') AS k FROM d, unnest(range(1, len(w) - 6)) AS t(i)),
+y AS (SELECT uid, i, count(*) OVER (PARTITION BY uid, k) AS n FROM x),
+r AS (SELECT uid, count(DISTINCT p) AS n_repeat_words FROM y, unnest(range(i, i + 8)) AS t(p) WHERE n > 1 GROUP BY uid),
+l AS (SELECT uid, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT uid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY uid),
+f AS (SELECT uid, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
+  FROM d LEFT JOIN r USING (uid) LEFT JOIN l USING (uid)),
+g AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT least(greatest(sum(bad) / sum(n), 1e-3), 1 - 1e-3) AS mean, var_pop(bad / n) AS var, avg(1.0 / n) AS inv FROM g),
+s AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-6) - 1, 2.0), 1000.0) AS strength FROM m),
+v AS (SELECT source, (bad + mean * strength) / (n + strength) AS rate, n + strength + 1 AS size FROM g, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate - 2 * sqrt(rate * (1 - rate) / size) > 0.5, false) AS kept FROM f LEFT JOIN v USING (source)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For queries that SQL can express; the others are tested against plain Python."""
+    return {"op3_decontamination": OP3, "op6_quality_rules": OP6}
