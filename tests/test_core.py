@@ -308,3 +308,30 @@ def test_entry_without_llm(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_settings():
+    from turnloom.sources.config import settings
+
+    text = "a: 1  # one\nb:\n  c: 'x # y'\n  d: [1, two, 3.5]\n  e:\n    - p\n    - 2e-4\nf: true\ng:\nh: ~\n"
+    assert settings(text) == {"a": 1, "b": {"c": "x # y", "d": [1, "two", 3.5], "e": ["p", 2e-4]}, "f": True, "g": None, "h": None}
+    with pytest.raises(ValueError):
+        settings("a: 1\n   b: 2\n")
+
+
+def test_requests_seeds_and_training_files(spark, tmp_path):
+    assert ingest.request(spark, '{"conversation": [{"role": "user", "content": "x"}]}').first()["turns"][0]["content"] == "x"
+    for bad in ('{"conversation": []}', "{}", '{"conversation": [{"role": "system", "content": "x"}]}', '{"conversation": [{"role": "user", "content": ""}]}', "no"):
+        with pytest.raises(ValueError):
+            ingest.request(spark, bad)
+    rec = {"conversations": [{"from": "system", "value": "s"}, {"from": "human", "value": "<REWRITE>\nx"}, {"from": "gpt", "value": '{"rewrite_message": "y"}'}], "meta": {"domain": "music"}}
+    (tmp_path / "t.json").write_text(json.dumps(rec))
+    (tmp_path / "v.json").write_text(json.dumps({"messages": [{"role": "user", "content": "q"}], "other": 1}))
+    got = {r["split"]: [m["role"] for m in r["messages"]] for r in ingest.training(spark, str(tmp_path / "t.json"), str(tmp_path / "v.json")).collect()}
+    assert got == {"train": ["system", "user", "assistant"], "validation": ["user"]}
+    from turnloom.schema import CONVERSATIONS_RECORD
+
+    pool = ingest.seed_pool(spark.createDataFrame([(1, "z")], "id int, rewrite string"), spark.read.schema(CONVERSATIONS_RECORD).json(str(tmp_path / "t.json")))
+    assert [(r["rewrite"], r["domain"], r["source_rank"]) for r in pool.orderBy("source_rank").collect()] == [("z", None, 0), ("y", "music", 1)]
+    keys = hooks.Keys(["a", "b"])
+    assert [keys() for _ in range(3)] == ["a", "b", "a"]

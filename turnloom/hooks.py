@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from itertools import cycle
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,17 @@ def retried(call: Callable, tries: int = 3, pause: float = 1.0, failure=None, mo
     return run
 
 
+class Keys:
+    """Keys of a service in turn; safe among threads of one worker."""
+
+    def __init__(self, keys: list[str]):
+        self._keys, self._lock = cycle(keys), Lock()
+
+    def __call__(self) -> str:
+        with self._lock:
+            return next(self._keys)
+
+
 def applied(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """Rows through a hook that make() sets up once for each worker and partition."""
 

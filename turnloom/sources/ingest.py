@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..schema import SAMPLE
+from ..operators.dedup import union_all
+from ..operators.dialogue import chat_messages, seed_samples
+from ..schema import CONVERSATIONS_RECORD, SAMPLE, TURNS
 
 
 def jsonl(spark: SparkSession, path: str | list[str], schema: str, mode: str = "strict") -> DataFrame:
@@ -131,3 +133,24 @@ def recovered(df: DataFrame, text: str) -> DataFrame:
 def literal(spark: SparkSession, text: str, schema: str) -> DataFrame:
     """A JSON argument as one row."""
     return spark.range(1).select(F.from_json(F.lit(text), schema).alias("r")).select("r.*") if not schema.startswith("array") else spark.range(1).select(F.from_json(F.lit(text), schema).alias("r"))
+
+
+def request(spark: SparkSession, body: str) -> DataFrame:
+    """The turns of a request {"conversation": [...]} as one row; ValueError unless there is a turn and all have a role and a text."""
+    df = spark.range(1).select(F.from_json(F.lit(body), f"conversation {TURNS}").alias("r")).select(F.col("r.conversation").alias("turns"))
+    good = F.coalesce((F.size("turns") >= 1) & F.forall("turns", lambda t: F.coalesce(t["role"].isin("user", "bot") & (F.char_length(t["content"]) >= 1), F.lit(False))), F.lit(False))
+    if not df.select(good).first()[0]:
+        raise ValueError("a conversation needs at least one turn, each with role user or bot and a content")
+    return df
+
+
+def seed_pool(curated: DataFrame, records: DataFrame) -> DataFrame:
+    """Curated samples and, after them, benchmark records (conversations, meta) as samples."""
+    return union_all(curated, seed_samples(records))
+
+
+def training(spark: SparkSession, train: str, valid: str) -> DataFrame:
+    """Messages of both files with their split; records with messages pass as they are, conversations are renamed, other columns go."""
+    schema = f"{CONVERSATIONS_RECORD}, messages {TURNS}"
+    files = [spark.read.schema(schema).json(p).withColumn("split", F.lit(n)) for p, n in ((train, "train"), (valid, "validation"))]
+    return union_all(*files).select("split", F.coalesce("messages", chat_messages(F.col("conversations"))).alias("messages"))
