@@ -1,7 +1,7 @@
 """Shuffles, quotas, caps and splits, all by hash: reproducible, and the same in any engine.
 
-Counts of groups are small tables (a row for each stratum or bucket); rows get their rank inside
-their group only.  ``hashed`` order ends in the key, so ranks are total.
+Counts of groups are small tables (a row for each stratum or bucket, or for a band of hashes in
+it); no task ranks all rows of a group.  ``hashed`` order ends in the key, so ranks are total.
 """
 
 from __future__ import annotations
@@ -27,8 +27,22 @@ def take(df: DataFrame, n: int, key: str, salt: str) -> DataFrame:
     return shuffled(df, key, salt).limit(n)
 
 
-def rank_in(df: DataFrame, group: list[str], key: str, salt: str, name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(hashed(F.col(key), salt), key)))
+def rank_in(df: DataFrame, group: list[str], key: str, salt: str, name: str = "rn", total: str | None = None) -> DataFrame:
+    """Rows with their rank in hash order inside the group (and the group's size).  A group may hold
+    most rows: hashes are cut into 4,096 bands, rows are ranked inside group and band, and the
+    bands' sizes, summed, give what stands before each."""
+    h = hashed(F.col(key), salt)
+    df = df.withColumn("__h", h).withColumn("__band", F.shiftright("__h", 20))
+    own = Window.partitionBy(*[f"__{i}" for i in range(len(group))])
+    sizes = df.groupBy(*[F.col(c).alias(f"__{i}") for i, c in enumerate(group)], F.col("__band").alias("__b")).agg(F.count("*").alias("__size"))
+    sizes = sizes.withColumn("__before", F.sum("__size").over(own.orderBy("__b")) - F.col("__size")).withColumn("__all", F.sum("__size").over(own))
+    ranks = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*group, "__band").orderBy("__h", key)))
+    on = F.col("__band") == F.col("__b")
+    for i, c in enumerate(group):
+        on = on & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    out = ranks.join(sizes, on).withColumn(name, F.col("__rank") + F.col("__before"))
+    out = out.withColumn(total, F.col("__all")) if total else out
+    return out.drop("__h", "__band", "__b", "__size", "__before", "__all", "__rank", *[f"__{i}" for i in range(len(group))])
 
 
 def stratum(domain: Column, context_required: Column) -> Column:
@@ -39,8 +53,7 @@ def stratum(domain: Column, context_required: Column) -> Column:
 def split(df: DataFrame, by: str, key: str, salt: str = "split", valid: float = 0.1, train: float = 0.8) -> DataFrame:
     """Rows with split.  In each stratum of n: round(n * valid) are valid (1 if that is none and
     n >= 3), then round(n * train) train as far as there are rows, the rest test; half to even."""
-    df = rank_in(df, [by], key, salt)
-    df = df.join(df.groupBy(by).agg(F.count("*").alias("n")), by)
+    df = rank_in(df, [by], key, salt, total="n")
     v = F.bround(F.col("n") * valid).cast("int")
     v = F.when((v == 0) & (F.col("n") >= 3), 1).otherwise(v)
     t = F.least(F.bround(F.col("n") * train).cast("int"), F.col("n") - v)
@@ -133,6 +146,7 @@ def capped(df: DataFrame, bucket: list[str], quota: dict[tuple, int], cap: int,
     kinds = dict(df.dtypes)
     takes = df.sparkSession.createDataFrame([(*k, v) for k, v in plan.items()], ", ".join(f"`{c}` {kinds[c]}" for c in bucket) + ", take int")
     ranks = df.withColumn("rn", F.row_number().over(Window.partitionBy(*bucket).orderBy(order)))
+    ranks = ranks.filter(F.col("rn") <= max(plan.values()))  # a constant, so that each task passes on no more than that of a bucket
     return ranks.join(F.broadcast(takes), bucket).filter("rn <= take").select(*df.columns)
 
 
