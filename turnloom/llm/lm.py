@@ -82,6 +82,24 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The counts of the most frequent tokens, at most so many, by falling count: those above a
+    threshold that the sizes of bands of counts (eight to a doubling) give.  No task sees more
+    than its share; any token left out has a count of at most 1.1 * total / most."""
+    band = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(band.alias("b")).count().collect()), reverse=True)
+    got, least = 0, None
+    for b, size in sizes:
+        got += size
+        if got > most:
+            break
+        least = b
+    if least is None:
+        return {}
+    top = counts.filter(band >= least).toArrow().to_pydict()
+    return dict(sorted(((bytes(t), n) for t, n in zip(top["token"], top["n"])), key=lambda x: (-x[1], x[0])))
+
+
 class Model:
     """What scoring needs; of a size that the corpus does not change."""
 
@@ -175,9 +193,9 @@ def score(docs: DataFrame) -> DataFrame:
     ends = learn.count()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).collect()[0]
     n_train, n_types = total + ends, distinct + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "token").limit(HEAD).toArrow().to_pydict()
-    words = [bytes(x) for x in top["token"]]
-    head = {t: (1 + i if i < WORDS else 1 + WORDS + spelling(t), c) for i, (t, c) in enumerate(zip(words, top["n"]))}
+    head_n = frequent(counts, HEAD)
+    words = list(head_n)
+    head = {t: (1 + i if i < WORDS else 1 + WORDS + spelling(t), c) for i, (t, c) in enumerate(head_n.items())}
     rows = stored(encoded(docs, head, ends), "lm-rows")
 
     def by_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
