@@ -18,7 +18,8 @@ one conversation is held at a time.  A conversation is one formatted text, so on
 a large share of all rows is as long as that text is.
 
 Defined cases: a null text or role is empty; rows of one turn number are ordered by role, then
-text; repeated rows are turns of their own; null conversation ids are one conversation.
+text; repeated rows are turns of their own; null conversation ids are one conversation; without rows
+the result is empty.  Further columns are dropped.
 """
 
 from __future__ import annotations

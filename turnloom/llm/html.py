@@ -12,7 +12,8 @@ layouts (semantic elements or plain ones with telling class names, deep or flat,
 notices, adverts, forms, sidebars, reader comments and unclosed elements).
 
 Defined cases: a null or empty html gives an empty text.  An element that is never closed ends
-with its parent, an unclosed comment or script with the page.  Repeated rows each give a row.
+with its parent, an unclosed comment or script with the page.  Repeated rows each give a row,
+null ids and addresses stay.  Further columns are dropped.
 """
 
 from __future__ import annotations
