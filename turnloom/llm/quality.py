@@ -18,6 +18,7 @@ share of class 1 (0.5 without labels).  Repeated rows each give a row.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,24 +120,29 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """label, buckets, counts for rows with label and text."""
+    """label and packed feature counts for rows with label and text."""
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for label, text in zip(b["label"], b["text"]):
-                c: dict[int, int] = {}
-                for _, what in blocks([text]):
-                    for k, n in zip(*(v.tolist() for v in np.unique(what, return_counts=True))):
-                        c[k] = c.get(k, 0) + n
-                out.append((label, np.array(list(c), "<i4").tobytes(), np.array(list(c.values()), "<i4").tobytes()))
-            yield pd.DataFrame(out, columns=["label", "buckets", "counts"])
+            yield pd.DataFrame([(label, pack([what for _, what in blocks([text])])) for label, text in zip(b["label"], b["text"])], columns=["label", "features"])
 
-    return docs.select("label", "text").mapInPandas(run, "label int, buckets binary, counts binary")
+    return docs.select("label", "text").mapInPandas(run, "label int, features binary")
 
 
-def train(rows: list[tuple[int, bytes, bytes]], seed: int = 7, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
+def pack(parts: list[np.ndarray]) -> bytes:
+    """The buckets in parts and how often each occurs, small enough for thousands of texts on the driver."""
+    own, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32), return_counts=True)
+    return zlib.compress(np.diff(own, prepend=0).astype("<i4").tobytes() + n.astype("<i4").tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets and the share of each."""
+    own, n = np.frombuffer(zlib.decompress(packed), "<i4").reshape(2, -1)
+    return np.cumsum(own, dtype=np.int32), (n / max(n.sum(), 1)).astype(np.float32)
+
+
+def train(rows: list[tuple[int, bytes]], seed: int = 7, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
     """What each bucket adds to the log-odds of class 1, and the intercept."""
     y = np.array([r[0] for r in rows], np.float32)
     mean = float(y.mean()) if len(y) else 0.5
@@ -144,8 +150,6 @@ def train(rows: list[tuple[int, bytes, bytes]], seed: int = 7, epochs: int = EPO
     if not len(y) or not 0 < mean < 1:
         return np.zeros(BUCKETS, np.float32), prior
     rng = np.random.default_rng(seed)
-    feats = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4").astype(np.float32)) for _, b, c in rows]
-    feats = [(b, c / max(c.sum(), 1)) for b, c in feats]
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.array([-prior / 2, prior / 2], np.float32)
@@ -155,7 +159,8 @@ def train(rows: list[tuple[int, bytes, bytes]], seed: int = 7, epochs: int = EPO
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
-            pick = [i for i in order[k : k + BATCH] if len(feats[i][0])]
+            feats = {i: unpack(rows[i][1]) for i in order[k : k + BATCH]}  # unpacked for a batch at a time
+            pick = [i for i, f in feats.items() if len(f[0])]
             if not pick:
                 continue
             idx = np.concatenate([feats[i][0] for i in pick])
@@ -186,8 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn: Column
         ids = ids.filter(learn)
     ids = ids.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most sample rows are broadcast
-    rows = counts(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])).collect()
-    return train(sorted((r["label"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows))
+    rows = counts(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])).toArrow()
+    return train(sorted(zip(rows["label"].to_pylist(), rows["features"].to_pylist())))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
