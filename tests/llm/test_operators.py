@@ -274,6 +274,15 @@ def test_passages_are_removed_but_once(spark):
         assert got[i]["text"] == f"Own words of text {i} stand here. And text {i} ends in its own way."
 
 
+def test_hot_passages(spark):
+    passage = LINE + ". " + LINE[::-1] + "."
+    made = [(i, f"This is number {i}. " + passage) for i in range(1500)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    assert substrings.hot_spans(substrings.spans(df))
+    got = rows(substrings.op2(df), "doc_id", "n_sentences", "n_removed")
+    assert got == sorted(brute.op2(made), key=repr) and got[0][2] == 0 and all(r[2] > 0 for r in got[1:])
+
+
 def test_html(spark):
     page = (
         "<body><nav><ul><li><a href=/>Home</a></ul></nav><div class='cookie-notice'><p>We use cookies.</p></div><article><h1>A &lt;b&gt; &amp; c</h1>"

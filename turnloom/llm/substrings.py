@@ -1,15 +1,18 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (at ".", "!" or "?" before white space, and at line ends; those
-of more than 25 words also at commas, semicolons and colons).  At each sentence begins one
-span: the shortest run of at least two sentences with at least 15 words.  Spans are hashed
-(96 bits, white space made even), and the hashes meet in one global sum, which finds those
-that occur more than once and where each occurs first, by doc_id, text hash and place.
-Spans that are not first are joined back, and the sentences that they cover are removed.
-
-Only hashes and places are shuffled to find repeats: a partial sum bounds what a hot span
-sends, and the join back, whose hot keys can be split, gives one row for each span.  The
-texts are shuffled once, by document, for the removal.
+A text is cut into sentences (at ".", "!" or "?" before white space, and at line ends).  Those
+of more than 20 words are cut further, after words that end in a comma, semicolon or colon or
+whose CRC is a multiple of 8 (and after 20 words without such a one), so that a passage is cut alike wherever it stands and one of 50
+words holds whole parts whatever its sentences are.  At each sentence begins one span: the shortest run of at least two sentences with at least 15 words.  Spans are hashed
+(96 bits, white space made even), and the hashes meet in one global shuffle, where each span
+but the first of its kind, by doc_id, text hash and place, is found.  The sentences that those
+cover are removed.
+
+Only hashes and places are shuffled, once; the texts are, once, for the removal.  Hot spans,
+which would meet in one task, stay out of that shuffle: each task names those that make up
+more than 1/2,000 of its spans; of all named, those seen in more than 1/10,000 of all spans,
+10,000 at most, are summed to their first places, and all others of them are not the first.
+A span of 1/1,000 of all spans is always among them.
 
 Defined cases: a null or empty text has no sentences and stays.  Rows with one doc_id and one
 text are one document: each gets its result.  Rows with a null doc_id come first in order.
@@ -20,16 +23,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_batches, stored
 
-LEAST_WORDS, LEAST_SENTENCES, LONG = 15, 2, 25
+LEAST_WORDS, LEAST_SENTENCES, LONG, CUT = 15, 2, 20, 7
+#: A span is hot if it makes up more than this share of a task's spans, and (at most 10,000 are) of all.
+HOT_IN_TASK, HOT = 1 / 2000, 1 / 10_000
+CHUNK = 1 << 20
 _SENTENCE = re.compile(r"\S(?:[^.!?\n]++|[.!?]++(?!\s|\Z))*+(?:[.!?]++|\n|\Z)?")
-_CLAUSE = re.compile(r"\S(?:[^,;:]++|[,;:]++(?!\s|\Z))*+(?:[,;:]++|\Z)")
+_WORD = re.compile(r"\S+")
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -37,9 +44,14 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     out = []
     for m in _SENTENCE.finditer(text or ""):
         s, e = m.span()
-        if text[s:e].count(" ") >= LONG:
-            out += [(s + c.start(), s + c.end()) for c in _CLAUSE.finditer(text[s:e])]
-        else:
+        if text.count(" ", s, e) >= LONG:
+            n = 0
+            for w in _WORD.finditer(text, s, e):
+                s, n = (w.start(), 1) if s is None else (s, n + 1)
+                if n == LONG or w[0][-1] in ",;:" or not crc32(w[0].encode("utf-8", "surrogatepass")) & CUT:
+                    out.append((s, w.end()))
+                    s, n = None, 0
+        if s is not None:
             out.append((s, e))
     return out
 
@@ -65,7 +77,7 @@ def runs(text: str | None) -> list[tuple[int, int, int, int]]:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), i, m (first sentence, sentences), a, b (the span's hash)."""
+    """doc_id, h (hash of the text), r: arrays i, m (first sentence, sentences), a, b (the span's hash)."""
     arrow_batches(docs.sparkSession)
 
     @F.pandas_udf("i array<int>, m array<int>, a array<long>, b array<int>")
@@ -73,16 +85,49 @@ def spans(docs: DataFrame) -> DataFrame:
         rows = [tuple(map(list, zip(*runs(t)))) or ([], [], [], []) for t in texts]
         return pd.DataFrame(rows, columns=["i", "m", "a", "b"])
 
-    rows = stored(docs.select("doc_id", F.xxhash64("text").alias("h"), found("text").alias("r")), "spans")
-    return rows.select("doc_id", "h", F.explode(F.arrays_zip("r.i", "r.m", "r.a", "r.b")).alias("x")).select("doc_id", "h", "x.i", "x.m", "x.a", "x.b")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), found("text").alias("r"))
+
+
+def hot_spans(found: DataFrame) -> list[int]:
+    """The values of a that are too frequent to meet in one task; 1 / HOT at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        held, size = [], 0
+
+        def named():
+            own, n = np.unique(np.concatenate(held), return_counts=True)
+            keep = n > max(size * HOT_IN_TASK, 1)
+            return pd.DataFrame({"a": own[keep], "n": n[keep]})
+
+        for b in batches:
+            for x in b["a"]:
+                held.append(np.asarray(x, np.int64))
+                size += len(x)
+            if size >= CHUNK:
+                yield named()
+                held, size = [], 0
+        if size:
+            yield named()
+
+    total = found.agg(F.sum(F.size("r.a"))).first()[0] or 0
+    got = found.select("r.a").mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    return [r["a"] for r in got.filter(F.col("n") > max(total * HOT, 1000)).select("a").collect()]
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, h, cover (array of struct(i, m)): spans that are not the first of their kind."""
-    rows = spans(docs)
-    place = F.struct("doc_id", "h", "i")
-    first = rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = rows.join(first, ["a", "b"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "h", "i", "m")
+    found = stored(spans(docs), "spans")
+    hot = hot_spans(found)
+    rows = found.select("doc_id", "h", F.explode(F.arrays_zip("r.i", "r.m", "r.a", "r.b")).alias("x")).select("doc_id", "h", "x.i", "x.m", "x.a", "x.b")
+    order = Window.partitionBy("a", "b").orderBy("doc_id", "h", "i")
+    later = rows.filter(~F.col("a").isin(hot)).withColumn("rank", F.dense_rank().over(order)).filter("rank > 1").select("doc_id", "h", "i", "m")
+    if hot:
+        own, place = rows.filter(F.col("a").isin(hot)), F.struct("doc_id", "h", "i")
+        first = own.groupBy("a", "b").agg(F.min(place).alias("p")).select(F.xxhash64("a", "b", "p.doc_id", "p.h", "p.i"))
+        firsts = [r[0] for r in first.collect()]  # one for each hot span
+        later = later.unionByName(own.filter(~F.xxhash64("a", "b", "doc_id", "h", "i").isin(firsts)).select("doc_id", "h", "i", "m"))
     return later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("i", "m")).alias("cover"))
 
 
