@@ -274,6 +274,33 @@ def test_passages_are_removed_but_once(spark):
         assert got[i]["text"] == f"Own words of text {i} stand here. And text {i} ends in its own way."
 
 
+def test_passages_hold_a_span_at_any_alignment():
+    import random
+
+    def prose(n, size):
+        return [f"w{r.randrange(4000)}" + ("." if size and not k % size else "") for k in range(1, n + 1)]
+
+    r = random.Random(8)
+    shapes = [prose(51, size) for size in (0, 1, 3, 9, 15, 20, 40) for _ in range(4)]
+    shapes += [["la"] * 51, ["a", "b"] * 25 + ["a"], ["?"] * 51, prose(19, 0) + prose(20, 20) + prose(12, 0)]
+    for passage in shapes:
+        for before in range(0, 24):
+            for after in (0, 1, 5, 17):
+                hosts = [" ".join(prose(before, 0) + passage + prose(after, 0)), " ".join([*prose(7, 7), *prose(r.randrange(30), r.randrange(25)), *passage, "end", "it."])]
+                a, b = map(set, map(substrings.runs, hosts))
+                assert a & b, (passage, before, after)
+
+
+def test_passages_inside_sentences_are_removed(spark):
+    words = [f"p{i}" for i in range(58)]
+    words[18] += "."
+    words[38] += "."
+    passage = " ".join(words)
+    made = [(1, f"One {passage} more. The rest is quite its own."), (2, f"Here are two {passage} and then some other end. Nothing else.")]
+    got = {r["doc_id"]: r for r in substrings.op2(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == made[0][1] and got[2]["n_removed"] >= 2 and sum(w in got[2]["text"].split() for w in words) < 43
+
+
 def test_hot_passages(spark):
     passage = LINE + ". " + LINE[::-1] + "."
     made = [(i, f"This is number {i}. " + passage) for i in range(1500)]

@@ -1,10 +1,15 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (at ".", "!" or "?" before white space, and at line ends).  Those
-of more than 20 words are cut further, after words that end in a comma, semicolon or colon or
-whose CRC is a multiple of 8 (and after 20 words without such a one), so that a passage is cut alike wherever it stands and one of 50
-words holds whole parts whatever its sentences are.  At each sentence begins one span: the shortest run of at least two sentences with at least 15 words.  Spans are hashed
-(96 bits, white space made even), and the hashes meet in one global shuffle, where each span
+A text is cut after words that end in ".", "!" or "?", at line ends, and, where ``WINDOW``
+words in a row hold no such end, after the one of them with the least CRC (the last of equal
+ones): winnowing, so a cut depends on the ``WINDOW`` - 1 words on each side of it alone and
+two cuts are ``WINDOW`` words apart at most.  At each sentence, as the parts are called here,
+begins one span: the shortest run of at least two sentences with at least 15 words.  Of a
+passage of 49 words that stands anywhere in two texts, the cuts after its words 9 to 40 are
+the same in both (its last word may be a line end in one); the first of these is after word
+17 at the latest, and a span that begins there ends 23 words later at the latest.  So the
+passage holds a whole span, wherever it begins and ends.  Spans are hashed (96 bits, white
+space within lines made even), and the hashes meet in one global shuffle, where each span
 but the first of its kind, by doc_id, text hash and place, is found.  The sentences that those
 cover are removed.
 
@@ -23,67 +28,99 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_batches, stored
 
-LEAST_WORDS, LEAST_SENTENCES, LONG, CUT = 15, 2, 20, 7
+LEAST_WORDS, LEAST_SENTENCES, WINDOW = 15, 2, 9
 #: A span is hot if it makes up more than this share of a task's spans, and (at most 10,000 are) of all.
 HOT_IN_TASK, HOT = 1 / 2000, 1 / 10_000
 CHUNK = 1 << 20
-_SENTENCE = re.compile(r"\S(?:[^.!?\n]++|[.!?]++(?!\s|\Z))*+(?:[.!?]++|\n|\Z)?")
-_WORD = re.compile(r"\S+")
+#: Values of words that a process keeps.
+KNOWN = 200_000
+_GAP = re.compile(r"(\s+)")
+
+
+class Values(dict):
+    """What winnowing compares, by word: 0 for an end of a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        got = self[word] = 0 if word[-1] in ".!?" else 1 + (crc32(word.encode("utf-8", "surrogatepass")) >> 2)
+        return got
+
+
+_values = Values()
+
+
+def cut(text: str | None) -> tuple[list[str], list[int], list[tuple[int, int]]]:
+    """The words, and of each sentence its first word and its start and end in the text."""
+    pieces = _GAP.split(text or "")  # words at even places; the first and the last may be empty
+    first, last = 0 if pieces[0] else 2, len(pieces) if pieces[-1] else len(pieces) - 2
+    if first >= last:
+        return [], [], []
+    at = list(accumulate(map(len, pieces), initial=0))
+    words, gaps = pieces[first:last:2], pieces[first + 1 : last : 2]
+    v = np.fromiter(map(_values.__getitem__, words), np.int64, len(words))
+    v[[i for i, g in enumerate(gaps) if g != " " and "\n" in g]] = 0
+    v[-1] = 0
+    stop = v == 0
+    if len(v) >= WINDOW:
+        key = (v << 32) - np.arange(len(v))  # of equal values the last is the least
+        least = key
+        for k in (1, 2, 4, WINDOW - 8):
+            least = np.minimum(least[:-k], least[k:])
+        stop[-least & 0xFFFFFFFF] = True
+    stops = np.flatnonzero(stop).tolist()
+    heads = [0, *(e + 1 for e in stops[:-1])]
+    return words, heads, [(at[first + 2 * s], at[first + 2 * e + 1]) for s, e in zip(heads, stops)]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """Starts and ends, without white space around."""
-    out = []
-    for m in _SENTENCE.finditer(text or ""):
-        s, e = m.span()
-        if text.count(" ", s, e) >= LONG:
-            n = 0
-            for w in _WORD.finditer(text, s, e):
-                s, n = (w.start(), 1) if s is None else (s, n + 1)
-                if n == LONG or w[0][-1] in ",;:" or not crc32(w[0].encode("utf-8", "surrogatepass")) & CUT:
-                    out.append((s, w.end()))
-                    s, n = None, 0
-        if s is not None:
-            out.append((s, e))
-    return out
+    return cut(text)[2]
 
 
-def runs(text: str | None) -> list[tuple[int, int, int, int]]:
-    """(first sentence, sentences, two parts of the hash) of each span."""
-    import xxhash
-
-    parts = [text[s:e].split() for s, e in sentences(text)]
-    words = [len(p) for p in parts]
-    codes = [xxhash.xxh3_64_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts]
+def ends(words: list[int]) -> list[int]:
+    """The ends of the spans that begin at the first sentences, in order; words: of each sentence."""
     out, j, n = [], 0, 0
-    for i in range(len(parts)):
-        while j < len(parts) and (n < LEAST_WORDS or j - i < LEAST_SENTENCES):
+    for i in range(len(words)):
+        while j < len(words) and (n < LEAST_WORDS or j - i < LEAST_SENTENCES):
             n += words[j]
             j += 1
         if n < LEAST_WORDS or j - i < LEAST_SENTENCES:
             break
-        h = xxhash.xxh3_128_intdigest(b"".join(codes[i:j]))
-        out.append((i, j - i, (h & (1 << 64) - 1) - (1 << 63), (h >> 96) - (1 << 31)))
+        out.append(j)
         n -= words[i]
     return out
 
 
+def runs(text: str | None) -> list[tuple[int, int]]:
+    """Two parts of the hash of each span; the spans begin at the sentences 0, 1, 2 ..."""
+    import xxhash
+
+    words, heads, _ = cut(text)
+    parts = list(zip(heads, [*heads[1:], len(words)]))
+    codes = [xxhash.xxh3_64_digest(" ".join(words[s:e]).encode("utf-8", "surrogatepass")) for s, e in parts]
+    hashes = [xxhash.xxh3_128_intdigest(b"".join(codes[i:j])) for i, j in enumerate(ends([e - s for s, e in parts]))]
+    return [((h & (1 << 64) - 1) - (1 << 63), (h >> 96) - (1 << 31)) for h in hashes]
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), r: arrays i, m (first sentence, sentences), a, b (the span's hash)."""
+    """doc_id, h (hash of the text), r: arrays a, b (the hash of the span that begins at each sentence)."""
     arrow_batches(docs.sparkSession)
 
-    @F.pandas_udf("i array<int>, m array<int>, a array<long>, b array<int>")
+    @F.pandas_udf("a array<long>, b array<int>")
     def found(texts: pd.Series) -> pd.DataFrame:
-        rows = [tuple(map(list, zip(*runs(t)))) or ([], [], [], []) for t in texts]
-        return pd.DataFrame(rows, columns=["i", "m", "a", "b"])
+        rows = [tuple(map(list, zip(*runs(t)))) or ([], []) for t in texts]
+        return pd.DataFrame(rows, columns=["a", "b"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), found("text").alias("r"))
 
@@ -92,8 +129,6 @@ def hot_spans(found: DataFrame) -> list[int]:
     """The values of a that are too frequent to meet in one task; 1 / HOT at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         held, size = [], 0
 
         def named():
@@ -117,18 +152,18 @@ def hot_spans(found: DataFrame) -> list[int]:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, h, cover (array of struct(i, m)): spans that are not the first of their kind."""
+    """doc_id, h, cover (the sentences where spans begin): spans that are not the first of their kind."""
     found = stored(spans(docs), "spans")
     hot = hot_spans(found)
-    rows = found.select("doc_id", "h", F.explode(F.arrays_zip("r.i", "r.m", "r.a", "r.b")).alias("x")).select("doc_id", "h", "x.i", "x.m", "x.a", "x.b")
+    rows = found.select("doc_id", "h", F.posexplode(F.arrays_zip("r.a", "r.b")).alias("i", "x")).select("doc_id", "h", "i", "x.a", "x.b")
     order = Window.partitionBy("a", "b").orderBy("doc_id", "h", "i")
-    later = rows.filter(~F.col("a").isin(hot)).withColumn("rank", F.dense_rank().over(order)).filter("rank > 1").select("doc_id", "h", "i", "m")
+    later = rows.filter(~F.col("a").isin(hot)).withColumn("rank", F.dense_rank().over(order)).filter("rank > 1").select("doc_id", "h", "i")
     if hot:
         own, place = rows.filter(F.col("a").isin(hot)), F.struct("doc_id", "h", "i")
         first = own.groupBy("a", "b").agg(F.min(place).alias("p")).select(F.xxhash64("a", "b", "p.doc_id", "p.h", "p.i"))
         firsts = [r[0] for r in first.collect()]  # one for each hot span
-        later = later.unionByName(own.filter(~F.xxhash64("a", "b", "doc_id", "h", "i").isin(firsts)).select("doc_id", "h", "i", "m"))
-    return later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("i", "m")).alias("cover"))
+        later = later.unionByName(own.filter(~F.xxhash64("a", "b", "doc_id", "h", "i").isin(firsts)).select("doc_id", "h", "i"))
+    return later.groupBy("doc_id", "h").agg(F.collect_set("i").alias("cover"))
 
 
 def removed(text: str | None, cover: list | None) -> tuple[str | None, int, int]:
@@ -136,9 +171,9 @@ def removed(text: str | None, cover: list | None) -> tuple[str | None, int, int]
     at = sentences(text)
     if cover is None or not len(cover):
         return text, len(at), 0
-    gone = set()
-    for c in cover:
-        gone.update(range(c["i"], c["i"] + c["m"]))
+    gone, end = set(), ends([len(text[s:e].split()) for s, e in at])
+    for i in cover:
+        gone.update(range(i, end[i]))
     out = []
     for k, (s, _) in enumerate(at):
         if k not in gone:
