@@ -301,6 +301,14 @@ def test_passages_inside_sentences_are_removed(spark):
     assert got[1]["text"] == made[0][1] and got[2]["n_removed"] >= 2 and sum(w in got[2]["text"].split() for w in words) < 43
 
 
+def test_passages_with_other_white_space_share_spans():
+    passage = [f"p{i}" for i in range(60)]
+    for gap in ("\t", "\u00a0", "\u3000", "  "):
+        a, b = "It was said " + gap.join(passage) + " once. Yes.", "Then " + " ".join(passage[:30]) + gap + " ".join(passage[30:]) + " or so they told us. No."
+        assert set(substrings.runs(a)) & set(substrings.runs(b)), repr(gap)
+        assert substrings.runs(gap.join(passage)) == substrings.runs(" ".join(passage))
+
+
 def test_hot_passages(spark):
     passage = LINE + ". " + LINE[::-1] + "."
     made = [(i, f"This is number {i}. " + passage) for i in range(1500)]
