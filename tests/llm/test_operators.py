@@ -1,6 +1,7 @@
 """Each operator against its plain version, on small tables and on awkward rows."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -149,6 +150,18 @@ def test_language_model(spark, docs, clash, empty):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def test_language_model_knows_words_beyond_the_first_classes(spark):
+    common = " ".join(f"w{i:04d}" for i in range(1000))
+    made = [(i, common) for i in range(1, 201)] + [(300 + i, "kora miru tano. bexa miru sulo. " * 3) for i in range(20)]
+    probes = [(500 + i, t) for i, t in enumerate(("kora miru tano.", "miru kora tano.", "bexa miru sulo.", "kora miru sulo."))]
+    df = spark.createDataFrame([(i * 10 + 1, t) for i, t in made], "doc_id long, text string")
+    held = [n for n in range(10_000, 99_999) if zlib.crc32(str(n).encode()) % 10 == 0][: len(probes)]
+    all_ = df.unionByName(spark.createDataFrame([(h, t) for h, (_, t) in zip(held, probes)], df.schema))
+    got = {r["doc_id"]: r["score"] for r in lm.op7(all_.coalesce(2)).collect()}
+    right, swapped, other, mixed = (got[h] for h in held)
+    assert right > swapped + 0.01 and abs(right - mixed) > 1e-4 and abs(other - mixed) > 1e-4
+
+
 def test_model_is_normalised():
     r = np.random.default_rng(1)
     m = lm.train(r.integers(0, 50, (30, 30)).astype(float), rounds=50)

@@ -1,16 +1,19 @@
 """A log-bilinear language model, trained by noise-contrastive estimation.
 
-Tokens are words in lower case and one end for each text.  The model predicts a class from
-the class before it: the most frequent words are classes of their own, every other token
-falls into one of ``TAIL`` classes by its spelling (characters beyond ASCII, last character,
-length), and inside such a class a token has the share of its smoothed count.  So tokens of
-any vocabulary, unseen ones too, have probabilities that sum to one.
-
-All training documents count: their tokens (a distributed sum) and their pairs of successive
-classes, a matrix of classes x classes, which is all that noise-contrastive estimation of this
-model needs; its expectation over pairs and noise is maximised in numpy on the driver, at the
-same cost for any corpus.  Scores s(u, w) = q_w . r_u + b_w are normalised over all classes by
-one matrix product, and texts are scored in batches by products of gathered rows.
+Tokens are words in lower case and one end for each text.  The ``HEAD`` most frequent words and
+the end have vectors of their own, as a word and as a context; every other token falls into one
+of ``TAIL`` classes by its spelling (characters beyond ASCII, last character, length), which has
+vectors as a word has, and inside such a class a token has the share of its smoothed count.
+
+A token is predicted from the ``CONTEXT`` tokens before it: s(w, h) = q_w . sum_k c_k * r_(u_k) + b_w.
+Training starts from a small model, of the ``WORDS`` most frequent words and the classes by
+spelling, one class from the class before it: noise-contrastive estimation in expectation on
+the pair counts of all training texts, by numpy on the driver, normalised exactly.  From there
+each task goes over all tokens of its training documents with sampled noise (noise-contrastive
+estimation, unigram noise, AdaGrad by rows).  What the tasks change is merged by blocks of rows:
+rows seen seldom get the sum of the changes, rows seen often their mean, by a = n / (n + ``STEPS``)
+of each task (sent in half precision).  As is usual for models trained so, exp(s) is taken for the probability: its sum
+over words is learned to be one, and not computed (``sums`` does it, for checks).
 
 Counts of the ``HEAD`` most frequent tokens go to the workers.  Other tokens are joined with
 the counts; none of them is frequent, so that join has no hot key.
@@ -22,7 +25,8 @@ Repeated rows count and are scored each.  Further columns are dropped.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_batches, crc_mod, stored
 
-#: Classes: the end, words, and classes by spelling.
+#: Classes of the small model: the end, words, and classes by spelling.
 WORDS, TAIL = 959, 64
 CLASSES = 1 + WORDS + TAIL
 HEAD = 200_000
@@ -43,6 +47,9 @@ DISTINCT = 300_000
 ADD = 0.1
 #: Pairs that each class adds to its own, dealt as all tokens are: a class seen seldom predicts as all do.
 SHRINK = 100.0
+#: Tokens that predict; positions and noise tokens of a step; updates at which a task counts for half; rows in a block.
+CONTEXT, STEP, SAMPLES, STEPS, BLOCK = 3, 4096, 64, 20.0, 1024
+RATE, SQUARE = 0.05, 1.0
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -101,7 +108,7 @@ def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 
 class Model:
-    """What scoring needs; of a size that the corpus does not change."""
+    """The small model; of a size that the corpus does not change."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, bias: np.ndarray):
         self.left, self.right, self.bias = left, right, bias
@@ -143,18 +150,156 @@ def train(pairs: np.ndarray, dim: int = DIM, noise: float = NOISE, rounds: int =
     return Model(*w)
 
 
-def encoded(docs: DataFrame, head: dict[bytes, tuple[int, int]], ends: int) -> DataFrame:
+def small_classes(words: Iterable[bytes]) -> np.ndarray:
+    """The small model's class of each number of the large one."""
+    own = [1 + i if i < WORDS else 1 + WORDS + spelling(t) for i, t in enumerate(words)]
+    return np.array([0, *own, *range(1 + WORDS, CLASSES)], np.int64)
+
+
+class Large:
+    """rows: vectors of the v contexts, the CONTEXT weights of places, vectors of the v words.  The last
+    value of a word is its bias, the one before meets what the small model divides by.  noise: of words."""
+
+    def __init__(self, small: Model, of: np.ndarray, n: np.ndarray):
+        self.v, n = len(of), n + ADD
+        self.noise = (n / n.sum()).astype(np.float32)
+        share = n / np.bincount(of, n, len(small.bias))[of]
+        one = np.ones((self.v, 1), np.float32)
+        left = np.hstack([small.left[of], -small.log_sum[of][:, None], 0 * one])
+        places = np.zeros((CONTEXT, left.shape[1]))
+        places[0] = 1
+        right = np.hstack([small.right[of], one, (small.bias[of] + np.log(share))[:, None]])
+        self.rows = np.vstack([left, places, right]).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        """Vectors go to the workers in half precision, biases in single."""
+        return self.__dict__ | {"rows": (self.rows[:, :-2].astype(np.float16), self.rows[:, -2:])}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"rows": np.hstack([state["rows"][0].astype(np.float32), state["rows"][1]])})
+
+    def context(self, before: np.ndarray) -> np.ndarray:
+        h = sum(self.rows[u] * self.rows[self.v + k] for k, u in enumerate(before))
+        h[:, -1] = 1
+        return h
+
+    def log10(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """before: CONTEXT rows of numbers, the nearest first."""
+        s = np.einsum("ij,ij->i", self.context(before), self.rows[self.v + CONTEXT + after])
+        return s.astype(np.float64) / np.log(10)
+
+    def sums(self, before: np.ndarray) -> np.ndarray:
+        return np.exp(self.context(before) @ self.rows[self.v + CONTEXT :].T).sum(axis=1)
+
+
+def windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens before each token of texts, nearest first (ends before a text), and the tokens."""
+    after = np.concatenate(seqs)
+    before = [np.concatenate([x for q in seqs for x in (np.zeros(min(k, len(q)), np.int64), q[:-k])]) for k in range(1, CONTEXT + 1)]
+    return np.stack(before), after
+
+
+class Learner:
+    """Steps of sampled noise-contrastive estimation on a copy of a large model."""
+
+    def __init__(self, model: Large, seed: int):
+        self.m = copy(model)
+        self.m.rows = model.rows.copy()
+        self.start, self.rng = model.rows, np.random.default_rng(seed)
+        self.square = np.full(len(model.rows), SQUARE, np.float32)
+        self.times = np.zeros(len(model.rows), np.float32)
+        self.shift = np.log(NOISE * model.noise)
+        self.upto = np.cumsum(model.noise, dtype=np.float64)
+
+    def step(self, before: np.ndarray, after: np.ndarray) -> None:
+        m, v, p = self.m, self.m.v, self.m.rows
+        fake = np.minimum(np.searchsorted(self.upto, self.rng.random(SAMPLES) * self.upto[-1], "right"), v - 1)
+        left = p[before]
+        h = np.einsum("kij,kj->ij", left, p[v : v + CONTEXT])
+        h[:, -1] = 1
+        q, qf = p[v + CONTEXT + after], p[v + CONTEXT + fake]
+        d = np.clip(np.einsum("ij,ij->i", h, q) - self.shift[after], -30, 30)
+        g = -1 / (1 + np.exp(d))
+        e = h @ qf.T
+        e -= self.shift[fake]
+        np.clip(e, -30, 30, out=e)
+        e = (NOISE / SAMPLES) / (1 + np.exp(-e))
+        gh = g[:, None] * q + e @ qf
+        gh[:, -1] = 0
+        own = gh[None] * p[v : v + CONTEXT][:, None]
+        self.update(np.concatenate([before.ravel(), v + CONTEXT + after, v + CONTEXT + fake]), np.vstack([*own, g[:, None] * h, e.T @ h]))
+        self.update(np.arange(v, v + CONTEXT), np.einsum("ij,kij->kj", gh, left))
+
+    def update(self, at: np.ndarray, g: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        rows, first = np.unique(at[order], return_index=True)
+        g = np.add.reduceat(g[order], first, axis=0)
+        self.square[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.m.rows[rows] -= RATE * g / np.sqrt(self.square[rows])[:, None]
+        self.times[rows] += 1
+
+
+def trained(model: Large, rows: DataFrame) -> Large:
+    """The model after sampled noise-contrastive estimation on all texts of rows (ids)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    width, n_rows = model.rows.shape[1], len(model.rows)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        own = None
+        for b in batches:
+            if not len(b):
+                continue
+            own = own or Learner(shared.value, TaskContext.get().partitionId())
+            before, after = windows([np.frombuffer(x, "<u4").astype(np.int64) for x in b["ids"]])
+            order = own.rng.permutation(len(after))
+            for i in range(0, len(order), STEP):
+                own.step(before[:, order[i : i + STEP]], after[order[i : i + STEP]])
+        if own:
+            a = own.times / (own.times + STEPS)
+            for i in range(0, n_rows, BLOCK):
+                at = np.flatnonzero(own.times[i : i + BLOCK]).astype("<i4")
+                if len(at):
+                    yield pd.DataFrame({"block": [i // BLOCK], "at": [at.tobytes()], "a": [a[i + at].tobytes()], "d": [(own.m.rows[i + at] - own.start[i + at]).astype(np.float16).tobytes()]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for block, at, a, d in zip(b["block"], b["at"], b["a"], b["d"]):
+                x = held.setdefault(block, [np.zeros((BLOCK, width)), np.zeros(BLOCK), np.zeros(BLOCK)])
+                at, a = np.frombuffer(at, "<i4"), np.frombuffer(a, np.float32)
+                x[0][at] += np.frombuffer(d, np.float16).reshape(-1, width)
+                x[1][at] += a
+                x[2][at] += np.log1p(-a)
+        for block, (d, a, log) in held.items():
+            d *= (-np.expm1(log) / np.maximum(a, 1e-9))[:, None]
+            yield pd.DataFrame({"block": [block], "d": [d.astype(np.float32).tobytes()]})
+
+    texts = rows.select("ids")  # a learner passes on a row for each token that it has seen; so they are fewer than tasks
+    texts = texts.coalesce(max(texts.rdd.getNumPartitions() // 2, rows.sparkSession.sparkContext.defaultParallelism))
+    parts = texts.mapInPandas(learn, "block int, at binary, a binary, d binary")
+    out = copy(model)
+    out.rows = model.rows.copy()
+    for r in parts.repartition("block").mapInPandas(merge, "block int, d binary").toLocalIterator():  # the model's size
+        d = np.frombuffer(r["d"], np.float32).reshape(-1, width)
+        i = r["block"] * BLOCK
+        out.rows[i : i + BLOCK] += d[: n_rows - i]
+    shared.destroy()
+    return out
+
+
+def encoded(docs: DataFrame, shared, ends: int) -> DataFrame:
     """A row for each document: uid, doc_id (as a string), held_out, n_tokens, base (sum of log10(c + ADD)
-    over tokens in head and the end), known, classes (16-bit numbers), rare (tokens), times;
-    and rows with pairs (keys u * CLASSES + w and counts) of each task's training documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)  # HEAD entries
+    over tokens in head and the end), known, ids (0 the end, then the words of shared, then the classes by
+    spelling; 32-bit numbers), rare (tokens), times; and rows with pairs (keys u * CLASSES + w and counts)
+    of the small model's classes in each task's training documents.  shared: counts of HEAD words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         place = {t: i for i, t in enumerate(table)}
-        cls = np.array([c for c, _ in table.values()] + [0], np.int64)
-        log = np.array([np.log10(c + ADD) for _, c in table.values()] + [np.log10(ends + ADD)])
-        found: dict[int, np.ndarray] = {}
+        of = small_classes(table)
+        log = np.log10(np.array([*table.values(), ends]) + ADD)
         seen = np.zeros(CLASSES * CLASSES, np.int64)
         for b in batches:
             out = []
@@ -162,24 +307,25 @@ def encoded(docs: DataFrame, head: dict[bytes, tuple[int, int]], ends: int) -> D
                 words = tokens(text)
                 at = [place.get(x) for x in words]
                 rare = Counter(x for x, i in zip(words, at) if i is None)
-                at = np.array([-1 if i is None else i for i in at] + [len(cls) - 1], np.int64)
-                seq = cls[at]
+                at = np.array([-1 if i is None else i for i in at] + [len(table)], np.int64)
+                seq = np.append(at[:-1] + 1, 0)
                 if rare:
                     gaps = np.flatnonzero(at == -1)
-                    seq[gaps] = [1 + WORDS + spelling(words[i]) for i in gaps.tolist()]
+                    seq[gaps] = [1 + len(table) + spelling(words[i]) for i in gaps.tolist()]
                     base = log[at[at >= 0]].sum()
                 else:
                     base = log[at].sum()
                 if not held:
-                    np.add.at(seen, np.concatenate(([0], seq[:-1])) * CLASSES + seq, 1)
+                    small = of[seq]
+                    np.add.at(seen, np.concatenate(([0], small[:-1])) * CLASSES + small, 1)
                 known = len(at) - sum(rare.values()) - (ends == 0)
-                out.append((uid, doc, held, len(at), base, known, seq.astype("<u2").tobytes(), list(rare), list(rare.values()), None, None))
+                out.append((uid, doc, held, len(at), base, known, seq.astype("<u4").tobytes(), list(rare), list(rare.values()), None, None))
             yield pd.DataFrame(out, columns=names)
         keys = np.flatnonzero(seen)
         if len(keys):
             yield pd.DataFrame([(None, None, None, None, None, None, None, None, None, keys.astype("<i8").tolist(), seen[keys].tolist())], columns=names)
 
-    schema = "uid long, doc_id string, held_out boolean, n_tokens long, base double, known long, classes binary, rare array<binary>, times array<int>, keys array<long>, counts array<long>"
+    schema = "uid long, doc_id string, held_out boolean, n_tokens long, base double, known long, ids binary, rare array<binary>, times array<int>, keys array<long>, counts array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string"), held_out().alias("held_out"), "text").mapInPandas(run, schema)
 
@@ -193,32 +339,26 @@ def score(docs: DataFrame) -> DataFrame:
     ends = learn.count()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).collect()[0]
     n_train, n_types = total + ends, distinct + (ends > 0)
-    head_n = frequent(counts, HEAD)
-    words = list(head_n)
-    head = {t: (1 + i if i < WORDS else 1 + WORDS + spelling(t), c) for i, (t, c) in enumerate(head_n.items())}
-    rows = stored(encoded(docs, head, ends), "lm-rows")
+    head = frequent(counts, HEAD)
+    words = spark.sparkContext.broadcast(head)  # HEAD entries
+    rows = stored(encoded(docs, words, ends), "lm-rows")
 
     def by_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = set(words[:WORDS])
         for b in batches:
-            b = b[[bytes(t) not in own for t in b["token"]]]
-            yield pd.DataFrame({"cls": [1 + WORDS + spelling(bytes(t)) for t in b["token"]], "n": b["n"]}).astype("int64")
-
-    sums = counts.mapInPandas(by_class, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    inside = np.zeros(CLASSES)
-    inside[1 + WORDS :] = np.log10(ADD)
-    for r in sums:  # one for each class by spelling
-        inside[r["cls"]] = np.log10(r["n"] + ADD * (r["v"] + 1))
+            b = b[[bytes(t) not in words.value for t in b["token"]]]
+            yield pd.DataFrame({"cls": [spelling(bytes(t)) for t in b["token"]], "n": b["n"]}).astype("int64")
+
+    inside, tail = np.full(TAIL, np.log10(ADD)), np.zeros(TAIL)
+    for r in counts.mapInPandas(by_class, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        inside[r["cls"]], tail[r["cls"]] = np.log10(r["n"] + ADD * (r["v"] + 1)), r["n"]
     pairs = rows.filter("keys is not null").select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
     pairs = pairs.groupBy("x.keys").agg(F.sum("x.counts").alias("n")).toArrow()  # CLASSES**2 rows at most
     matrix = np.zeros(CLASSES * CLASSES)
     matrix[pairs["keys"].to_numpy()] = pairs["n"].to_numpy()
-    model = train(matrix.reshape(CLASSES, CLASSES))
-    shared = spark.sparkContext.broadcast((model, inside))
-    own_log = np.zeros(CLASSES)  # log10(c + ADD) of what the base counts for tokens that are classes of their own
-    own_log[0] = np.log10(ends + ADD)
-    for t in words[:WORDS]:
-        own_log[head[t][0]] = np.log10(head[t][1] + ADD)
+    small = train(matrix.reshape(CLASSES, CLASSES))
+    start = Large(small, small_classes(head), np.array([ends, *head.values(), *tail], np.float64))
+    model = trained(start, rows.filter("uid is not null and not held_out"))
+    shared = spark.sparkContext.broadcast(model)
 
     found = rows.filter("uid is not null")
     rare = found.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
@@ -230,24 +370,26 @@ def score(docs: DataFrame) -> DataFrame:
     )
 
     @F.pandas_udf("double")
-    def of_classes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        """log10 of the classes' probabilities, less what the base's counts have for words that are
-        classes and less the sums inside classes: what is to be added to the sum of log10(c + ADD)."""
-        model, inside = shared.value
+    def of_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """log10 of the model's probabilities, less the sums inside classes by spelling."""
+        model = shared.value
+        less = np.concatenate([np.zeros(model.v - TAIL), inside])
         for b in batches:
+            seqs = [np.frombuffer(x, "<u4").astype(np.int64) for x in b]
             out = []
-            for x in b:
-                seq = np.frombuffer(x, "<u2").astype(np.int64)
-                before = np.concatenate(([0], seq[:-1]))
-                out.append(float(model.log10(before, seq).sum() - inside[seq].sum() - own_log[seq].sum()))
-            yield pd.Series(out)
+            for i in range(0, len(seqs), 50):
+                part = seqs[i : i + 50]
+                before, after = windows(part)
+                logs = model.log10(before, after) - less[after]
+                out.append(np.add.reduceat(logs, np.cumsum([0, *map(len, part[:-1])])))
+            yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     logs = F.col("base") + F.coalesce("log", F.lit(0.0))
     unit = float(np.log10(n_train + ADD * (n_types + 1)))
     return found.join(got, "uid", "left").select(
         F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        (logs + of_classes("classes")).alias("score"),
+        (F.coalesce("log", F.lit(0.0)) + of_ids("ids")).alias("score"),
     )
 
 
