@@ -238,6 +238,12 @@ def test_pii_adds_secrets_and_redacts(spark, docs, clash):
     assert got[11] == 'password=[SECRET] and token = "[SECRET]"'
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    made = [(1, "token=" + "aB3." * 75 + " end"), (2, "password=hunter2secret")]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {1: "token=[SECRET] end", 2: "password=[SECRET]"}
+
+
 def test_pii_on_random_texts(spark):
     import random
 

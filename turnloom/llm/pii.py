@@ -34,7 +34,7 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "digits and contains(text, '.')"),
     "card": (r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", "digits"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "digits and contains(text, '+')"),
-    "secret": (r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?[a-z0-9_./+~-]{6,200}""", "contains(text, '=') or contains(text, ':')"),
+    "secret": (r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?[a-z0-9_./+~-]{6,}+""", "contains(text, '=') or contains(text, ':')"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digits and contains(text, '-')"),
     "tel": (r"(?<![0-9.+-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", "digits"),
 }
