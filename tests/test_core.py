@@ -335,3 +335,16 @@ def test_requests_seeds_and_training_files(spark, tmp_path):
     assert [(r["rewrite"], r["domain"], r["source_rank"]) for r in pool.orderBy("source_rank").collect()] == [("z", None, 0), ("y", "music", 1)]
     keys = hooks.Keys(["a", "b"])
     assert [keys() for _ in range(3)] == ["a", "b", "a"]
+
+
+def test_exact_decontamination_of_odd_items(spark, tmp_path):
+    from turnloom.plans.queries import q22_decontam_exact
+
+    docs = [(1, "say abc and abcdefghijklmnopqrst here"), (2, "a \\E b \\Q c"), (3, None), (4, ""), (5, "ab")]
+    items = [(1, "abc"), (2, "abcdefghijklmnopqrst"), (3, "a \\E b"), (4, ""), (5, None), (6, "\\Q c"), (7, "ab"), (8, "\\E")]
+    for keep in (range(1, 9), (1, 2, 7), (3, 5, 8), (5,)):
+        some = [x for x in items if x[0] in keep]
+        spark.createDataFrame(docs, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(some, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        got = sorted(tuple(r) for r in q22_decontam_exact(spark, str(tmp_path)).collect())
+        assert got == sorted((i, k) for i, t in docs for k, x in some if t is not None and x is not None and x in t)
