@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnloom import hooks
 from turnloom.functions import text as X
-from turnloom.operators import dedup, dialogue, evaluate, sample, validate
+from turnloom.operators import contain, dedup, dialogue, evaluate, sample, validate
 from turnloom.plans import prompts, templates
 from turnloom.schema import SAMPLE, TURNS
 from turnloom.sources import ingest, sinks
@@ -337,14 +337,30 @@ def test_requests_seeds_and_training_files(spark, tmp_path):
     assert [keys() for _ in range(3)] == ["a", "b", "a"]
 
 
-def test_exact_decontamination_of_odd_items(spark, tmp_path):
-    from turnloom.plans.queries import q22_decontam_exact
-
-    docs = [(1, "say abc and abcdefghijklmnopqrst here"), (2, "a \\E b \\Q c"), (3, None), (4, ""), (5, "ab")]
-    items = [(1, "abc"), (2, "abcdefghijklmnopqrst"), (3, "a \\E b"), (4, ""), (5, None), (6, "\\Q c"), (7, "ab"), (8, "\\E")]
-    for keep in (range(1, 9), (1, 2, 7), (3, 5, 8), (5,)):
-        some = [x for x in items if x[0] in keep]
-        spark.createDataFrame(docs, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
-        spark.createDataFrame(some, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
-        got = sorted(tuple(r) for r in q22_decontam_exact(spark, str(tmp_path)).collect())
-        assert got == sorted((i, k) for i, t in docs for k, x in some if t is not None and x is not None and x in t)
+def test_exact_decontamination_of_odd_items(spark):
+    docs = [
+        (1, "say abc and abcdefghijklmnopqrst here"), (2, "a \\E b \\Q c"), (3, None), (4, ""), (5, "ab"), (5, "ab"), (None, "x \t\n y  one two three four five six seven eight nine ten z"),
+        (6, "zz abcdefghijklmnop qq more of it"), (7, "one two three four five six seven eight nine tenth"), (8, "é\u00a0ü one two"), (9, "\n"), (10, "xone two three four five"),
+    ]
+    items = [
+        (1, "abc"), (2, "abcdefghijklmnopqrst"), (3, "a \\E b"), (4, ""), (5, None), (6, "\\Q c"), (7, "ab"), (8, "\\E"), (9, "abcdefghijklmnop qq"), (10, "abcdef"), (11, "abcdefgh"), (12, " "), (13, "\t\n"),
+        (14, "one two three four five six seven eight nine ten"), (15, "one two three four"), (15, "two three"), (None, " two "), (16, "o"), (17, "é\u00a0ü"), (18, "\n"), (19, "e two three f"), (20, "three four five six seven eight"),
+    ]
+    want = sorted({(i, k) for i, t in docs for k, x in items if t is not None and x is not None and x in t}, key=repr)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (contain.BROADCAST_BYTES, -1):
+        assert sorted(map(tuple, contain.contained(d, b, "doc_id", "item_id", limit=limit).collect()), key=repr) == want
+        assert contain.contained(d, b.limit(0), "doc_id", "item_id", limit=limit).count() == 0
+    for k in range(len(items)):
+        own = [x for x in items[k : k + 1] if x[1] is not None]
+        got = contain.contained(d.coalesce(1), spark.createDataFrame(own, "item_id long, text string").coalesce(1), "doc_id", "item_id")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted({(i, n) for i, t in docs for n, x in own if t is not None and x in t}, key=repr)
+
+
+def test_exact_decontamination_at_any_place(spark):
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice(["a", "bc", "d.", "é", "", "fgh"]) for _ in range(r.randint(0, 60)))) for i in range(120)]
+    items = [(k, t[x : x + r.choice([1, 2, 5, 9, 20, 60])]) for k, (_, t) in enumerate(docs) for x in [r.randrange(len(t) + 1)]]
+    want = sorted((i, k) for i, t in docs for k, x in items if x in t)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, contain.contained(d, b, "doc_id", "item_id").collect())) == want

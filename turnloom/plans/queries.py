@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import hooks
 from ..functions import text as X
-from ..operators import dedup, dialogue, evaluate, sample, validate
+from ..operators import contain, dedup, dialogue, evaluate, sample, validate
 from ..schema import PATTERNS, SYSTEM_PROMPT
 from ..sources import ingest
 from ..streaming import resume
@@ -347,19 +347,7 @@ def q21_append_anti(spark, sf):
 
 @query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q22_decontam_exact(spark, sf):
-    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    key = lambda c: F.substring(c, 1, 16)  # noqa: E731  the first 16 characters of an item stand in a text that contains it
-    b = b.filter("text is not null")
-    keys = [r[0] for r in b.select(key("text")).distinct().limit(100_001).collect()]
-    if len(keys) > 100_000:
-        raise ValueError("the held-out set is too large to look up in the plan")
-    by_length = {}  # of keys of one length, one at most stands at a place
-    for k in keys:
-        by_length.setdefault(len(k), []).append("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E")
-    found = [F.array(F.lit("")) if not n else F.regexp_extract_all("text", F.lit(f"(?=({'|'.join(some)}))"), F.lit(1)) for n, some in by_length.items()]
-    hit = d.filter("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *found))).alias("k"))
-    items = b.select("item_id", F.col("text").alias("item"), key("text").alias("k"))
-    return hit.join(items, "k").filter(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    return contain.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
 # --- sampling ------------------------------------------------------------------------------
