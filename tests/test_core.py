@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,7 @@ BENCH = [
     ("not_ending_user", [U("a"), B("b"), U("c"), B("d")], "Phát bài.", "music", "correction", None),
     ("final_user_too_long", [U("a"), B("b"), U("c " * 26)], "Phát bài.", "music", "correction", None),
     ("rewrite_equals_final_turn", [U("a"), B("b"), U("Mở, nhạc!")], "mở nhạc", "music", "correction", None),
+    ("rewrite_equals_final_turn", [U("a"), B("b"), U("Mở nhạc ấy")], unicodedata.normalize("NFD", "mở nhạc ấy"), "music", "correction", None),
     ("hallucinated_numbers", GOOD, "Phát bài 8.", "music", "correction", None),
     ("leaked_bot_number", GOOD, "Phát bài 7.", "music", "irrelevant_context", None),
     ("negation_marker_missing", GOOD, "Phát bài 7.", "music", "negation", None),
@@ -103,6 +105,7 @@ BULK = [
     ("wrong_user_turns", GOOD, "Phát bài 7.", "music", True, 3),
     ("hallucinated_number", GOOD, "Phát bài 8.", "music", True, 2),
     ("ctx_but_identical", [U("a"), B("b"), U("mở nhạc.")], "Mở nhạc", "music", True, 2),
+    ("ctx_but_identical", [U("a"), B("b"), U(unicodedata.normalize("NFD", "mở nhạc."))], "Mở nhạc", "music", True, 2),
     (None, [U("a"), B("b"), U("mở nhạc.")], "Mở nhạc", "music", False, 2),
     ("noctx_pulled_number", GOOD, "Phát bài 7.", "music", False, 2),
 ]
@@ -135,11 +138,12 @@ def test_variants(spark):
     assert [(r["i"], r["want"]) for r in got] == [(r["i"], r["got"]) for r in got]
 
 
-def test_validators_stay_native(spark):
+def test_validators_go_to_python_once_for_nfc(spark):
     df = spark.createDataFrame([(1, *BENCH[0][1:])], f"i int, turns {TURNS}, rewrite string, domain string, pattern string, ctx boolean")
     c = F.col
     plan = df.select(validate.ingest_reason(c("turns"), c("rewrite"), c("domain"), c("pattern"), c("ctx")))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "ArrowEval" not in plan
+    physical = plan[plan.index("== Physical Plan") :]
+    assert physical.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in physical
 
 
 def test_assembly_is_one_exchange(spark):
@@ -194,6 +198,9 @@ def test_dedup(spark):
     assert sorted(map(tuple, dedup.first_wins(once, ["k"], ["id"]).collect()), key=repr) == sorted(map(tuple, once.collect()), key=repr)
     new = spark.createDataFrame([(9, "b", "q"), (10, "c", "q"), (11, "c", "r")], "id int, k string, v string")
     assert sorted(r["id"] for r in dedup.append(df, new, ["k"], ["id"]).collect()) == [1, 2, 3, 4, 5, 10]
+    nulls = spark.createDataFrame([(20, None, "q"), (21, None, "r"), (22, "d", "r")], "id int, k string, v string")
+    assert sorted(r["id"] for r in dedup.append(df, nulls, ["k"], ["id"]).collect()) == [1, 2, 3, 4, 5, 22]
+    assert {(r["k"], r["n"], r["v"]) for r in dedup.sized(df, ["k"], ["id"], "v").collect()} == {("a", 2, "x"), ("b", 1, "z"), (None, 2, "n")}
     assert [r["source_rank"] for r in dedup.union_all(df.limit(1), new.limit(1)).orderBy("source_rank").collect()] == [0, 1]
 
 
@@ -207,6 +214,10 @@ def test_evaluation(spark):
 
 def test_templates(spark):
     n = {r["gen_id"]: r["count"] for r in templates.corpus(spark).groupBy("gen_id").count().collect()}
+    with pytest.raises(ValueError):
+        templates.corpus(spark, ("T99",))
+    said = templates.corpus(spark, ("T53",)).selectExpr("regexp_extract(blob, 'mở bài ([^\n]*)', 1) as a", "regexp_extract(blob, 'sang bài ([^\n]*)', 1) as b").collect()
+    assert len(said) == 36 and all(r["a"] and r["b"] and r["a"] != r["b"] for r in said)
     assert len(n) == 61 and sum(v for k, v in n.items() if k in templates.SINGLE) == 442 and sum(n.values()) == 442 + 1747
     df = templates.corpus(spark, templates.SINGLE)
     assert df.filter("blob rlike '[{}]' or rewrite rlike '[{}]' or blob is null or rewrite is null").count() == 0
@@ -226,7 +237,7 @@ def test_json_lines(spark, tmp_path):
     assert sorted(r["rewrite"] for r in ingest.jsonl(spark, str(p), SAMPLE, "tolerant").collect()) == ["b", "é"]
     with pytest.raises(Exception):
         ingest.jsonl(spark, str(p), SAMPLE).collect()
-    assert ingest.existing(spark, [str(p), str(p) + "x"]) == [str(p)] and ingest.first_existing(None, [str(tmp_path / "**" / "*.jsonl")], []) == str(p)
+    assert ingest.existing(spark, [str(p), str(p) + "x"]) == [str(p)] and ingest.first_existing(spark, None, [str(tmp_path / "**" / "*.jsonl")], []) == str(p)
     assert ingest.whole_files(spark, [str(p)]).count() == 1
     assert ingest.literal(spark, '[{"role": "user", "content": "x"}]', TURNS).first()["r"][0]["content"] == "x"
 
@@ -236,6 +247,7 @@ PAYLOADS = {
     '[{"rewrite": "a"}, "x"]': ["a"],
     '  {"rewrite": "a"} ': ["a"],
     '{"rewrite": "a"},\nnope\n\n{"rewrite": "b"}': ["a", "b"],
+    '{"rewrite": "a"}\n[{"rewrite": "no"}]\n{"samples": [{"rewrite": "b"}]}': ["a", "b"],
     '{"samples": [{"rewrite": "a"}]}\n{"rewrite": "b"},': ["a", "b"],
     'Text\n```json\n{"samples": [{"rewrite": "a"}]}\n```\n```{"rewrite": "no"}```': ["a"],
     "": [],
@@ -252,12 +264,12 @@ def test_payloads(spark, text):
 
 def test_recovery(spark):
     whole = json.dumps({"note": "[{", "samples": [{"rewrite": 'a } " \\', "turns": []}, {"rewrite": "b"}, {"rewrite": "c"}]})
-    texts = [whole, whole[:-12], '[{"rewrite": "x"}, {"rew', '{"samples": [{"a": 1,}, {"rewrite": "y"}', "nothing", None]
+    texts = [whole, whole[:-12], '[{"rewrite": "x"}, {"rew', '{"samples": [{"a": 1,}, {"rewrite": "y"}', "nothing", None, '{"samples": [{"rewrite": "p"}, "a { b", {"rewrite": "q"}, "c', "["]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = {}
     for r in ingest.samples(ingest.recovered(df, "t")).orderBy("id", "pos").collect():
         got.setdefault(r["id"], []).append(r["rewrite"])
-    assert got == {0: ['a } " \\', "b", "c"], 1: ['a } " \\', "b"], 2: ["x"], 3: ["y"]}
+    assert got == {0: ['a } " \\', "b", "c"], 1: ['a } " \\', "b"], 2: ["x"], 3: ["y"], 6: ["p", "q"]}
 
 
 def test_sinks(spark, tmp_path):
@@ -310,6 +322,77 @@ def test_entry_without_llm(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def test_long_blobs_are_parsed_in_linear_time(spark):
+    import time
+
+    blob = "\n".join(f"user: line {i}\nmore {i}\n\nbot: x" for i in range(30_000))
+    began = time.time()
+    got = one(spark, lambda c: F.transform(dialogue.parse(c), lambda t: t["content"]), blob)[0]
+    assert len(got) == 60_000 and got[0] == "line 0 more 0" and got[-1] == "x" and time.time() - began < 20
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("a", "m", True), ("a", None, False), ("b", "m", None)], "k string, reason string, ok boolean")
+    assert {(r["k"], r["n"], r["percent"]) for r in evaluate.shares(df, "k").collect()} == {("a", 2, "66.7%"), ("b", 1, "33.3%")}
+    assert tuple(evaluate.outcomes(df, F.col("ok"), ("kept", "dropped")).first()) == (1, 2)
+    assert tuple(evaluate.call_report(df.withColumn("ok", F.col("k") == "a"), 30, 15.0).first()) == (2, 1, "67%", 30, 2.0)
+    assert evaluate.call_report(df.limit(0), 0, 0.0).first()["success"] == "0%"
+    rows = spark.createDataFrame([(1, "x", None, True, "f"), (2, "x", None, True, "f"), (3, "y", "no_pattern", False, "g"), (4, None, None, False, "g"), (5, None, None, False, "g")], "id int, k string, reason string, context_required boolean, file string")
+    got = validate.ingest_stats(rows, ["k"], ["id"], files="file").first().asDict()
+    assert got == {"raw": 5, "no_pattern": 1, "bad_pattern": 0, "rejected": 0, "duplicate": 2, "kept": 2, "context_share": 0.5, "files": 2}
+    assert validate.ingest_stats(rows.limit(0), ["k"], ["id"]).first()["raw"] == 0
+    assert validate.known_patterns(None) and validate.known_patterns(["negation"]) == ["negation"]
+    with pytest.raises(ValueError):
+        validate.known_patterns(["x"])
+    assert sorted(r["id"] for r in sample.target_cut(rows, ["k"], 1, "id").collect()) == [1, 3, 4]
+
+
+def test_record_forms(spark):
+    c = [("system", "s"), ("human", "a"), ("gpt", "g")]
+    t = "array<struct<from:string,value:string>>"
+    df = spark.createDataFrame([(c,)], f"conversations {t}")
+    r = df.select(dialogue.prompt_and_gold(F.col("conversations")).alias("p")).first()["p"]
+    assert r["gold"] == "g" and [tuple(x) for x in r["prompt"]] == [("system", "s"), ("user", "a")]
+    for bad in (c[:2], []):
+        with pytest.raises(Exception, match="assistant"):
+            spark.createDataFrame([(bad,)], f"conversations {t}").select(dialogue.prompt_and_gold(F.col("conversations"))).collect()
+    assert [tuple(x) for x in df.select(dialogue.mapped(df)).first()[0]] == [("system", "s"), ("user", "a"), ("assistant", "g")]
+    other = spark.createDataFrame([([("H", "a"), ("z", "b")],)], "talk array<struct<who:string,said:string>>")
+    names = {"messages": "talk", "role_tag": "who", "content_tag": "said", "user_tag": "H", "assistant_tag": "A", "system_tag": "S"}
+    assert [tuple(x) for x in other.select(dialogue.mapped(other, names)).first()[0]] == [("user", "a"), ("z", "b")]
+
+
+def test_services(spark):
+    pauses, seen = [], []
+
+    def send(client, prompt):
+        seen.append(client)
+        if len(seen) < 4:
+            raise RuntimeError("429 too many" if len(seen) < 3 else "broken pipe")
+        return prompt.upper()
+
+    call = hooks.service(["k1", "k2"], send, sleep=pauses.append, jitter=lambda: 0.5)
+    assert call("x") == "X" and seen == ["k1", "k2", "k1", "k2"] and pauses == [1.5, 2.0, 1.5]
+    assert hooks.service(["k"], lambda c, p: 1 / 0, tries=2, sleep=pauses.append)("x") is None
+    sizes = hooks.applied(spark.range(10).coalesce(1), lambda: lambda b: b.assign(id=len(b)), "id long", chunk=4).collect()
+    assert sorted(r["id"] for r in sizes) == [2, 2, 4, 4, 4, 4, 4, 4, 4, 4]
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "i int, p string")
+    got = {r["i"]: (r["reply"], r["ok"]) for r in hooks.called(df, "p", lambda: lambda p: None if p == "b" else p * 2).collect()}
+    assert got == {1: ("aa", True), 2: (None, False)}
+
+
+def test_paraphrases_and_smoke(spark):
+    d = [("human", "a 5"), ("gpt", "b"), ("human", "c")]
+    good = json.dumps({"dialogue": [{"from": f, "value": f" {v} x "} for f, v in d], "rewrite": "r2 5"})
+    df = spark.createDataFrame([(i, d, "r 5", ("music",), reply) for i, reply in enumerate((good, good.replace("5", "6"), "no", None))], "i int, dialogue array<struct<from:string,value:string>>, rewrite string, meta struct<domain:string>, reply string")
+    got = {r["i"]: r["variant"] for r in hooks.paraphrased(df).collect()}
+    assert got[1] is got[2] is got[3] is None and got[0]["meta"].asDict() == {"domain": "music", "augmented": True}
+    assert [x["from"] for x in got[0]["conversations"]] == ["system", "human", "gpt", "human", "gpt"] and got[0]["conversations"][1]["value"] == "a 5 x"
+    reply = json.dumps({"samples": [{"turns": [{"role": "user", "content": "đi"}, {"role": "bot", "content": "đâu"}, {"role": "user", "content": "ga"}], "rewrite": "Đi tới ga.", "domain": "navigation"}]})
+    rows = prompts.smoke(spark, lambda: lambda p: reply).collect()
+    assert {(r["ctx"], r["want"]): r["reason"] for r in rows} == {(True, 2): None, (True, 3): "wrong_user_turns", (False, 1): "wrong_user_turns", (False, 2): None}
+
+
 def test_settings():
     from turnloom.sources.config import settings
 

@@ -14,7 +14,7 @@ def con():
 
 
 def test_all_have_sql():
-    assert set(QUERIES) == set(SQL) and len(QUERIES) == 50
+    assert set(QUERIES) == set(SQL) and len(QUERIES) == 59
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -12,21 +12,36 @@ from pyspark.sql.types import StringType
 #: Words that a negation or a compound rewrite must contain.
 NEGATION_MARKERS = ("đừng", "trừ", "không", "tránh", "cấm", "ngoại trừ", "bỏ qua")
 COMPOUND_MARKERS = ("và", "rồi", "sau đó", "đồng thời", "cùng lúc", "xong")
-#: The domains with their weights (doubled, so that they are whole), and what other names mean.
+#: The domains with their weights (1, 1, 1, 1, 2, 2.5, 3, 3, 3, all doubled so that a hash can be taken
+#: modulo their sum), and what other names mean.
 DOMAIN_WEIGHTS = {"navigation": 2, "climate": 2, "music": 2, "calling": 2, "messaging": 4, "charging": 5, "smart_home": 6, "vehicle": 6, "driver_assist": 6}
 DOMAIN_ALIASES = {
-    "music": "media_control media audio player", "climate": "climate_control ac hvac air_conditioning", "vehicle": "vehicle_control car_control car", "calling": "phone call dialer",
-    "messaging": "sms message chat", "smart_home": "smarthome home house", "navigation": "nav navi maps route", "charging": "charge ev_charging charger",
-    "driver_assist": "adas assist autopilot driver_assistance",
-}
+    "media_control": "music", "media": "music", "audio": "music", "player": "music",
+    "climate_control": "climate", "ac": "climate", "hvac": "climate", "air_conditioning": "climate",
+    "vehicle_control": "vehicle", "car_control": "vehicle", "car": "vehicle",
+    "phone": "calling", "call": "calling", "dialer": "calling",
+    "sms": "messaging", "message": "messaging", "chat": "messaging",
+    "smarthome": "smart_home", "home": "smart_home", "house": "smart_home",
+    "nav": "navigation", "navi": "navigation", "maps": "navigation", "route": "navigation",
+    "charge": "charging", "ev_charging": "charging", "charger": "charging",
+    "adas": "driver_assist", "assist": "driver_assist", "autopilot": "driver_assist", "driver_assistance": "driver_assist",
+}
+
+
+#: Whatever NFC can change holds one of these; below U+0300 and in the Latin block with Vietnamese letters nothing does.
+_OPEN_TO_NFC = r"[\x{0300}-\x{1DFF}\x{1F00}-\x{10FFFF}]"
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no function for it."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+def nfc(c: Column) -> Column:
+    """Unicode NFC; Spark has no function for it.  Only text that it may change goes to Python."""
+    return F.coalesce(_composed(F.when(c.rlike(_OPEN_TO_NFC), c)), c)
+
+
 def strip(c: Column) -> Column:
     """All white space at both ends, of Unicode."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -37,6 +52,16 @@ def text_of(c: Column) -> Column:
     return strip(F.coalesce(c, F.lit("")))
 
 
+def clause(prefix: str, value: Column) -> Column:
+    """The prefix and the value; nothing where there is no value."""
+    return F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.concat(F.lit(prefix), value))
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """12.5%, half to even."""
+    return F.format_string(f"%.{digits}f%%", F.bround(share * 100, digits))
+
+
 def norm(c: Column) -> Column:
     """For comparisons: lower case, runs of white space and punctuation as one space, stripped.  Give it NFC text."""
     return strip(F.regexp_replace(strip(F.lower(c)), r"""(?U)[\s,.!?;:"'()-]+""", " "))
@@ -82,8 +107,7 @@ def score_of(reply: Column) -> Column:
 def coerce_domain(c: Column, fallback: Column) -> Column:
     """A domain of the list; another name by its alias; else the fallback."""
     d = F.replace(F.replace(F.lower(text_of(c)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
-    alias = {a: k for k, v in DOMAIN_ALIASES.items() for a in v.split()}
-    table = F.create_map(*[F.lit(x) for kv in alias.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in DOMAIN_ALIASES.items() for x in kv])
     return F.when(d.isin(*DOMAIN_WEIGHTS), d).otherwise(F.coalesce(F.try_element_at(table, d), fallback))
 
 

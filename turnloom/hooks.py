@@ -4,8 +4,10 @@ retried with growing pauses, and can be cached by content, as retried tasks repe
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import cycle
 from threading import Lock
 
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import hashed
+from .operators.dialogue import augmented_record
+from .operators.validate import variant_ok
 
 FAILED = "__ERROR__"
 
@@ -45,13 +49,57 @@ class Keys:
             return next(self._keys)
 
 
-def applied(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Rows through a hook that make() sets up once for each worker and partition."""
+def service(clients: list, send: Callable, tries: int = 8, most: float = 20.0, sleep: Callable = time.sleep, jitter: Callable = random.random) -> Callable[[str], str | None]:
+    """A call with the clients (one for each key) in turn: the reply, or None after so many tries.  Where the
+    service says 429 or speaks of a rate, pauses grow by half up to most; else they are of a second."""
+    turn = Keys(clients)
+
+    def call(prompt: str) -> str | None:
+        for k in range(tries):
+            try:
+                return send(turn(), prompt)
+            except Exception as e:  # any failure of a service is tried again
+                limited = "429" in str(e) or "rate" in str(e).lower()
+                sleep(min(1.5**k + jitter(), most) if limited else 1 + jitter())
+        return None
+
+    return call
+
+
+def called(df: DataFrame, prompt: str, make: Callable[[], Callable[[str], str | None]], workers: int = 6) -> DataFrame:
+    """df with reply (null where the call failed) and ok; so many calls at once in each task.  Cache by content
+    (``uncached``) what must not be asked twice, as retried tasks ask again."""
+
+    def hook() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        call, pool = make(), ThreadPoolExecutor(workers)
+        return lambda b: b.assign(reply=list(pool.map(call, b[prompt])))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return applied(df, hook, f"{schema}, reply string").withColumn("ok", F.coalesce(F.length("reply") > 0, F.lit(False)))
+
+
+#: What a paraphrase hook answers.
+VARIANT = "dialogue array<struct<from:string,value:string>>, rewrite string"
+
+
+def paraphrased(df: DataFrame, reply: str = "reply") -> DataFrame:
+    """df (dialogue, rewrite, meta and a hook's reply as JSON) with variant: the record, marked as augmented, of a reply
+    that may stand for the original; null where there is no reply or it may not."""
+    v = F.from_json(reply, VARIANT)
+    good = variant_ok(F.col("dialogue"), F.col("rewrite"), F.col("__v.dialogue"), F.col("__v.rewrite"))
+    stripped = F.transform("__v.dialogue", lambda x: F.struct(x["from"].alias("from"), F.trim(x["value"]).alias("value")))
+    return df.withColumn("__v", v).withColumn("variant", F.when(good, augmented_record(stripped, F.col("__v.rewrite"), F.col("meta")))).drop("__v")
+
+
+def applied(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, chunk: int | None = None) -> DataFrame:
+    """Rows through a hook that make() sets up once for each worker and partition; at most chunk rows at a time, if given."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hook = make()
         for b in batches:
-            yield hook(b)
+            step = chunk or max(len(b), 1)
+            for i in range(0, len(b), step):
+                yield hook(b.iloc[i : i + step].reset_index(drop=True))
 
     return df.mapInPandas(run, schema)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,9 @@ def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(row, F.struct(*order)).alias("__row"), F.min(F.struct(*order)).alias("__first")).select("__row.*", F.col(f"__first.{order[0]}").alias("first_order"))
 
 
-def ranked(df: DataFrame, key: list[str], order: list[str], name: str = "rn") -> DataFrame:
-    """Rows with their rank among equals: 1 is kept, others are duplicates."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+def sized(df: DataFrame, key: list[str], order: list[str], *values: str) -> DataFrame:
+    """key, n (rows of that key, of which one is kept and the others are duplicates) and values of the first."""
+    return df.groupBy(*key).agg(F.count("*").alias("n"), *[F.min_by(v, F.struct(*order)).alias(v) for v in values])
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:
@@ -35,8 +35,10 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 
 def not_in(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key other does not have (resume, append, remainder)."""
-    return df.join(other.select(*key).distinct(), key, "left_anti").select(*df.columns)
+    """Rows whose key other does not have (resume, append, remainder); nulls equal each other, as in ``first_wins``."""
+    known = other.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)]).distinct()
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(key)])
+    return df.join(known, on, "left_anti").select(*df.columns)
 
 
 def append(existing: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -49,7 +51,3 @@ def augmented(originals: DataFrame, variants: DataFrame, index: str, key: list[s
     found = originals.select(index).join(variants, index).withColumn("is_variant", F.lit(True))
     both = originals.withColumn("is_variant", F.lit(False)).unionByName(found, allowMissingColumns=True)
     return first_wins(both, key, ["is_variant", index])
-
-
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

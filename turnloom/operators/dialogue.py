@@ -46,19 +46,29 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), which is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def parse(blob: Column) -> Column:
     """Turns of a rendered dialogue: a line "role: text" begins a turn, another line that is not
-    blank goes on with the turn before, lines before the first turn are dropped."""
-    none = F.array().cast(TURNS)
+    blank goes on with the turn before, lines before the first turn are dropped.  Linear in the text."""
+
+    def line(x: Column) -> Column:
+        role = F.lower(F.regexp_extract(x, HEADER, 1))
+        return _let(role, lambda r: F.struct(r.alias("role"), strip(F.when(r != "", F.regexp_extract(x, HEADER, 2)).otherwise(x)).alias("text")))
+
+    def turns(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda x, i: F.when(x["role"] != "", i)), lambda i: i.isNotNull())
 
-    def step(acc: Column, line: Column) -> Column:
-        head = F.struct(F.lower(F.regexp_extract(line, HEADER, 1)).alias("role"), strip(F.regexp_extract(line, HEADER, 2)).alias("content"))
-        n = F.size(acc)
-        now = F.get(acc, n - 1)
-        more = F.struct(now["role"].alias("role"), F.concat(now["content"], F.lit(" "), strip(line)).alias("content"))
-        return F.when(line.rlike(HEADER), F.concat(acc, F.array(head))).when((n > 0) & (strip(line) != ""), F.concat(F.slice(acc, 1, n - 1), F.array(more))).otherwise(acc)
+        def turn(heads: Column, i: Column, k: Column) -> Column:
+            own = F.slice(lines, i + 1, F.coalesce(F.get(heads, k + 1), F.size(lines)) - i)
+            return F.struct(F.get(lines, i)["role"].alias("role"), F.array_join(F.transform(F.filter(own, lambda x, j: (j == 0) | (x["text"] != "")), lambda x: x["text"]), " ").alias("content"))
 
-    return F.aggregate(F.split(blob, "\n"), none, step)
+        return _let(heads, lambda h: F.transform(h, lambda i, k: turn(h, i, k)))
+
+    return _let(F.transform(F.split(blob, "\n"), line), turns)
 
 
 def explode_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -117,6 +127,11 @@ def from_compact(dialogue: Column, answer: Column, system: str = SYSTEM_PROMPT)
     return to_conversations(F.transform(dialogue, lambda x: F.struct(F.when(x["from"] == "human", "user").otherwise("bot").alias("role"), x["value"].alias("content"))), answer, system)
 
 
+def augmented_record(dialogue: Column, answer: Column, meta: Column) -> Column:
+    """The record of a variant: its conversations, and the original's meta with augmented set."""
+    return F.struct(from_compact(dialogue, answer).alias("conversations"), meta.withField("augmented", F.lit(True)).alias("meta"))
+
+
 def chat_role(c: Column) -> Column:
     """Names of chat templates; unknown ones stay."""
     return F.when(c == "human", "user").when(c == "gpt", "assistant").when(c == "bot", "assistant").otherwise(c)
@@ -126,6 +141,25 @@ def chat_messages(conversations: Column) -> Column:
     return F.transform(conversations, lambda x: F.struct(chat_role(x["from"]).alias("role"), x["value"].alias("content")))
 
 
+def prompt_and_gold(conversations: Column) -> Column:
+    """struct(prompt, gold): all chat messages but the last, and the last one's content; fails where the last is not the assistant's."""
+    m = chat_messages(conversations)
+    last = F.try_element_at(m, F.lit(-1))
+    bad = F.raise_error(F.lit("the last part of a sample must be the assistant's")).cast("struct<prompt:" + TURNS + ",gold:string>")
+    return F.when(last["role"].eqNullSafe("assistant"), F.struct(F.slice(m, 1, F.size(m) - 1).alias("prompt"), last["content"].alias("gold"))).otherwise(bad)
+
+
+#: Names of the conversation format's columns and tags.
+SHAREGPT = {"messages": "conversations", "role_tag": "from", "content_tag": "value", "user_tag": "human", "assistant_tag": "gpt", "system_tag": "system"}
+
+
+def mapped(df: DataFrame, names: dict[str, str] = SHAREGPT) -> Column:
+    """Messages (role, content) of records whose column and tags have other names; roles without a tag keep theirs."""
+    role = F.create_map(*[F.lit(x) for tag, to in (("user_tag", "user"), ("assistant_tag", "assistant"), ("system_tag", "system")) for x in (names[tag], to)])
+    one = lambda x: F.struct(F.coalesce(F.try_element_at(role, x[names["role_tag"]]), x[names["role_tag"]]).alias("role"), x[names["content_tag"]].alias("content"))
+    return F.transform(df[names["messages"]], one)
+
+
 def seed_samples(df: DataFrame) -> DataFrame:
     """Records (conversations, meta) as seed samples; context_required is taken from meta and true where absent."""
     return df.select(

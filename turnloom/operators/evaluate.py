@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import percent
+
 
 def models_by_records(models: list[str], records: DataFrame) -> DataFrame:
     """Each record for each model; the list of models is short."""
@@ -22,9 +24,10 @@ def accuracy(df: DataFrame) -> DataFrame:
     return df.rollup("model", "pattern").agg(F.count("*").alias("n"), F.avg(F.coalesce("score", F.lit(0)).cast("double")).alias("accuracy"), F.grouping_id().alias("g")).filter("g < 3").drop("g")
 
 
-def side_by_side(df: DataFrame, models: dict[str, str], key: str = "row_id") -> DataFrame:
-    """A row for each record with each model's output in a column; models: name to column."""
-    return df.groupBy(key).pivot("model", list(models)).agg(F.first("output")).select(key, *[F.col(f"`{m}`").alias(c) for m, c in models.items()])
+def side_by_side(df: DataFrame, models: dict[str, str], key: str = "row_id", *keep: str) -> DataFrame:
+    """A row for each record with each model's output in a column (models: name to column) and the columns of keep."""
+    out = [F.max(F.when(F.col("model") == m, F.col("output"))).alias(c) for m, c in models.items()]
+    return df.groupBy(key).agg(*[F.max(c).alias(c) for c in keep], *out)
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -36,6 +39,28 @@ def report(df: DataFrame) -> DataFrame:
     return got.select(by.alias("by"), F.coalesce(*cols).alias("value"), "n")
 
 
+def shares(df: DataFrame, *by: str) -> DataFrame:
+    """Counts with their share of all rows and that as a text; a row for each group is held, not the rows."""
+    got = df.groupBy(*by).agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return got.withColumn("share", share).withColumn("percent", percent(share))
+
+
+def outcomes(df: DataFrame, done: Column, names: tuple[str, str]) -> DataFrame:
+    """One row: how many rows were done and how many not (converted and skipped, kept and dropped)."""
+    done = F.coalesce(done, F.lit(False))
+    return df.agg(F.count_if(done).alias(names[0]), F.count_if(~done).alias(names[1]))
+
+
+def call_report(calls: DataFrame, accepted: int, seconds: float) -> DataFrame:
+    """One row from calls (ok): ok, failed, success (their share, text), accepted, samples_per_second; no calls count as none of one."""
+    n_ok, n_all = F.count_if("ok"), F.count("*")
+    return calls.agg(
+        n_ok.alias("ok"), (n_all - n_ok).alias("failed"), percent(n_ok / F.greatest(n_all, F.lit(1)), 0).alias("success"), F.lit(accepted).cast("long").alias("accepted"),
+        F.lit(accepted / max(seconds, 1.0)).alias("samples_per_second"),
+    )
+
+
 def distribution(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 

@@ -6,8 +6,6 @@ it); no task ranks all rows of a group.  ``hashed`` order ends in the key, so ra
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +16,10 @@ CONTEXT_SHARE = 2 / 3
 TURN_SHARES = {True: {2: 0.45, 3: 0.35, 4: 0.20}, False: {1: 0.55, 2: 0.45}}
 
 
+#: Most buckets whose plan is broadcast.
+FEW_BUCKETS = 100_000
+
+
 def shuffled(df: DataFrame, key: str, salt: str) -> DataFrame:
     return df.withColumn("h", hashed(F.col(key), salt)).orderBy("h", key)
 
@@ -109,7 +111,7 @@ def quota_table(spark: SparkSession, plan: dict[tuple[bool, int], int]) -> DataF
 def deficits(quota: DataFrame, have: DataFrame, each: Column, oversample: float) -> DataFrame:
     """For each bucket: have, need and the calls that need asks for, of so many samples each."""
     got = have.groupBy("context_required", "user_turns").agg(F.count("*").alias("have"))
-    df = quota.join(F.broadcast(got), ["context_required", "user_turns"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    df = quota.join(got, ["context_required", "user_turns"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
     df = df.withColumn("need", F.greatest(F.lit(0), F.col("quota") - F.col("have")))
     return df.withColumn("calls", F.when(F.col("need") > 0, F.greatest(F.lit(1), F.ceil(F.col("need") * oversample / each))).otherwise(0))
 
@@ -147,7 +149,8 @@ def capped(df: DataFrame, bucket: list[str], quota: dict[tuple, int], cap: int,
     takes = df.sparkSession.createDataFrame([(*k, v) for k, v in plan.items()], ", ".join(f"`{c}` {kinds[c]}" for c in bucket) + ", take int")
     ranks = df.withColumn("rn", F.row_number().over(Window.partitionBy(*bucket).orderBy(order)))
     ranks = ranks.filter(F.col("rn") <= max(plan.values()))  # a constant, so that each task passes on no more than that of a bucket
-    return ranks.join(F.broadcast(takes), bucket).filter("rn <= take").select(*df.columns)
+    takes = F.broadcast(takes) if len(plan) <= FEW_BUCKETS else takes
+    return ranks.join(takes, bucket).filter("rn <= take").select(*df.columns)
 
 
 def few_shots(pool: DataFrame, context_required: bool, user_turns: int, k: int, order: str, salt: str = "shots") -> DataFrame:
@@ -158,9 +161,7 @@ def few_shots(pool: DataFrame, context_required: bool, user_turns: int, k: int,
     return take(first, k, order, salt)
 
 
-def limit_by(df: DataFrame, n: int, *order: str) -> DataFrame:
-    return df.orderBy(*order).limit(n)
-
-
-def ceil_div(a: int, b: int) -> int:
-    return math.ceil(a / b)
+def target_cut(df: DataFrame, group: list[str], target: int, *order: str) -> DataFrame:
+    """The first target rows of each group.  The bound is a constant, so each task passes on no more than that of a group."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("__rn", rank).filter(F.col("__rn") <= target).drop("__rn")

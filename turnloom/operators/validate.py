@@ -1,13 +1,15 @@
 """Validators.  Each gives the first failing rule as a column, null for an accepted row; all
-are built-in expressions, so that nothing costly runs before them."""
+are built-in expressions but NFC, which goes to Python in one Arrow pass, and there only for
+text that it may change."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import COMPOUND_MARKERS, NEGATION_MARKERS, digit_runs, has_marker, norm, numbers, text_of, token_count, within
+from ..functions.text import COMPOUND_MARKERS, NEGATION_MARKERS, digit_runs, has_marker, nfc, norm, numbers, text_of, token_count, within
 from ..schema import PATTERNS
+from .dedup import sized
 from .dialogue import last_user, users
 
 
@@ -51,7 +53,7 @@ def bench_reason(turns: Column, rewrite: Column, domain: Column, pattern: Column
         ("bad_role_or_empty", in_turn == "bad_role_or_empty"),
         ("not_ending_user", last["role"] != "user"),
         ("final_user_too_long", token_count(last["content"]) > 25),
-        ("rewrite_equals_final_turn", ~free & (norm(r) == norm(last["content"]))),
+        ("rewrite_equals_final_turn", ~free & (norm(nfc(r)) == norm(nfc(last["content"])))),
         ("hallucinated_numbers", ~within(used, said)),
         ("leaked_bot_number", (pattern == "irrelevant_context") & leaked),
         ("negation_marker_missing", (pattern == "negation") & ~has_marker(r, NEGATION_MARKERS)),
@@ -81,7 +83,7 @@ def bulk_reason(turns: Column, rewrite: Column, domain: Column, context_required
         ("not_end_user", last["role"] != "user"),
         ("wrong_user_turns", F.size(users(turns)) != want_user_turns),
         ("hallucinated_number", ~within(numbers(r), numbers(_text(turns)))),
-        ("ctx_but_identical", context_required & (norm(r) == norm(last_user(turns)))),
+        ("ctx_but_identical", context_required & (norm(nfc(r)) == norm(nfc(last_user(turns))))),
         ("noctx_pulled_number", ~context_required & ~within(numbers(r), numbers(last_user(turns)))),
     )
 
@@ -112,12 +114,24 @@ def counters(df: DataFrame, reason: str = "reason") -> DataFrame:
     return df.filter(F.col(reason).isNotNull()).groupBy(reason).agg(F.count("*").alias("n")).orderBy(F.desc("n"), reason)
 
 
-def ingest_stats(df: DataFrame, reason: str = "reason", rank: str = "rn") -> DataFrame:
-    """One row: raw, no_pattern, bad_pattern, rejected, duplicate, kept, share of context_required, from rows with reason and rank among equals."""
-    r, ok = F.col(reason), F.col(reason).isNull()
-    kept = ok & (F.col(rank) == 1)
-    return df.agg(
-        F.count("*").alias("raw"), F.count_if(r == "no_pattern").alias("no_pattern"), F.count_if(r == "bad_pattern").alias("bad_pattern"),
-        F.count_if(r.isNotNull() & ~r.isin("no_pattern", "bad_pattern")).alias("rejected"), F.count_if(ok & (F.col(rank) > 1)).alias("duplicate"), F.count_if(kept).alias("kept"),
-        F.avg(F.when(kept, F.col("context_required").cast("double"))).alias("context_share"),
+def ingest_stats(df: DataFrame, key: list[str], order: list[str], reason: str = "reason", files: str | None = None) -> DataFrame:
+    """One row: raw, no_pattern, bad_pattern, rejected, duplicate, kept, share of context_required (and files),
+    from rows with reason; of accepted rows with one key the first is kept.  Rows are summed by key and
+    reason before the shuffle, so a key that most rows have is no burden."""
+    r, n = F.col(reason), F.sum("n")
+    named = sized(df, [*key, reason], order, "context_required")
+    none = F.lit(0).cast("long")
+    out = named.agg(
+        F.coalesce(n, none).alias("raw"), *[F.coalesce(F.sum(F.when(cond, F.col("n"))), none).alias(name) for name, cond in (
+            ("no_pattern", r == "no_pattern"), ("bad_pattern", r == "bad_pattern"), ("rejected", r.isNotNull() & ~r.isin("no_pattern", "bad_pattern")))],
+        F.coalesce(F.sum(F.when(r.isNull(), F.col("n") - 1)), none).alias("duplicate"), F.count_if(r.isNull()).alias("kept"),
+        F.avg(F.when(r.isNull(), F.col("context_required").cast("double"))).alias("context_share"),
     )
+    return out if files is None else out.withColumn("files", F.lit(df.agg(F.count_distinct(files)).first()[0]))
+
+
+def known_patterns(patterns: list[str] | None) -> list[str]:
+    """Those asked for, all if none are; ValueError for one that is not known."""
+    if unknown := [p for p in patterns or () if p not in PATTERNS]:
+        raise ValueError(f"unknown patterns {unknown}; known are {list(PATTERNS)}")
+    return list(patterns or PATTERNS)

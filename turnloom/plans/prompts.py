@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import clause
+from ..hooks import called
+from ..operators.validate import bulk_reason
+from ..sources.ingest import recovered, samples
+
 
 def skeleton(user_turns: Column) -> Column:
     """user → bot → ... → user."""
@@ -19,3 +26,20 @@ def prompt(shots: Column, domains: Column, user_turns: Column, context_required:
         F.lit('Answer with {"samples": [...]} of '), n.cast("string"), F.lit(" objects with turns, rewrite, domain and rationale. Turns: "), skeleton(user_turns),
         F.lit("; "), kind, F.lit(". Domains: "), F.array_join(domains, ", "), F.lit(". Seed "), seed.cast("string"), F.lit("."),
     )
+
+
+def navigation_request(opening: Column, place: Column, preference: Column, departure: Column) -> Column:
+    """The rewrite of a request for a way; preference and departure only where there are any."""
+    return F.concat(opening, F.lit(" "), place, clause(", ưu tiên ", preference), clause(" và khởi hành ", departure), F.lit("."))
+
+
+#: Buckets of a smoke run (fixed values): context_required, user turns.
+SMOKE = ((True, 2), (True, 3), (False, 1), (False, 2))
+
+
+def smoke(spark: SparkSession, make: Callable[[], Callable[[str], str | None]], domain: str = "navigation") -> DataFrame:
+    """One call for each of four buckets: the samples of the replies with their reason, null for those that are kept."""
+    df = spark.createDataFrame(list(SMOKE), "context_required boolean, want int")
+    asked = df.withColumn("prompt", prompt(F.lit(""), F.array(F.lit(domain)), F.col("want"), F.col("context_required"), F.lit(1), F.lit(1)))
+    got = samples(recovered(called(asked, "prompt", make).filter("ok").select(F.col("context_required").alias("ctx"), "want", "reply"), "reply"))
+    return got.select("ctx", "want", "pos", "turns", "rewrite", bulk_reason(F.col("turns"), F.col("rewrite"), F.col("domain"), F.col("ctx"), F.col("want")).alias("reason"))

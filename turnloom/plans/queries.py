@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import hooks
+from .. import hooks, storage
 from ..functions import text as X
 from ..operators import contain, dedup, dialogue, evaluate, sample, validate
 from ..schema import PATTERNS, SYSTEM_PROMPT
@@ -281,9 +280,7 @@ _VARIANTS = f"""{SAMPLES}, p AS (SELECT conv_id, list_transform(turns, lambda t:
     CASE WHEN conv_id % 6 = 2 THEN rewrite WHEN conv_id % 6 = 3 THEN ' ' ELSE rewrite || ' 5' END AS other_rewrite FROM p)"""
 
 
-@query(f"""{_VARIANTS} SELECT conv_id, {strip('other_rewrite')} <> '' AND len(d) = len(other) AND len(list_filter(list_zip(d, other), lambda z: z[1]['from'] <> z[2]['from'] OR {strip('z[2].value')} = '')) = 0
-  AND coalesce(other[-1]['from'] = 'human', false) AND {inside(runs('rewrite'), runs('other_rewrite'))} AND NOT ({strip('other_rewrite')} = rewrite AND d = other) AS ok FROM o""")
-def q14_validate_variant(spark, sf):
+def variant_rows(spark, sf) -> DataFrame:
     part = lambda who, v: F.struct(who.alias("from"), v.alias("value"))
     df = samples(spark, sf).select("conv_id", "rewrite", F.transform("turns", lambda t: part(F.when(t["role"] == "user", "human").otherwise("gpt"), t["content"])).alias("d"))
     k, d, r = F.col("conv_id") % 6, F.col("d"), F.col("rewrite")
@@ -294,8 +291,14 @@ def q14_validate_variant(spark, sf):
         .otherwise(F.transform(d, lambda x: part(x["from"], F.concat(x["value"], F.lit(" nhé")))))
     )
     new = F.when(k == 2, r).when(k == 3, " ").otherwise(F.concat(r, F.lit(" 5")))
-    df = df.withColumns({"other": other, "other_rewrite": new})
-    return df.select("conv_id", validate.variant_ok(d, r, F.col("other"), F.col("other_rewrite")).alias("ok"))
+    return df.withColumns({"other": other, "other_rewrite": new})
+
+
+@query(f"""{_VARIANTS} SELECT conv_id, {strip('other_rewrite')} <> '' AND len(d) = len(other) AND len(list_filter(list_zip(d, other), lambda z: z[1]['from'] <> z[2]['from'] OR {strip('z[2].value')} = '')) = 0
+  AND coalesce(other[-1]['from'] = 'human', false) AND {inside(runs('rewrite'), runs('other_rewrite'))} AND NOT ({strip('other_rewrite')} = rewrite AND d = other) AS ok FROM o""")
+def q14_validate_variant(spark, sf):
+    ok = validate.variant_ok(F.col("d"), F.col("rewrite"), F.col("other"), F.col("other_rewrite"))
+    return variant_rows(spark, sf).select("conv_id", ok.alias("ok"))
 
 
 @query(f"{_CHECKED} SELECT reason, count(*) AS n FROM checked WHERE reason IS NOT NULL GROUP BY reason")
@@ -307,8 +310,7 @@ def q15_reject_counts(spark, sf):
   SELECT count(*) AS raw, count(*) FILTER (reason = 'no_pattern') AS no_pattern, count(*) FILTER (reason = 'bad_pattern') AS bad_pattern, count(*) FILTER (reason NOT IN ('no_pattern', 'bad_pattern')) AS rejected,
   count(*) FILTER (reason IS NULL AND rn > 1) AS duplicate, count(*) FILTER (reason IS NULL AND rn = 1) AS kept, avg(context_required::INT::DOUBLE) FILTER (reason IS NULL AND rn = 1) AS context_share FROM r""")
 def q16_ingest_stats(spark, sf):
-    df = checked(spark).withColumn("good", F.col("reason").isNull())
-    return validate.ingest_stats(dedup.ranked(df, ["last_user", "rewrite", "good"], ["sample_id"]))
+    return validate.ingest_stats(checked(spark), ["last_user", "rewrite"], ["sample_id"])
 
 
 @query(f"SELECT conv_id, CASE WHEN {h('conv_id', 'hard')} % 10 = 0 THEN 'drop' WHEN {h('conv_id', 'soft')} % 11 < 8 THEN 'fix' ELSE 'keep' END AS verdict FROM (SELECT DISTINCT conv_id FROM conversations)")
@@ -476,7 +478,7 @@ _NAMES = "Climate Control|ev-charging|navigation|Phone|unknown thing| SMS |Smart
 
 @query(
     "SELECT i::BIGINT AS i, name, coalesce(CASE WHEN d IN (" + ", ".join(f"'{k}'" for k in X.DOMAIN_WEIGHTS) + ") THEN d END, alias, 'navigation') AS domain FROM (SELECT i, name, replace(replace(lower(trim(name)), ' ', '_'), '-', '_') AS d FROM (VALUES "
-    + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES)) + ") x(i, name)) LEFT JOIN (VALUES " + ", ".join(f"('{a}', '{k}')" for k, v in X.DOMAIN_ALIASES.items() for a in v.split()) + ") m(a, alias) ON d = a"
+    + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES)) + ") x(i, name)) LEFT JOIN (VALUES " + ", ".join(f"('{a}', '{k}')" for a, k in X.DOMAIN_ALIASES.items()) + ") m(a, alias) ON d = a"
 )
 def q38_domain_coerce(spark, sf):
     df = spark.createDataFrame(list(enumerate(_NAMES)), "i long, name string")
@@ -534,9 +536,8 @@ def q43_judge_filter(spark, sf):
   SELECT model, pattern, count(*) AS n, avg(coalesce(score, 0)::DOUBLE) AS accuracy FROM x GROUP BY GROUPING SETS ((model), (model, pattern))""")
 def q44_eval_accuracy(spark, sf):
     rows = evaluate.models_by_records(["org/small", "org/large"], samples(spark, sf).select("conv_id", "pattern"))
-    scores = F.when(F.col("model") == "org/small", hooks.stub_score(F.col("conv_id"), "org/small")).otherwise(hooks.stub_score(F.col("conv_id"), "org/large"))
-    judged = rows.select("conv_id", "model", scores.alias("score"))
-    return evaluate.accuracy(evaluate.zipped(rows, judged, on=["conv_id", "model"]))
+    score = F.when(F.col("model") == "org/small", hooks.stub_score(F.col("conv_id"), "org/small")).otherwise(hooks.stub_score(F.col("conv_id"), "org/large"))
+    return evaluate.accuracy(rows.withColumn("score", score))
 
 
 @query(f"""{SAMPLES} SELECT conv_id, gold, CASE WHEN {h('conv_id', 'base')} % 3 = 0 THEN last_user ELSE 'Request: ' || last_user END AS base_output,
@@ -545,8 +546,7 @@ def q45_compare_side_by_side(spark, sf):
     s = samples(spark, sf).select("conv_id", "gold", "last_user")
     rows = evaluate.models_by_records(["base", "tuned"], s)
     out = F.when(F.col("model") == "base", hooks.stub_predict(F.col("last_user"), F.col("conv_id"), "base")).otherwise(hooks.stub_predict(F.col("last_user"), F.col("conv_id"), "tuned"))
-    wide = evaluate.side_by_side(rows.withColumn("output", out), {"base": "base_output", "tuned": "finetuned_output"}, "conv_id")
-    return s.select("conv_id", "gold").join(wide, "conv_id")
+    return evaluate.side_by_side(rows.withColumn("output", out), {"base": "base_output", "tuned": "finetuned_output"}, "conv_id", "gold")
 
 
 @query(f"""{SAMPLES} SELECT 'context_required' AS by, context_required::VARCHAR AS value, count(*) AS n FROM s GROUP BY value UNION ALL SELECT 'user_turns', user_turns::VARCHAR, count(*) FROM s GROUP BY user_turns
@@ -566,8 +566,7 @@ def q48_stream_resume(spark, sf):
     """The table as a stream of one file and one batch; what is accepted, each text once."""
     from pathlib import PurePosixPath
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="turnloom-stream-")
-    place = f"{root.rstrip('/')}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    place = storage.place(spark, "stream")
     docs = table(spark, sf, "documents")
     name = f"{PurePosixPath('documents')}.parquet"
     source = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{name}" if docs.inputFiles()[0].split("/")[-1] != name else f"{sf}/documents*.parquet")
@@ -588,3 +587,122 @@ def q49_prompt_skeleton(spark, sf):
 def q50_model_slug_partition(spark, sf):
     rows = evaluate.models_by_records(["org/small", "org/large", "plain"], samples(spark, sf).select("conv_id"))
     return evaluate.distribution(rows.withColumn("model_slug", X.slug(F.col("model"))), "model_slug")
+
+
+# --- validators on turns with faults, reports, further forms ---------------------------------
+
+#: Dialogues in which some parts are missing, of another kind, too long or decomposed.
+_ODD = f"""{SAMPLES}, o AS (SELECT conv_id, conv_id % 12 <> 0 AS present, CASE conv_id % 12
+    WHEN 1 THEN list_transform(turns, lambda t, i: CASE WHEN i = 2 THEN NULL ELSE t END) WHEN 2 THEN list_transform(turns, lambda t, i: {{'role': CASE WHEN i = 1 THEN 'other' ELSE t.role END, 'content': t.content}})
+    WHEN 3 THEN list_transform(turns, lambda t, i: {{'role': t.role, 'content': CASE WHEN i = 1 THEN ' ' ELSE t.content END}}) WHEN 4 THEN turns[1:len(turns) - 1]
+    WHEN 5 THEN list_transform(turns, lambda t, i: {{'role': t.role, 'content': CASE WHEN i = len(turns) THEN repeat('từ ', 26) ELSE t.content END}})
+    WHEN 6 THEN list_transform(turns, lambda t, i: {{'role': t.role, 'content': CASE WHEN i = len(turns) THEN 'Mở bài hát ấy!' ELSE t.content END}}) ELSE turns END AS turns,
+  CASE WHEN conv_id % 12 IN (6, 7) THEN 'mo' || chr(795) || chr(777) || ' ba' || chr(768) || 'i ha' || chr(769) || 't a' || chr(770) || chr(769) || 'y' ELSE 'A request that stands alone.' END AS rewrite,
+  CASE WHEN conv_id % 12 = 8 THEN ' ' ELSE domain END AS domain, context_required, pattern FROM s)"""
+
+
+def odd_samples(spark, sf) -> DataFrame:
+    df = samples(spark, sf).select("conv_id", "turns", "domain", "context_required", "pattern")
+    k, turns = F.col("conv_id") % 12, F.col("turns")
+    last = F.size(turns) - 1
+    put = lambda where, role, content: F.transform(turns, lambda t, i: F.struct(F.when(where(i), role(t)).otherwise(t["role"]).alias("role"), F.when(where(i), content(t)).otherwise(t["content"]).alias("content")))
+    own = lambda name: lambda t: t[name]
+    at, first = (lambda i: i == last), (lambda i: i == 0)
+    odd = (
+        F.when(k == 1, F.transform(turns, lambda t, i: F.when(i != 1, t)))
+        .when(k == 2, put(first, lambda t: F.lit("other"), own("content")))
+        .when(k == 3, put(first, own("role"), lambda t: F.lit(" ")))
+        .when(k == 4, F.slice(turns, 1, F.greatest(last, F.lit(0))))
+        .when(k == 5, put(at, own("role"), lambda t: F.lit("từ " * 26)))
+        .when(k == 6, put(at, own("role"), lambda t: F.lit("Mở bài hát ấy!")))
+        .otherwise(turns)
+    )
+    rewrite = F.when(k.isin(6, 7), "mo\u031b\u0309 ba\u0300i ha\u0301t a\u0302\u0301y").otherwise("A request that stands alone.")
+    return df.select("conv_id", (k != 0).alias("present"), odd.alias("turns"), rewrite.alias("rewrite"), F.when(k == 8, " ").otherwise(F.col("domain")).alias("domain"), "context_required", "pattern")
+
+
+_FIRST_FAULT = lambda bad, more: f"list_filter(list_transform(turns, lambda t, i: CASE WHEN t IS NULL THEN 'turn_not_dict' WHEN coalesce(t.role NOT IN ('user', 'bot'), true) OR coalesce({strip('t.content')}, '') = '' THEN '{bad}' {more} END), lambda r: r IS NOT NULL)[1]"
+_TURNS_TEXT = "array_to_string(list_transform(turns, lambda t: t.content), ' ')"
+
+
+@query(f"""{_ODD} SELECT conv_id, CASE WHEN NOT present THEN 'not_dict' WHEN len(turns) < CASE WHEN context_required THEN 3 ELSE 1 END THEN 'too_few_turns' WHEN {strip('domain')} = '' THEN 'missing_field'
+  WHEN {_FIRST_FAULT('bad_role_or_empty', '')} IS NOT NULL THEN {_FIRST_FAULT('bad_role_or_empty', '')} WHEN turns[-1].role <> 'user' THEN 'not_ending_user' WHEN {tokens('turns[-1].content')} > 25 THEN 'final_user_too_long'
+  WHEN context_required AND {norm('nfc_normalize(rewrite)')} = {norm('nfc_normalize(turns[-1].content)')} THEN 'rewrite_equals_final_turn' WHEN pattern = 'negation' THEN 'negation_marker_missing'
+  WHEN pattern = 'compound_intent' THEN 'compound_connector_missing' END AS reason FROM o""")
+def q51_validate_bench_turns(spark, sf):
+    c = F.col
+    return odd_samples(spark, sf).select("conv_id", validate.bench_reason(c("turns"), c("rewrite"), c("domain"), c("pattern"), c("context_required"), c("present")).alias("reason"))
+
+
+@query(f"""{_ODD} SELECT conv_id, CASE WHEN NOT present THEN 'not_dict' WHEN {strip('domain')} = '' THEN 'missing_field'
+  WHEN {_FIRST_FAULT('bad_turn', "WHEN i > 1 AND turns[greatest(i - 1, 1)].role = t.role THEN 'not_alternating'")} IS NOT NULL THEN {_FIRST_FAULT('bad_turn', "WHEN i > 1 AND turns[greatest(i - 1, 1)].role = t.role THEN 'not_alternating'")}
+  WHEN len(turns) = 0 OR turns[1].role <> 'user' THEN 'not_start_user' WHEN turns[-1].role <> 'user' THEN 'not_end_user' WHEN len({USERS}) <> 2 THEN 'wrong_user_turns'
+  WHEN context_required AND {norm('nfc_normalize(rewrite)')} = {norm('nfc_normalize(' + USERS + '[-1].content)')} THEN 'ctx_but_identical' END AS reason FROM o""")
+def q52_validate_bulk_turns(spark, sf):
+    c = F.col
+    return odd_samples(spark, sf).select("conv_id", validate.bulk_reason(c("turns"), c("rewrite"), c("domain"), c("context_required"), F.lit(2), c("present")).alias("reason"))
+
+
+@query(f"""{SAMPLES}, a AS (SELECT DISTINCT pattern, last_user, rewrite FROM s WHERE conv_id % 4 = 0), n AS (SELECT min(conv_id) AS conv_id, pattern, last_user, rewrite FROM s WHERE conv_id % 4 <> 0 GROUP BY ALL),
+  f AS (SELECT n.*, row_number() OVER (PARTITION BY pattern ORDER BY conv_id) AS rn FROM n ANTI JOIN a USING (pattern, last_user, rewrite)) SELECT conv_id, pattern FROM f WHERE rn <= 5""")
+def q53_pattern_target(spark, sf):
+    s = samples(spark, sf).select("conv_id", "pattern", "last_user", "rewrite")
+    key = ["pattern", "last_user", "rewrite"]
+    new = dedup.not_in(dedup.first_wins(s.filter("conv_id % 4 <> 0"), key, ["conv_id"]), s.filter("conv_id % 4 = 0"), key)
+    return sample.target_cut(new, ["pattern"], 5, "conv_id").select("conv_id", "pattern")
+
+
+_PREFER, _DEPART = "CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 3 = 1 THEN '' ELSE 'tránh phà' END", "CASE WHEN conv_id % 2 = 0 THEN 'bảy giờ' END"
+
+
+@query(f"""SELECT conv_id, 'Đi tới ' || conv_id || CASE WHEN coalesce({_PREFER}, '') = '' THEN '' ELSE ', ưu tiên ' || {_PREFER} END || CASE WHEN {_DEPART} IS NULL THEN '' ELSE ' và khởi hành ' || {_DEPART} END || '.' AS rewrite
+  FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def q54_conditional_clauses(spark, sf):
+    from .prompts import navigation_request
+
+    ids = table(spark, sf, "conversations").select("conv_id").distinct()
+    return ids.select("conv_id", navigation_request(F.lit("Đi tới"), F.col("conv_id").cast("string"), F.expr(_PREFER), F.expr(_DEPART)).alias("rewrite"))
+
+
+@query(f"{SAMPLES}, g AS (SELECT domain, count(*) AS n FROM s GROUP BY domain) SELECT domain, n, n / sum(n) OVER () AS share, printf('%.1f%%', round_even(n / sum(n) OVER () * 100, 1)) AS percent FROM g")
+def q55_percent_report(spark, sf):
+    return evaluate.shares(samples(spark, sf), "domain")
+
+
+@query(f"""{SAMPLES}, r AS (SELECT conv_id, turns[-1].role = 'user' AND conv_id % 5 <> 0 AND (SELECT count(*) FROM unnest(turns) AS x(t) WHERE trim(t.content) <> '') > 0 AS ok FROM s)
+  SELECT count(*) FILTER (ok) AS converted, count(*) FILTER (NOT ok) AS skipped FROM r""")
+def q56_conversion_report(spark, sf):
+    """Messages records, of which a fifth lost its assistant, to conversations: how many were converted and skipped."""
+    df = samples(spark, sf).withColumn("m", dialogue.messages(F.col("turns"), F.col("rewrite")))
+    m = F.when(F.col("conv_id") % 5 == 0, F.filter("m", lambda x: x["role"] != "assistant")).otherwise(F.col("m"))
+    return evaluate.outcomes(df, dialogue.messages_to_conversations(m).isNotNull(), ("converted", "skipped"))
+
+
+@query("SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
+def q57_json_lines(spark, sf):
+    """The table written as JSON lines, absent fields absent, and read back strictly."""
+    from ..sources import sinks
+
+    to = storage.place(spark, "json-lines")
+    sinks.jsonl(table(spark, sf, "conversations"), to)
+    back = ingest.jsonl(spark, to, "conv_id long, turn long, role string, text string")
+    return back.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query(f"""{_VARIANTS}, g AS (SELECT conv_id, {strip('other_rewrite')} <> '' AND len(d) = len(other) AND len(list_filter(list_zip(d, other), lambda z: z[1]['from'] <> z[2]['from'] OR {strip('z[2].value')} = '')) = 0
+  AND coalesce(other[-1]['from'] = 'human', false) AND {inside(runs('rewrite'), runs('other_rewrite'))} AND NOT ({strip('other_rewrite')} = rewrite AND d = other) AS ok, conv_id % 7 = 0 AS failed FROM o)
+  SELECT count(*) FILTER (ok AND NOT failed) AS kept, count(*) FILTER (NOT ok OR failed) AS dropped FROM g""")
+def q58_paraphrase_report(spark, sf):
+    """Replies of a paraphrase hook, of which a seventh failed: variants kept and dropped."""
+    df = variant_rows(spark, sf)
+    reply = F.when(F.col("conv_id") % 7 != 0, F.to_json(F.struct(F.col("other").alias("dialogue"), F.col("other_rewrite").alias("rewrite"))))
+    df = hooks.paraphrased(df.select("conv_id", F.col("d").alias("dialogue"), "rewrite", F.struct(F.lit("music").alias("domain")).alias("meta"), reply.alias("reply")))
+    return evaluate.outcomes(df, F.col("variant").isNotNull() & F.col("variant.meta.augmented"), ("kept", "dropped"))
+
+
+@query(f"""{SAMPLES} SELECT conv_id, 'system,' || array_to_string(list_transform(turns, lambda t: CASE t.role WHEN 'user' THEN 'user' ELSE 'assistant' END), ',') AS roles,
+  {answer(strip('rewrite'))} AS gold FROM s WHERE turns[-1].role = 'user'""")
+def q59_prompt_and_gold(spark, sf):
+    p = dialogue.prompt_and_gold(F.col("conversations"))
+    df = conversations_records(spark, sf).select("conv_id", p.alias("p"))
+    return df.select("conv_id", F.array_join(F.transform("p.prompt", lambda x: x["role"]), ",").alias("roles"), "p.gold")

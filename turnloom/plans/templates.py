@@ -3,8 +3,9 @@
 A line of SPEC is one part of a generator: id | intent | group | domain | context (T, F or -) |
 pools | shape | turns | rewrite | limit.  Pools are name=poolN, the first N values of a pool;
 "a<b" or "a<>b" in the place of a pool pairs one pool with itself, and "a!=b" drops equal
-values.  Turns are separated by " / ".  {name} is the value of a pool in this row and
-{*pool} one of a pool by hash.  A limit keeps that many rows in hash order.
+values.  Turns are separated by " / ".  {name} is the value of a pool in this row,
+{*pool} one of a pool by hash and {*pool!name} one that is not the value of name, which is of that pool.
+Intents, groups and domains are fixed values.  A limit keeps that many rows in hash order.
 
 The vocabulary is the engine's own.  ``corpus`` makes the samples; ``corpus_sql`` says the same
 as SQL with a cross join for each part, for comparison in another engine.
@@ -122,7 +123,7 @@ T49|send_sms|multi_slot|messaging|T|c=contact9 s=sms5|ubububu|nhắn tin / Cho a
 T50|set_ac_full|multi_slot|climate|T|t=temp4 m=mode3 z=zone3|ubububu|bật điều hòa / Mấy độ? / {t} / Chế độ? / {m} / Khu vực? / {z}|Đặt điều hòa {t} độ, chế độ {m}, cho {z}.|60
 T51|play_playlist_source_volume|multi_slot|music|T|l=playlist3 k=volume4|ubububu|mở nhạc / Danh sách nào? / {l} / Nguồn nào? / trên xe / Âm lượng? / {k}|Phát danh sách {l} trên xe, âm lượng {k}.
 T52|find_charging_station|multi_slot|navigation|T|k=battery3 n=network3 w=way2|bubububu|Pin còn {k} phần trăm / tìm trạm / Hãng nào? / {n} / Muốn {w} tốc độ sạc không? / có / Khi nào đi? / {*time}|Tìm trạm sạc {n}.
-T53|chained_nav_music_call|correction|multi|T|a=place4 b=song3 c=contact3|ububu|đi {a} / Đang đi {a} / mở {*playlist} / Đã mở / đổi sang bài {b} rồi gọi {c}|Đi tới {a}, phát bài {b} và gọi {c}.|40
+T53|chained_nav_music_call|correction|multi|T|a=place4 b=song3 c=contact3|ububu|đi {a} và mở bài {b} / Đang đi {a}, đang phát {b} / đổi sang bài {*song!b} / Đã đổi sang {*song!b} / rồi gọi {c}|Đi tới {a}, phát bài {*song!b} và gọi {c}.|40
 T54|navigate_scheduled|multi_slot|navigation|T|e=event4 t=time3|ububu|hôm nay có lịch gì / {e} lúc {t} / ở đâu / Tại {*place} / đi tới đó|Dẫn đường tới nơi {e} lúc {t}.
 T55|drive_mode_full|multi_slot|driver_assist|T|k=heat3 d=drive6|ububu|đổi kiểu lái / Kiểu nào? / {d} / Mức mấy? / {k}|Đặt kiểu lái {d} mức {k}.
 T56|set_ac_temperature_with_mode|irrelevant_context|climate|F|t=temp3 m=mode3|ububu|kể chuyện đi / Chuyện gì ạ? / thôi khỏi / Vâng / đặt điều hòa {t} độ chế độ {m}|Đặt điều hòa ở {t} độ, chế độ {m}.
@@ -152,8 +153,11 @@ def _text(template: str, row: str) -> str:
     out = []
     for piece in re.split(r"(\{[^}]*\})", template):
         if piece.startswith("{*"):
-            pool = POOLS[piece[2:-1]].split("|")
-            out.append(f"CASE {hash_sql(f"'{piece[2:-1]}|' || {row}")} % {len(pool)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(pool)) + " END")
+            name, _, other = piece[2:-1].partition("!")
+            pool = POOLS[name].split("|")
+            at = f"({hash_sql(f"'{piece[2:-1]}|' || {row}")} % {len(pool) - bool(other)})"
+            at = f"({at} + CASE WHEN {at} >= {other}_i THEN 1 ELSE 0 END)" if other else at
+            out.append(f"CASE {at} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(pool)) + " END")
         elif piece.startswith("{"):
             out.append(piece[1:-1])
         elif piece:
@@ -193,16 +197,23 @@ def part_sql(line: str, part: int) -> str:
     return select
 
 
+def _lines(only: tuple[str, ...] | None) -> list[str]:
+    lines = SPEC.strip().split("\n")
+    if unknown := set(only or ()) - {x[:3] for x in lines}:
+        raise ValueError(f"no generators {sorted(unknown)}")
+    return [x for x in lines if only is None or x[:3] in only]
+
+
 @lru_cache(maxsize=None)
 def corpus_sql(only: tuple[str, ...] | None = None) -> str:
-    """All samples of the generators named (of all generators)."""
-    lines = [x for x in SPEC.strip().split("\n") if only is None or x[:3] in only]
+    """All samples of the generators named (of all generators); ValueError for a name that is not known."""
+    lines = _lines(only)
     return " UNION ALL ".join(f"({part_sql(x, i)})" for i, x in enumerate(lines))
 
 
 def _parts(only: tuple[str, ...] | None) -> list[tuple]:
     out = []
-    for part, line in enumerate(x for x in SPEC.strip().split("\n") if only is None or x[:3] in only):
+    for part, line in enumerate(_lines(only)):
         name, intent, group, domain, ctx, pools, shape, turns, rewrite, *limit = line.split("|")
         names, values, rule = [], [], None
         for p in pools.split():
@@ -217,7 +228,10 @@ def _parts(only: tuple[str, ...] | None) -> list[tuple]:
         steps = [1] * len(names)
         for k in reversed(range(len(names) - 1)):
             steps[k] = steps[k + 1] * len(values[k + 1])
-        picks = [(x, POOLS[x].split("|")) for x in dict.fromkeys(re.findall(r"\{\*(\w+)\}", turns + rewrite))]
+        picks = []
+        for x in dict.fromkeys(re.findall(r"\{\*([\w!]+)\}", turns + rewrite)):
+            pool, _, other = x.partition("!")
+            picks.append((x, POOLS[pool].split("|"), names.index(other) if other else None))
         flag = {"T": True, "F": False, "-": None}[ctx]
         roles = ["user" if c == "u" else "bot" for c in shape]
         out.append((name, part, intent, group, domain, flag, roles, turns.split(" / "), rewrite, names, values, steps, rule, picks, int(limit[0]) if limit else None))
@@ -230,7 +244,7 @@ def corpus(spark: SparkSession, only: tuple[str, ...] | None = None) -> DataFram
     the places of its values in the pools."""
     schema = (
         "gen_id string, part int, intent string, grp string, domain string, context_required boolean, roles array<string>, texts array<string>, rewrite string, "
-        "names array<string>, pools array<array<string>>, steps array<int>, rule struct<a:int,op:string,b:int>, picks array<struct<name:string,pool:array<string>>>, most int"
+        "names array<string>, pools array<array<string>>, steps array<int>, rule struct<a:int,op:string,b:int>, picks array<struct<name:string,pool:array<string>,other:int>>, most int"
     )
     df = spark.createDataFrame(_parts(only), schema).coalesce(1)
     df = df.withColumn("ord", F.explode(F.expr("sequence(0L, steps[0] * size(pools[0]) - 1L)")))
@@ -238,7 +252,9 @@ def corpus(spark: SparkSession, only: tuple[str, ...] | None = None) -> DataFram
     df = df.withColumn("own", F.expr("transform(names, (n, k) -> struct(n as name, pools[k][at[k]] as value))"))
     df = df.filter(F.expr("rule is null or case rule.op when '<' then at[rule.a] < at[rule.b] when '<>' then at[rule.a] <> at[rule.b] else own[rule.a].value <> own[rule.b].value end"))
     df = df.withColumn("sample_id", F.concat_ws("-", "gen_id", "part", "ord"))
-    df = df.withColumn("picked", F.transform("picks", lambda p: F.struct(F.concat(F.lit("*"), p["name"]).alias("name"), F.get(p["pool"], (hashed(F.concat(p["name"], F.lit("|"), F.col("sample_id")), None) % F.size(p["pool"])).cast("int")).alias("value"))))
+    place = lambda p: (hashed(F.concat(p["name"], F.lit("|"), F.col("sample_id")), None) % (F.size(p["pool"]) - p["other"].isNotNull().cast("int"))).cast("int")
+    past = lambda p: F.coalesce((place(p) >= F.get("at", p["other"])).cast("int"), F.lit(0))
+    df = df.withColumn("picked", F.transform("picks", lambda p: F.struct(F.concat(F.lit("*"), p["name"]).alias("name"), F.get(p["pool"], place(p) + past(p)).alias("value"))))
     df = df.withColumn("with", F.concat("own", "picked"))
     filled = lambda t: F.aggregate("with", t, lambda x, v: F.replace(x, F.concat(F.lit("{"), v["name"], F.lit("}")), v["value"]))
     df = df.withColumns({"turns": F.zip_with("roles", F.transform("texts", filled), lambda r, t: F.struct(r.alias("role"), t.alias("content"))), "rewrite": filled(F.col("rewrite"))})

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
-from glob import glob
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +40,33 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
-def first_existing(explicit: str | None, patterns: list[str], fallbacks: list[str]) -> str | None:
-    """The explicit path, else the first match of a pattern, else the first fallback (driver's files, for configuration)."""
-    for p in [*([explicit] if explicit else []), *patterns, *fallbacks]:
-        if found := sorted(glob(p, recursive=True)):
+def first_existing(spark: SparkSession, explicit: str | None, patterns: list[str], fallbacks: list[str]) -> str | None:
+    """The explicit path, else the first match of a pattern (** for folders at any depth), else the first
+    fallback that is there, in any store that Spark reads."""
+    if explicit and existing(spark, [explicit]):
+        return explicit
+    for p in patterns:
+        if found := _matching(spark, p):
             return found[0]
-    return None
+    return next(iter(existing(spark, fallbacks)), None)
+
+
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, sorted, written as the pattern is (with or without a scheme)."""
+    of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    head, deep, tail = pattern.partition("/**/")
+    fs = of(head).getFileSystem(conf)
+    if deep:
+        if not fs.exists(of(head)):
+            return []
+        files, found = fs.listFiles(of(head), True), []
+        while files.hasNext():
+            found.append(files.next().getPath())
+        found = [p for p in found if fnmatch(p.getName(), tail)]
+    else:
+        found = [s.getPath() for s in fs.globStatus(of(pattern)) or ()]
+    bare = of(head).toUri().getScheme() is None
+    return sorted(p.toUri().getPath() if bare else p.toString() for p in found)
 
 
 def unfenced(c: Column) -> Column:
@@ -55,7 +77,8 @@ def unfenced(c: Column) -> Column:
 
 def payload_items(df: DataFrame, text: str = "value") -> DataFrame:
     """df with pos and item (JSON text of one object) for each object of a payload: an object with
-    samples, a list, one object, or such objects line by line; other lines and items are dropped."""
+    samples, a list, one object, or objects line by line, each a sample or with samples; other lines
+    (lists among them) and items are dropped."""
     body = unfenced(F.col(text))
     # in brackets, as the parser alone does not mind what follows a value
     whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
@@ -63,10 +86,11 @@ def payload_items(df: DataFrame, text: str = "value") -> DataFrame:
     lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.regexp_replace(F.trim(x), r",+$", "")), lambda x: x != "")
     parts = F.when(one & body.rlike(r"^[\[{]"), F.array(body)).otherwise(lines)
     kept = [c for c in df.columns]
-    df = df.select(*kept, F.posexplode(parts).alias("__line", "__part"))
+    df = df.select(*kept, one.alias("__one"), F.posexplode(parts).alias("__line", "__part"))
     v = F.try_parse_json("__part")
-    many = F.when(F.col("__part").startswith("["), F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(F.expr("try_variant_get(v, '$.samples', 'array<variant>')"))
-    df = df.withColumn("v", v).filter("v is not null")
+    listed = F.col("__part").startswith("[")
+    many = F.when(listed, F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(F.expr("try_variant_get(v, '$.samples', 'array<variant>')"))
+    df = df.withColumn("v", v).filter(F.col("v").isNotNull() & (F.coalesce("__one", F.lit(False)) | ~listed))
     items = F.coalesce(many, F.array("v"))
     out = df.select(*kept, "__line", F.posexplode(items).alias("__at", "item")).withColumn("item", F.to_json("item")).filter(F.col("item").startswith("{"))
     return out.withColumn("pos", (F.col("__line").cast("long") * (1 << 32) + F.col("__at"))).drop("__line", "__at")
@@ -83,39 +107,35 @@ class RecoverObjects:
     first list).  Nesting and strings are not regular, so no pattern finds them."""
 
     def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        if text is None:
-            return
-        named = text.find('"samples"')
-        at = text.find("[", max(named, 0))
-        decoder, pos = json.JSONDecoder(), 0
-        while at >= 0 and (at := text.find("{", at + 1)) >= 0:
-            end = _closing(text, at)
-            if end is None:
-                return
+        pos = 0
+        for item in whole_objects(text or ""):
             try:
-                decoder.decode(text[at:end])
-                yield pos, text[at:end]
-                pos += 1
+                json.loads(item)
             except ValueError:
-                pass
-            at = end - 1
-
-
-def _closing(text: str, start: int) -> int | None:
-    """Where the object that opens at start ends; None if it does not."""
-    depth, at, quoted = 0, start, False
-    while at < len(text):
-        c = text[at]
-        if quoted and c == "\\":
-            at += 1
-        elif c == '"':
+                continue
+            yield pos, item
+            pos += 1
+
+
+def whole_objects(text: str) -> Iterator[str]:
+    """Texts between braces that match, outside of strings, from the list on."""
+    at = text.find("[", max(text.find('"samples"'), 0))
+    depth, opened, quoted = 0, -1, False
+    while at >= 0 and (m := (_IN_STRING if quoted else _OUTSIDE).search(text, at)):
+        at, sign = m.end(), m[0]
+        if sign == '"':
             quoted = not quoted
-        elif not quoted and c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return at + 1
-        at += 1
-    return None
+        elif sign == "{":
+            opened = m.start() if depth == 0 else opened
+            depth += 1
+        elif sign == "}":
+            depth -= 1
+            if depth == 0 and opened >= 0:
+                yield text[opened:at]
+                opened = -1
+
+
+_OUTSIDE, _IN_STRING = re.compile(r'["{}]'), re.compile(r'"|\\.', re.S)
 
 
 def recovered(df: DataFrame, text: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Waves that can be resumed: candidates come in as files, the accepted table is the state.
 
 Each batch keeps the first of each key that is not accepted yet, as long as quotas have room,
-and is written once under its batch id; a repeated batch overwrites its own folder."""
+and is written once under its batch id; a repeated batch overwrites its own folder.  Of the
+accepted table a batch reads the columns of the key and of the bucket alone.  Null keys equal
+each other.  No task ranks more rows of a bucket than the largest quota lets in from each task."""
 
 from __future__ import annotations
 
@@ -30,8 +32,10 @@ def waves(source: DataFrame, path: str, checkpoint: str, key: list[str], order:
         new = not_in(first_wins(batch, key, order), old, key)
         if quota is not None:
             have = old.groupBy(*bucket).agg(F.count("*").alias("have"))
+            room = quota.join(have, bucket, "left").select(*bucket, (F.col("quota") - F.coalesce("have", F.lit(0))).alias("room")).filter("room > 0")
+            most = room.agg(F.max("room")).first()[0] or 0
             rank = F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))
-            new = new.withColumn("rn", rank).join(quota, bucket).join(have, bucket, "left").filter("rn + coalesce(have, 0) <= quota").select(*source.columns)
+            new = new.join(room, bucket).withColumn("rn", rank).filter(F.col("rn") <= most).filter("rn <= room").select(*source.columns)
         new.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
