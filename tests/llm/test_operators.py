@@ -61,22 +61,35 @@ def some(spark, name):
 BENCH = [(1, LINE), (2, "one two"), (2, "one two"), (3, None), (4, "..."), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (5, "W20 w21 w22")]
 
 
-@pytest.mark.parametrize("limit", [decontam.INLINE_LIMIT, 0])
-def test_decontamination(spark, docs, clash, empty, limit):
+@pytest.mark.parametrize("limits", [None, (5, -1)])
+def test_decontamination(spark, docs, clash, empty, limits, monkeypatch):
+    if limits:
+        monkeypatch.setattr(decontam, "BROADCAST_HITS", -1)
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     want = sorted(brute.op3(pairs(DOCS), BENCH), key=repr)
-    assert rows(decontam.report(docs, bench, inline_limit=limit), "doc_id", "n_words", "n_hit", "contaminated") == [(a, b, c, f) for a, b, c, _, _, f in want]
+    assert rows(decontam.report(docs, bench, limits=limits), "doc_id", "n_words", "n_hit", "contaminated") == [(a, b, c, f) for a, b, c, _, _, f in want]
     assert rows(decontam.op3(clash, bench)) == want
     assert rows(decontam.op3(empty, bench)) == []
     assert all(r[2:4] == (0, 0) for r in rows(decontam.op3(docs, bench.limit(0))))
-    left = decontam.clean(clash, bench)
+    left = decontam.clean(clash, bench, limits=limits)
     assert left.columns == clash.columns
     bad = [w[0] for w in want if w[5]]
     assert len(bad) == len(DOCS) - left.count()
-    cut = decontam.clean(docs, bench, mode="spans")
+    loud = spark.createDataFrame([(1, "So: " + LINE.upper() + "! And ON it goes."), (2, None), (3, "Own Words.")], "doc_id long, text string")
+    assert rows(decontam.clean(loud, bench, mode="spans", limits=limits)) == [(1, "So: And ON it goes."), (2, None), (3, "Own Words.")]
+    cut = decontam.clean(docs, bench, mode="spans", limits=limits)
     assert cut.count() == len(DOCS) and {r["text"] for r in cut.collect() if r["doc_id"] in (1, 7)} == {""}
 
 
+def test_decontamination_with_a_million_windows(spark):
+    from pyspark.sql import functions as F
+
+    bench = spark.range(1000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1012)), lambda k: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), k.cast("string"))), " ").alias("text"))
+    made = [(1, "w5x7 " + " ".join(f"w77x{k}" for k in range(500, 514)) + " end"), (2, " ".join(f"w3x{k}" for k in range(1, 13))), (3, None)]
+    got = {r["doc_id"]: tuple(r)[1:4] for r in decontam.op3(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (16, 14, 1), 2: (12, 0, 0), 3: (0, 0, 0)}
+
+
 def test_decontamination_on_data(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     assert rows(decontam.op3(*d)) == sorted(brute.op3(pairs(some(spark, "documents")), some(spark, "benchmark")), key=repr)

@@ -6,29 +6,38 @@ it has words, is one window.  A document word inside any occurrence of a window
 
 Every occurrence of a window of L words covers one whole chunk of k = (L + 1) // 2 document
 words that starts at a multiple of k.  So the scan hashes only those chunks, a hash for each
-k words, and looks them up among the hashes of all runs of k words of the windows; around a
-found chunk, and nowhere else, windows are compared as strings.  All of it is local to a row:
-no document text is shuffled.  Only (row, found window) pairs are, to look up the items.
-
-The set is put into the plan while there are at most ``inline_limit`` windows; a larger one is
-joined (``_joined``), with the same result.
-
-Defined cases: a null or empty text has no words and is never hit.  Null item ids name no
-item, repeated ids one.  Repeated document rows each give a row.  Further columns are dropped.
+k words, and joins them with the hashes of all runs of k words of the windows.  A chunk that is
+found goes on with the 2L - k words around it, never with the text, and the windows that lie
+there are joined, as strings, with the benchmark's.
+
+The chunk hashes are broadcast, ``BROADCAST_CHUNKS`` at a time: a benchmark with more of them (some
+two million words) takes a pass over the documents for each such part.  So the plan is the same
+at any size and no text is shuffled.  Windows are broadcast up to ``BROADCAST_WINDOWS``, else the
+places found are joined with them on salted keys.  Hits are kept by text (96 bits of hashes), once
+for all its copies, and joined back to the documents: broadcast up to ``BROADCAST_HITS`` (words hit,
+or contaminated texts for ``clean``), else on salted keys.
+
+Defined cases: a null or empty text has no words and is never hit.  A very long text is one row
+with an array of its words.  Null item ids name no item, repeated ids one.  Repeated document
+rows each give a row.  Further columns are dropped (``clean`` keeps all).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stored
+from .shared import ascii_lower, looked_up, stored
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_AND_REST = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
-#: Most windows that are put into the plan as a set; more are joined.
-INLINE_LIMIT = 50_000
+#: Of a text as it is, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+REST = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+#: Most chunk hashes (about 60 bytes each in a hash set), windows (about 150) and words hit or texts that are broadcast at once.
+BROADCAST_CHUNKS, BROADCAST_WINDOWS, BROADCAST_HITS = 2_000_000, 500_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -40,8 +49,8 @@ def _runs(n: Column, length: int) -> Column:
     return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
 
 
-def _text(array: Column, start: Column, length: int) -> Column:
-    return F.array_join(F.slice(array, start + 1, length), " ")
+def _texts(array: Column, starts: Column, length: int) -> Column:
+    return F.transform(starts, lambda s: F.array_join(F.slice(array, s + 1, length), " "))
 
 
 def windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -52,127 +61,78 @@ def windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     return short.unionByName(full).distinct()
 
 
-def _chunks(wins: DataFrame, length: int) -> DataFrame:
-    k = (length + 1) // 2
-    return (
-        wins.filter(F.col("length") == length)
-        .select(F.split("window", " ").alias("w"))
-        .select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(length - k)), lambda s: F.xxhash64(F.slice("w", s + 1, k)))).alias("h"))
-        .distinct()
-    )
+def _chunk_runs(wins: DataFrame) -> DataFrame:
+    """(length, h): the hashes of all runs of k words of the windows."""
+    runs = F.transform(F.sequence(F.lit(0), F.col("length") - F.col("k")), lambda s: F.xxhash64("length", F.slice("w", s + 1, F.col("k"))))
+    return wins.select("length", F.split("window", " ").alias("w"), F.expr("(length + 1) div 2").cast("int").alias("k")).select(F.explode(runs).alias("h")).distinct()
 
 
-def _covered(starts: Column, length: int) -> Column:
-    return F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (length - 1))))
+def _text_key() -> list[Column]:
+    """96 bits of a text, null as empty: what its hits are found by."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("a"), F.hash(text, F.lit(7)).alias("b")]
 
 
-def _texts(array: Column, starts: Column, length: int) -> Column:
-    return F.transform(starts, lambda s: _text(array, s, length))
-
-
-def _inline(docs: DataFrame, sets: dict[int, tuple[list[int], list[str]]]) -> DataFrame:
-    """docs (uid, w, n) with starts_L for each length L."""
-    for length, (hashes, wins) in sets.items():
-        k = (length + 1) // 2
-        n, found = F.col("n"), F.col(f"found_{length}")
-        seen = ", ".join(f"{h}L" for h in hashes)
-        docs = docs.withColumn(
-            f"found_{length}",
-            F.expr(f"filter(if(n >= {k}, sequence(0, int(floor((n - {k}) / {k}))), cast(array() as array<int>)), i -> xxhash64(slice(w, i * {k} + 1, {k})) in ({seen}))"),
-        )
-        near = F.array_distinct(
-            F.flatten(F.transform(found, lambda i: F.sequence(F.greatest(F.lit(0), i * k + (k - length)), F.least(i * k, n - length))))
-        )
-        docs = docs.withColumn(f"near_{length}", F.when((F.size(found) > 0) & (n >= length), near).otherwise(F.array().cast("array<int>")))
-        texts = ", ".join(f"'{x}'" for x in wins)
-        docs = docs.withColumn(
-            f"starts_{length}",
-            F.expr(f"filter(near_{length}, s -> s >= 0 and s <= n - {length} and array_join(slice(w, s + 1, {length}), ' ') in ({texts}))"),
-        ).drop(f"found_{length}", f"near_{length}")
-    return docs
-
-
-def _joined(docs: DataFrame, wins: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same as _inline for sets of any size: chunk hashes and windows are joined."""
-    docs = stored(docs, "decontam-words")
-    out = docs
-    for length in lengths:
-        k = (length + 1) // 2
-        rows = docs.filter(F.col("n") >= length).select("uid", F.explode(F.expr(f"transform(sequence(0, int(floor((n - {k}) / {k}))), i -> xxhash64(slice(w, i * {k} + 1, {k})))")).alias("h"))
-        near = rows.join(_chunks(wins, length), "h", "left_semi").select("uid").distinct()
-        spread = docs.join(near, "uid", "left_semi").select("uid", F.posexplode(_texts(F.col("w"), _runs(F.col("n"), length), length)).alias("start", "window"))
-        found = spread.join(wins.filter(F.col("length") == length).select("window").distinct(), "window", "left_semi")
-        starts = found.groupBy("uid").agg(F.sort_array(F.collect_set("start")).alias(f"starts_{length}"))
-        out = out.join(starts, "uid", "left").withColumn(f"starts_{length}", F.coalesce(f"starts_{length}", F.array().cast("array<int>")))
-    return out
-
-
-def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, inline_limit: int = INLINE_LIMIT, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The windows, and a row for each document: uid, doc_id, n_words, n_hit, windows
-    (those found, distinct), hit (positions of words that are hit), with the columns of ``keep``."""
+def _aligned(length: int) -> Column:
+    """(l, i, h) of the whole chunks of the words w."""
+    k = (length + 1) // 2
+    return F.expr(f"transform(if(size(w) >= {length}, sequence(0, size(w) div {k} - 1), cast(array() as array<bigint>)), i -> struct({length} as l, int(i * {k}) as at, xxhash64({length}, slice(w, int(i * {k} + 1), {k})) as h))")
+
+
+def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limits: tuple[int, int] | None = None) -> DataFrame:
+    """a, b (of the text), n (its words), hit (sorted positions of words that are hit), items (sorted): texts with a hit,
+    once each.  limits: of chunk hashes and of windows that are broadcast at once."""
+    most_chunks, most_windows = limits or (BROADCAST_CHUNKS, BROADCAST_WINDOWS)
     wins = stored(windows(bench, window), "decontam-windows")
-    sizes = {r["length"]: r["count"] for r in wins.groupBy("length").count().collect()}
-    lengths = sorted(sizes)
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *keep, words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    if sum(sizes.values()) <= inline_limit:
-        sets = {L: (sorted(r[0] for r in _chunks(wins, L).collect()), sorted({r[0] for r in wins.filter(F.col("length") == L).select("window").collect()})) for L in lengths}
-        base = _inline(base, sets)
-    else:
-        base = _joined(base, wins, lengths)
+    lengths = sorted(r["length"] for r in wins.select("length").distinct().collect())
+    nothing = "a long, b int, n int, hit array<int>, items array<string>"
     if not lengths:
-        empty = F.array().cast("array<string>")
-        return wins, base.select("uid", "doc_id", *keep, F.col("n").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), empty.alias("windows"), F.array().cast("array<int>").alias("hit"))
-    parts = [(F.col(f"starts_{L}"), L) for L in lengths]
-    some = F.lit(False)
-    for starts, _ in parts:
-        some = some | (F.size(starts) > 0)
-    hit = F.array_distinct(F.concat(*[_covered(s, L) for s, L in parts]))
-    found = F.array_distinct(F.concat(*[_texts(F.col("w"), s, L) for s, L in parts]))
-    return wins, base.select(
-        "uid", "doc_id", *keep, F.col("n").cast("long").alias("n_words"),
-        F.when(some, found).otherwise(F.array().cast("array<string>")).alias("windows"),
-        F.when(some, hit).otherwise(F.array().cast("array<int>")).alias("hit"),
-    ).withColumn("n_hit", F.size("hit").cast("long"))
+        return docs.sparkSession.createDataFrame([], nothing)
+    chunks = stored(_chunk_runs(wins), "decontam-chunks")
+    items = stored(wins.groupBy("window").agg(F.collect_set("item_id").alias("ids")), "decontam-items")
+    rows = docs.select(*_text_key(), words(F.col("text")).alias("w"))
+    rows = rows.select("a", "b", "w", F.explode(F.concat(*map(_aligned, lengths))).alias("c")).select("a", "b", "w", F.col("c.l").alias("l"), F.col("c.at").alias("at"), F.col("c.h").alias("h"))
+    first = F.greatest(F.lit(0), F.col("at") + F.expr("(l + 1) div 2") - F.col("l")).cast("int")
+    passes = -(-chunks.count() // most_chunks)
+    found = reduce(DataFrame.unionByName, [rows.join(F.broadcast(chunks.filter(F.pmod("h", F.lit(passes)) == p)), "h", "left_semi") for p in range(passes)])
+    near = found.select("a", "b", F.size("w").alias("n"), "l", first.alias("first"), F.expr("slice(w, int(greatest(0, at + (l + 1) div 2 - l)) + 1, int(least(at, size(w) - l) - greatest(0, at + (l + 1) div 2 - l)) + l)").alias("w"))
+    spread = near.select("a", "b", "n", "l", F.explode(F.expr("transform(sequence(0, size(w) - l), s -> struct(first + s as s, array_join(slice(w, s + 1, l), ' ') as window))")).alias("x"))
+    hit = looked_up(spread.select("a", "b", "n", "l", "x.s", "x.window"), items, ["window"], "inner", most_windows, F.struct("a", "s"))
+    by_text = hit.groupBy("a", "b", "n").agg(F.collect_set(F.struct("s", "l")).alias("x"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"))
+    return by_text.select("a", "b", "n", F.array_sort(F.array_distinct(F.flatten(F.transform("x", lambda x: F.sequence(x["s"], x["s"] + x["l"] - 1))))).alias("hit"), F.array_sort("items").alias("items"))
 
 
 def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
 
 
-def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, inline_limit: int = INLINE_LIMIT) -> DataFrame:
+def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limits: tuple[int, int] | None = None) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, items (sorted array of strings), contaminated."""
-    wins, found = scan(docs, bench, window, inline_limit)
-    rows = found.select("uid", "doc_id", "n_words", "n_hit", F.explode_outer("windows").alias("window"))
-    items = wins.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    if wins.count() <= INLINE_LIMIT:
-        items = F.broadcast(items)
-    return (
-        rows.join(items, "window", "left")
-        .groupBy("uid", "doc_id", "n_words", "n_hit")
-        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
-        .drop("uid")
-        .withColumn("contaminated", contaminated())
-    )
+    found = stored(hits(docs, bench, window, limits), "decontam-hits")
+    n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    words_hit = found.agg(F.coalesce(F.sum(F.size("hit") + F.size("items")), F.lit(0))).first()[0]
+    rows = docs.select("doc_id", n.alias("n_words"), *_text_key(), F.monotonically_increasing_id().alias("row"))
+    rows = looked_up(rows, found.select("a", "b", "hit", "items"), ["a", "b"], "left", BROADCAST_HITS if words_hit <= BROADCAST_HITS else -1, F.col("row"))
+    out = rows.select("doc_id", "n_words", F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.withColumn("contaminated", contaminated())
 
 
-def clean(docs: DataFrame, bench: DataFrame, mode: str = "documents", window: int = WINDOW, inline_limit: int = INLINE_LIMIT) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, mode: str = "documents", window: int = WINDOW, limits: tuple[int, int] | None = None) -> DataFrame:
     """docs without contaminated documents (mode "documents"), or with the hit words and what
     follows them up to the next word cut from contaminated texts (mode "spans"); columns stay."""
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
-    _, found = scan(packed, bench, window, inline_limit, keep=("__row",))
-    # the filter uses a column that is not deterministic, so that it isn't pushed below the arrays of
-    # words, which would be made anew for each element that is looked up
-    found = found.withColumn("bad", contaminated()).withColumn("at", F.monotonically_increasing_id())
-    out = [F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    bad = stored(hits(docs, bench, window, limits).filter(F.size("hit") * 20 >= F.col("n")).select("a", "b", *(["hit"] if mode == "spans" else [])), "decontam-bad")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text", *_text_key(), F.monotonically_increasing_id().alias("row"))
     if mode == "documents":
-        return found.filter(~F.col("bad") & (F.col("at") >= 0)).select(*out)
-    pieces = F.regexp_extract_all(F.col("__row.text"), F.lit(WORD_AND_REST), F.lit(0))
-    left = F.concat(F.regexp_extract(F.col("__row.text"), "^" + SEPARATORS, 0), F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("hit", i)), ""))
-    text = F.when(F.col("bad"), left).otherwise(F.col("__row.text"))
-    return found.select(*[text.alias("text") if c == "text" else x for c, x in zip(docs.columns, out)])
+        return looked_up(rows, bad, ["a", "b"], "left_anti", BROADCAST_HITS, F.col("row")).select("__doc.*")
+    words_hit = bad.agg(F.coalesce(F.sum(F.size("hit")), F.lit(0))).first()[0]
+    rows = looked_up(rows, bad, ["a", "b"], "left", BROADCAST_HITS if words_hit <= BROADCAST_HITS else -1, F.col("row"))
+    pieces = F.regexp_extract_all("text", F.lit(WORD + REST), F.lit(0))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), "hit")
+    left = F.concat(F.regexp_extract("text", "^" + REST, 0), F.array_join(F.transform(keep, lambda i: F.get(pieces, i)), ""))
+    text = F.when(F.col("hit").isNotNull(), left).otherwise(F.col("text"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3(docs: DataFrame, bench: DataFrame) -> DataFrame:

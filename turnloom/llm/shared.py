@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cleanup, shared_dir, stored
+
+__all__ = ["arrow_batches", "ascii_lower", "cleanup", "crc_mod", "few", "looked_up", "shared_dir", "space_words", "stored", "table"]
+
 #: Rows in a batch that goes to Python.  Texts can be long, so batches are short.
 ARROW_ROWS = 400
 
@@ -27,29 +28,18 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset
-    (tests on one machine), a temporary folder that the session then keeps."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="turnloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: one run of its plan,
-    whatever reads it later, and nothing that is lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def few(df: DataFrame, rows: int) -> bool:
+    """Whether a stored table has at most so many rows, so that it may be broadcast."""
+    return df.count() <= rows
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Removes the tables that this application has stored; for when its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def looked_up(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, salt: Column, salts: int = 16) -> DataFrame:
+    """left with what right (a stored table) has for it: right is broadcast up to so many rows; beyond that it is
+    dealt to salts copies, so that the rows of a hot key, told apart by salt, meet in as many tasks."""
+    if few(right, rows):
+        return left.join(F.broadcast(right), on, how)
+    dealt = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(dealt, [*on, "__salt"], how).drop("__salt")
 
 
 def ascii_lower(text: Column) -> Column:
