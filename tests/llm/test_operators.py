@@ -257,6 +257,65 @@ def test_long_secrets_are_redacted_whole(spark):
     assert got == {1: "token=[SECRET] end", 2: "password=[SECRET]"}
 
 
+def test_pii_added_spans_on_planted_data(spark):
+    """Recall and precision of what the method adds, on values planted among look-alikes."""
+    import random
+
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    key = lambda: "".join(r.choice("abcdefghkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(r.randint(14, 40))) + "a7"
+    real = [
+        lambda: ("secret", r.choice(["password=", "api_key: ", "token = \"", "secret="]), key()),
+        lambda: ("ssn", r.choice(["her ssn ", "social security number: ", "SSN "]), f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+        lambda: ("tel", r.choice(["call ", "tel ", "phone: ", "at "]), f"{r.randint(200, 999)}-{r.randint(200, 999)}-{digits(4)}"),
+        lambda: ("tel", r.choice(["reach us: ", "fax "]), f"({r.randint(200, 999)}) {r.randint(200, 999)}-{digits(4)}"),
+    ]
+    alike = [
+        lambda: f"section 000-{r.randint(10, 99)}-{digits(4)}", lambda: f"part 9{digits(2)}-00-0000", lambda: f"version v{r.randint(100, 199)} {digits(3)}.{digits(4)}_x", lambda: f"order 1{digits(2)} {digits(3)}-{digits(4)}x",
+        lambda: f"token: {r.choice('abc') * 9}", lambda: f"release 300.400.{digits(3)}.1", lambda: f"item {digits(17)}", lambda: f"page 0{digits(2)} {digits(3)}-{digits(4)}",
+    ]
+    base = [lambda: f"mail {word(5)}@{word(6)}.com", lambda: f"host 10.{r.randint(0, 255)}.0.{r.randint(0, 255)}", lambda: "card 4111 1111 1111 1111", lambda: f"+44 {digits(4)} {digits(6)}"]
+    made, truth = [], set()
+    for i in range(600):
+        text = ""
+        for _ in range(r.randint(1, 6)):
+            text += " ".join(word(r.randint(2, 8)) for _ in range(r.randint(1, 6))) + " "
+            x = r.random()
+            if x < 0.4:
+                kind, cue, value = r.choice(real)()
+                truth.add((i, kind, len(text + cue), len(text + cue + value)))
+                text += cue + value + " "
+            else:
+                text += r.choice(alike if x < 0.8 else base)() + " "
+        made.append((i, text))
+    got = {(x["doc_id"], k, int(s), int(e)) for x in pii.op10(spark.createDataFrame(made, "doc_id long, text string")).collect() for k, s, e in (y.split(":") for y in x["spans"].split(",") if y)}
+    added = {x for x in got if x[1] not in pii.BASE}
+    assert len(added & truth) >= 0.95 * len(truth) and len(added & truth) >= 0.95 * len(added), (len(added & truth), len(truth), len(added))
+
+
+def test_pii_added_spans_do_not_overlap(spark):
+    made = [(1, "token=abc123def456 555 123 4567 and ssn 123-45-6788 or call 555-123-4567"), (2, "password=a1b2c3d4@x.com"), (3, "\ufeffkey \ufeff mail a@b.cd \ufeff")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for r in pii.op10(df).collect():
+        at = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x))
+        assert all(b[0] >= a[1] for a, b in zip(at, at[1:]) if not (a[2] in pii.BASE and b[2] in pii.BASE)), at
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[3] == "\ufeffkey \ufeff mail [EMAIL] \ufeff"
+
+
+def test_pii_with_many_matches_in_one_text(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"a{i}@x.com 555-123-{i % 10000:04d} k" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii.op10(df).collect()[0]
+    assert r["n_email"] == n and r["spans"].count(",") == 2 * n - 1
+    assert pii.redact(df).collect()[0]["text"] == " ".join(["[EMAIL] [TEL] k"] * n)
+    assert time.time() - began < 90
+
+
 def test_pii_on_random_texts(spark):
     import random
 
