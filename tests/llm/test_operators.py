@@ -104,19 +104,50 @@ def test_rules(spark, docs, clash, empty):
 
 def test_host_verdicts(spark):
     made = [("good", False)] * 200 + [("bad", True)] * 180 + [("bad", False)] * 20 + [("new", True)] + [(None, True)] + [("fair", False)] * 150 + [("fair", True)] * 50
-    got = {r["host"]: r for r in rules.host_verdicts(spark.createDataFrame(made, "host string, base_failed boolean")).collect()}
+    got = {r["host"]: r for r in rules.host_verdicts(spark.createDataFrame(made, "host string, failed boolean")).collect()}
     assert {h for h, r in got.items() if r["rejected"]} == {"bad"}
     assert got["new"]["rate"] < 0.6 and abs(got["bad"]["rate"] - 0.9) < 0.05 and None not in got
+    assert not rules.host_verdicts(spark.createDataFrame([("one", True)] * 50, "host string, failed boolean")).first()["rejected"]
+
+
+def test_hosts_that_are_alike_stay(spark):
+    import random
+
+    r = random.Random(1)
+    for rate in (0.02, 0.1, 0.6):
+        made = [(f"h{k}", r.random() < rate) for k in range(30) for _ in range(r.choice([5, 40, 400]))]
+        assert rules.host_verdicts(spark.createDataFrame(made, "host string, failed boolean")).filter("rejected").count() == 0
+
+
+def hosts(spark):
+    """Twelve hosts, of which one has texts with too many symbols and one too short ones."""
+    good = lambda i: " ".join(f"word{(i * 31 + k) % 97}" for k in range(30 + i % 7))
+    made = [(i, good(i) if i % 9 else "x y", f"h{i % 10}", None) for i in range(600)]
+    made += [(1000 + i, good(i) + " # # # # # # # #" * (i % 8 != 0), "symbols", None) for i in range(70)]
+    made += [(2000 + i, "x y" if i % 5 else good(i), "short", None) for i in range(70)] + [(3000, good(1), None, None), (3001, None, "short", None)]
+    return spark.createDataFrame(made, "doc_id long, text string, source string, lang string")
 
 
 def test_rejected_hosts_take_their_documents(spark, monkeypatch):
-    good = " ".join(f"v{i}" for i in range(30))
-    made = [(i, "x y", "bad") for i in range(60)] + [(100, good, "bad"), (101, good, None)] + [(200 + i, good + str(i), "good") for i in range(60)]
-    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    df = hosts(spark)
     for bound in (rules.BROADCAST_HOSTS, -1):
         monkeypatch.setattr(rules, "BROADCAST_HOSTS", bound)
-        kept = {r["doc_id"]: r["kept"] for r in rules.op6(df).collect()}
-        assert len(kept) == len(made) and not kept[100] and kept[101] and all(kept[200 + i] for i in range(60))
+        got = {r["doc_id"]: r for r in rules.op6(df).collect()}
+        assert len(got) == df.count() and got[3000]["kept"]
+        assert not any(r["kept"] for i, r in got.items() if 1000 <= i < 3000) and sum(not r["base_failed"] for i, r in got.items() if 1000 <= i < 3000) > 50
+        assert all(r["kept"] is not r["base_failed"] for i, r in got.items() if i < 1000)
+
+
+def test_rejected_hosts_by_sql(spark, tmp_path):
+    import duckdb
+
+    from turnloom.llm import queries
+
+    hosts(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    theirs = con.execute(queries.OP6).fetchall()
+    assert sorted(theirs, key=repr) == rows(queries.op6_quality_rules(spark, str(tmp_path))) and sum(not r[7] and not r[6] for r in theirs) > 50
 
 
 def test_packing(spark, docs, clash, empty):

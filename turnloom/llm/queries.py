@@ -92,15 +92,18 @@ WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, ''
 x AS (SELECT uid, i, array_to_string(w[i:i + 7], ' ') AS k FROM d, unnest(range(1, len(w) - 6)) AS t(i)),
 y AS (SELECT uid, i, count(*) OVER (PARTITION BY uid, k) AS n FROM x),
 r AS (SELECT uid, count(DISTINCT p) AS n_repeat_words FROM y, unnest(range(i, i + 8)) AS t(p) WHERE n > 1 GROUP BY uid),
-l AS (SELECT uid, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT uid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY uid),
-f AS (SELECT uid, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+l AS (SELECT uid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT uid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY uid),
+e AS (SELECT uid, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
   FROM d LEFT JOIN r USING (uid) LEFT JOIN l USING (uid)),
-g AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT least(greatest(sum(bad) / sum(n), 1e-3), 1 - 1e-3) AS mean, var_pop(bad / n) AS var, avg(1.0 / n) AS inv FROM g),
-s AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-6) - 1, 2.0), 1000.0) AS strength FROM m),
-v AS (SELECT source, (bad + mean * strength) / (n + strength) AS rate, n + strength + 1 AS size FROM g, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate - 2 * sqrt(rate * (1 - rate) / size) > 0.5, false) AS kept FROM f LEFT JOIN v USING (source)
+f AS (SELECT *, base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 10 > n_lines * 3 OR word_chars < n_words * 3 OR word_chars > n_words * 10 AS failed FROM e),
+g AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS bad, bad / n AS rate FROM f WHERE source IS NOT NULL GROUP BY source),
+o AS (SELECT *, count(*) OVER () - 1 AS k, sum(n) OVER () - n AS on_, sum(bad) OVER () - bad AS obad, sum(rate) OVER () - rate AS orate, sum(rate * rate) OVER () - rate * rate AS orate2, sum(1 / n) OVER () - 1 / n AS oinv FROM g),
+m AS (SELECT source, n, bad, least(greatest(obad / on_, 1e-3), 1 - 1e-3) AS mean, orate2 / k - (orate / k) * (orate / k) AS var, oinv / k AS inv FROM o WHERE k > 0),
+s AS (SELECT *, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-6) - 1, 2.0), 1000.0) AS strength FROM m),
+v AS (SELECT source, mean, strength, (bad + mean * strength) / (n + strength) AS rate, n + strength + 1 AS size FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(rate - 2 * sqrt(rate * (1 - rate) / size) > mean + 2 * sqrt(mean * (1 - mean) / (strength + 1)), false) AS kept FROM f LEFT JOIN v USING (source)
 """
 
 
