@@ -109,7 +109,7 @@ def contaminated() -> Column:
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limits: tuple[int, int] | None = None) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, items (sorted array of strings), contaminated."""
     found = stored(hits(docs, bench, window, limits), "decontam-hits")
-    n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    n = F.size(words(F.col("text"))).cast("long")
     words_hit = found.agg(F.coalesce(F.sum(F.size("hit") + F.size("items")), F.lit(0))).first()[0]
     rows = docs.select("doc_id", n.alias("n_words"), *_text_key(), F.monotonically_increasing_id().alias("row"))
     rows = looked_up(rows, found.select("a", "b", "hit", "items"), ["a", "b"], "left", BROADCAST_HITS if words_hit <= BROADCAST_HITS else -1, F.col("row"))
