@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from .shared import SPACE, space_words, stored
 
 RUN = 8
-#: White space of the contract, and the characters that count as symbols.
-WHITE, SIGNS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Rules that count for a host: symbols a word, share of repeated lines, characters a word (least, most), in whole numbers.
 SYMBOLS, LINES, SHORT, LONG = (1, 10), (3, 10), 3, 10
 #: Deviations, of the host's posterior and of the prior.
@@ -46,12 +44,11 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
         "doc_id",
         F.col(host).alias("host"),
         space_words(F.col("text")).alias("w"),
-        F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SIGNS, ""))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
     df = df.select(
-        "doc_id", "host", "word_chars", "n_symbols", F.size("lines").alias("n_lines"),
+        "doc_id", "host", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols", F.size("lines").alias("n_lines"),
         F.size("w").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
