@@ -177,16 +177,39 @@ def op4(rows):
     return out
 
 
-def op2(docs):
-    """(doc_id, n_sentences, n_removed) for documents with distinct ids, spans compared as words."""
-    from turnloom.llm.substrings import LEAST_SENTENCES, LEAST_WORDS, sentences
+def sentences(text, window=9):
+    """Lists of words: cut after ends of sentences and lines, and in each row of so many words without one after the word of
+    the least CRC, the last of equal ones."""
+    import zlib
+
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
+    text = text or ""
+    last = lambda k: k == len(words) - 1 or "\n" in text[words[k][1] : words[k + 1][0]] or text[words[k][1] - 1] in ".!?"
+    end = [last(k) for k in range(len(words))]
+    value = [zlib.crc32(text[s:e].encode()) >> 2 for s, e in words]
+    cuts = {k for k, x in enumerate(end) if x}
+    for k in range(len(words) - window + 1):
+        if not any(end[k : k + window]):
+            least = min(value[k : k + window])
+            cuts.add(max(j for j in range(k, k + window) if value[j] == least))
+    out, own = [], []
+    for k, (s, e) in enumerate(words):
+        own.append(text[s:e])
+        if k in cuts:
+            out.append(own)
+            own = []
+    return out
+
 
-    first, spans = {}, []
+def op2(docs, least_sentences=2, least_words=15):
+    """(doc_id, n_sentences, n_removed) for documents with distinct ids, spans compared as words."""
+    first, spans, size = {}, [], {}
     for d, text in sorted(docs):
-        s = [(text or "")[a:b].split() for a, b in sentences(text)]
+        s = sentences(text)
+        size[d] = len(s)
         for i in range(len(s)):
             for j in range(i + 1, len(s) + 1):
-                if j - i >= LEAST_SENTENCES and sum(map(len, s[i:j])) >= LEAST_WORDS:
+                if j - i >= least_sentences and sum(map(len, s[i:j])) >= least_words:
                     key = tuple(map(tuple, s[i:j]))
                     spans.append((d, i, j, key))
                     first.setdefault(key, (d, i))
@@ -195,4 +218,4 @@ def op2(docs):
     for d, i, j, key in spans:
         if first[key] != (d, i):
             gone.setdefault(d, set()).update(range(i, j))
-    return [(d, len(sentences(t)), len(gone.get(d, ()))) for d, t in docs]
+    return [(d, size[d], len(gone.get(d, ()))) for d, _ in docs]

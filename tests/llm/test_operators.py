@@ -409,7 +409,7 @@ def test_passages_hold_a_span_at_any_alignment():
         for before in range(0, 24):
             for after in (0, 1, 5, 17):
                 hosts = [" ".join(prose(before, 0) + passage + prose(after, 0)), " ".join([*prose(7, 7), *prose(r.randrange(30), r.randrange(25)), *passage, "end", "it."])]
-                a, b = map(set, map(substrings.runs, hosts))
+                a, b = (set(substrings.runs(h)[0]) for h in hosts)
                 assert a & b, (passage, before, after)
 
 
@@ -427,7 +427,7 @@ def test_passages_with_other_white_space_share_spans():
     passage = [f"p{i}" for i in range(60)]
     for gap in ("\t", "\u00a0", "\u3000", "  "):
         a, b = "It was said " + gap.join(passage) + " once. Yes.", "Then " + " ".join(passage[:30]) + gap + " ".join(passage[30:]) + " or so they told us. No."
-        assert set(substrings.runs(a)) & set(substrings.runs(b)), repr(gap)
+        assert set(substrings.runs(a)[0]) & set(substrings.runs(b)[0]), repr(gap)
         assert substrings.runs(gap.join(passage)) == substrings.runs(" ".join(passage))
 
 
@@ -435,7 +435,7 @@ def test_hot_passages(spark):
     passage = LINE + ". " + LINE[::-1] + "."
     made = [(i, f"This is number {i}. " + passage) for i in range(1500)]
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
-    assert substrings.hot_spans(substrings.spans(df))
+    assert substrings.hot_spans(substrings.spans(df)).count() > 0
     got = rows(substrings.op2(df), "doc_id", "n_sentences", "n_removed")
     assert got == sorted(brute.op2(made), key=repr) and got[0][2] == 0 and all(r[2] > 0 for r in got[1:])
 

@@ -13,20 +13,22 @@ space within lines made even), and the hashes meet in one global shuffle, where
 but the first of its kind, by doc_id, text hash and place, is found.  The sentences that those
 cover are removed.
 
-Only hashes and places are shuffled, once; the texts are, once, for the removal.  Hot spans,
-which would meet in one task, stay out of that shuffle: each task names those that make up
-more than 1/2,000 of its spans; of all named, those seen in more than 1/10,000 of all spans,
-10,000 at most, are summed to their first places, and all others of them are not the first.
-A span of 1/1,000 of all spans is always among them.
-
-Defined cases: a null or empty text has no sentences and stays.  Rows with one doc_id and one
-text are one document: each gets its result.  Rows with a null doc_id come first in order.
+Only hashes and places are shuffled, once; the texts are, once, for the removal, where only those
+with a covered sentence go to Python.  Hot spans, which would meet in one task, stay out of that
+shuffle: each task names those that it sees ``NAMED`` times in a million spans; of all named, those
+that make up more than 1/100,000 of all spans (so 100,000 at most, which are broadcast) are summed
+to their first places, in each task first, and all others of them are not the first.  So a task
+gets 1/100,000 of all spans for one span, or little more.
+
+Defined cases: a null or empty text has no sentences and stays.  A very long text is one row with
+an array of hashes.  Rows with one doc_id and one text are one document: each gets its result.  Rows with a null doc_id come first in order.
 Further columns stay (``dedup``).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 from zlib import crc32
@@ -39,21 +41,21 @@ from pyspark.sql import functions as F
 from .shared import arrow_batches, stored
 
 LEAST_WORDS, LEAST_SENTENCES, WINDOW = 15, 2, 9
-#: A span is hot if it makes up more than this share of a task's spans, and (at most 10,000 are) of all.
-HOT_IN_TASK, HOT = 1 / 2000, 1 / 10_000
+#: A span is hot if it makes up more than this share of all spans and LEAST rows; tasks name those they see so often in CHUNK spans.
+HOT, LEAST, NAMED = 1 / 100_000, 1000, 8
 CHUNK = 1 << 20
-#: Values of words that a process keeps.
+#: Values of words that a process keeps, those that it sees first: frequent ones are among them.
 KNOWN = 200_000
-_GAP = re.compile(r"(\s+)")
+_WORD = re.compile(r"\S+")
 
 
 class Values(dict):
     """What winnowing compares, by word: 0 for an end of a sentence."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        got = self[word] = 0 if word[-1] in ".!?" else 1 + (crc32(word.encode("utf-8", "surrogatepass")) >> 2)
+        got = 0 if word[-1] in ".!?" else 1 + (crc32(word.encode("utf-8", "surrogatepass")) >> 2)
+        if len(self) < KNOWN and len(word) < 64:
+            self[word] = got
         return got
 
 
@@ -62,14 +64,24 @@ _values = Values()
 
 def cut(text: str | None) -> tuple[list[str], list[int], list[tuple[int, int]]]:
     """The words, and of each sentence its first word and its start and end in the text."""
-    pieces = _GAP.split(text or "")  # words at even places; the first and the last may be empty
-    first, last = 0 if pieces[0] else 2, len(pieces) if pieces[-1] else len(pieces) - 2
-    if first >= last:
+    text = text or ""
+    words = text.split()
+    if not words:
         return [], [], []
-    at = list(accumulate(map(len, pieces), initial=0))
-    words, gaps = pieces[first:last:2], pieces[first + 1 : last : 2]
+    sizes = list(map(len, words))
+    if sum(sizes) + len(words) - 1 == len(text):  # one character in each gap
+        at = list(accumulate((n + 1 for n in sizes), initial=0))
+        to = [a + n for a, n in zip(at, sizes)]
+        lines, i = [], text.find("\n")
+        while i >= 0:
+            lines.append(bisect_left(to, i))
+            i = text.find("\n", i + 1)
+    else:
+        spots = [m.span() for m in _WORD.finditer(text)]
+        at, to = [a for a, _ in spots], [b for _, b in spots]
+        lines = [k for k in range(len(words) - 1) if "\n" in text[to[k] : at[k + 1]]]
     v = np.fromiter(map(_values.__getitem__, words), np.int64, len(words))
-    v[[i for i, g in enumerate(gaps) if g != " " and "\n" in g]] = 0
+    v[lines] = 0
     v[-1] = 0
     stop = v == 0
     if len(v) >= WINDOW:
@@ -80,7 +92,7 @@ def cut(text: str | None) -> tuple[list[str], list[int], list[tuple[int, int]]]:
         stop[-least & 0xFFFFFFFF] = True
     stops = np.flatnonzero(stop).tolist()
     heads = [0, *(e + 1 for e in stops[:-1])]
-    return words, heads, [(at[first + 2 * s], at[first + 2 * e + 1]) for s, e in zip(heads, stops)]
+    return words, heads, [(at[s], to[e]) for s, e in zip(heads, stops)]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -102,39 +114,41 @@ def ends(words: list[int]) -> list[int]:
     return out
 
 
-def runs(text: str | None) -> list[tuple[int, int]]:
-    """Two parts of the hash of each span; the spans begin at the sentences 0, 1, 2 ..."""
+def runs(text: str | None) -> tuple[list[tuple[int, int]], int]:
+    """Two parts of the hash of each span (the spans begin at the sentences 0, 1, 2 ...), and how many sentences there are."""
     import xxhash
 
     words, heads, _ = cut(text)
     parts = list(zip(heads, [*heads[1:], len(words)]))
     codes = [xxhash.xxh3_64_digest(" ".join(words[s:e]).encode("utf-8", "surrogatepass")) for s, e in parts]
     hashes = [xxhash.xxh3_128_intdigest(b"".join(codes[i:j])) for i, j in enumerate(ends([e - s for s, e in parts]))]
-    return [((h & (1 << 64) - 1) - (1 << 63), (h >> 96) - (1 << 31)) for h in hashes]
+    return [((h & (1 << 64) - 1) - (1 << 63), (h >> 96) - (1 << 31)) for h in hashes], len(parts)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), r: arrays a, b (the hash of the span that begins at each sentence)."""
+    """doc_id, h (hash of the text), r: n (sentences) and arrays a, b (the hash of the span that begins at each sentence)."""
     arrow_batches(docs.sparkSession)
 
-    @F.pandas_udf("a array<long>, b array<int>")
+    @F.pandas_udf("n int, a array<long>, b array<int>")
     def found(texts: pd.Series) -> pd.DataFrame:
-        rows = [tuple(map(list, zip(*runs(t)))) or ([], []) for t in texts]
-        return pd.DataFrame(rows, columns=["a", "b"])
+        rows = []
+        for t in texts:
+            own, n = runs(t)
+            rows.append((n, [a for a, _ in own], [b for _, b in own]))
+        return pd.DataFrame(rows, columns=["n", "a", "b"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), found("text").alias("r"))
 
 
-def hot_spans(found: DataFrame) -> list[int]:
-    """The values of a that are too frequent to meet in one task; 1 / HOT at most."""
+def hot_spans(found: DataFrame) -> DataFrame:
+    """The values of a that are too frequent to meet in one task; 1 / HOT rows at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def named():
             own, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n > max(size * HOT_IN_TASK, 1)
-            return pd.DataFrame({"a": own[keep], "n": n[keep]})
+            return pd.DataFrame({"a": own[n >= NAMED], "n": n[n >= NAMED]})
 
         for b in batches:
             for x in b["a"]:
@@ -148,53 +162,51 @@ def hot_spans(found: DataFrame) -> list[int]:
 
     total = found.agg(F.sum(F.size("r.a"))).first()[0] or 0
     got = found.select("r.a").mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    return [r["a"] for r in got.filter(F.col("n") > max(total * HOT, 1000)).select("a").collect()]
+    return stored(got.filter(F.col("n") > max(total * HOT, LEAST)).select("a"), "hot-spans")
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, h, cover (the sentences where spans begin): spans that are not the first of their kind."""
+    """doc_id, h, n (sentences), cover (the sentences where spans begin that are not the first of their kind; null without
+    any): a row for each document."""
     found = stored(spans(docs), "spans")
-    hot = hot_spans(found)
+    hot = F.broadcast(hot_spans(found))
     rows = found.select("doc_id", "h", F.posexplode(F.arrays_zip("r.a", "r.b")).alias("i", "x")).select("doc_id", "h", "i", "x.a", "x.b")
     order = Window.partitionBy("a", "b").orderBy("doc_id", "h", "i")
-    later = rows.filter(~F.col("a").isin(hot)).withColumn("rank", F.dense_rank().over(order)).filter("rank > 1").select("doc_id", "h", "i")
-    if hot:
-        own, place = rows.filter(F.col("a").isin(hot)), F.struct("doc_id", "h", "i")
-        first = own.groupBy("a", "b").agg(F.min(place).alias("p")).select(F.xxhash64("a", "b", "p.doc_id", "p.h", "p.i"))
-        firsts = [r[0] for r in first.collect()]  # one for each hot span
-        later = later.unionByName(own.filter(~F.xxhash64("a", "b", "doc_id", "h", "i").isin(firsts)).select("doc_id", "h", "i"))
-    return later.groupBy("doc_id", "h").agg(F.collect_set("i").alias("cover"))
-
-
-def removed(text: str | None, cover: list | None) -> tuple[str | None, int, int]:
-    """The text left, its sentences, and how many were removed."""
-    at = sentences(text)
-    if cover is None or not len(cover):
-        return text, len(at), 0
-    gone, end = set(), ends([len(text[s:e].split()) for s, e in at])
+    later = rows.join(hot, "a", "left_anti").withColumn("rank", F.dense_rank().over(order)).filter("rank > 1").select("doc_id", "h", "i")
+    if not hot.isEmpty():
+        own, place = rows.join(hot, "a"), F.struct("doc_id", "h", "i")
+        first = own.groupBy("a", "b").agg(F.min(place).alias("first"))  # one for each hot span
+        later = later.unionByName(own.join(F.broadcast(first), ["a", "b"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "h", "i"))
+    # a document's own row and its places meet by the document
+    both = found.select("doc_id", "h", F.col("r.n").alias("n"), F.lit(None).cast("int").alias("i")).unionByName(later.withColumn("n", F.lit(None).cast("int")), allowMissingColumns=True)
+    return both.groupBy("doc_id", "h").agg(F.max("n").alias("n"), F.collect_set("i").alias("cover")).withColumn("cover", F.when(F.size("cover") > 0, F.col("cover")))
+
+
+def removed(text: str, cover: list) -> tuple[str, int]:
+    """The text left without the spans that begin at the sentences of cover, and how many sentences went."""
+    words, heads, at = cut(text)
+    gone, end = set(), ends([e - s for s, e in zip(heads, [*heads[1:], len(words)])])
     for i in cover:
         gone.update(range(i, end[i]))
-    out = []
-    for k, (s, _) in enumerate(at):
-        if k not in gone:
-            out.append(text[s : at[k + 1][0] if k + 1 < len(at) else len(text)])
-    return "".join(out).rstrip() if out else "", len(at), len(gone)
+    out = [text[s : at[k + 1][0] if k + 1 < len(at) else len(text)] for k, (s, _) in enumerate(at) if k not in gone]
+    return "".join(out).rstrip(), len(gone)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text that is left, n_sentences and n_removed."""
     arrow_batches(docs.sparkSession)
-    cover = covered(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("cover").alias("__cover"))
+    cover = covered(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("n").alias("__n"), F.col("cover").alias("__cover"))
     df = docs.drop("n_sentences", "n_removed").withColumn("__hash", F.xxhash64("text"))
     df = df.join(cover, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
 
-    @F.pandas_udf("text string, n_sentences long, n_removed long")
+    @F.pandas_udf("text string, n long")
     def left(texts: pd.Series, covers: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([removed(t, c) for t, c in zip(texts, covers)], columns=["text", "n_sentences", "n_removed"])
+        return pd.DataFrame([(None, 0) if c is None else removed(t, c) for t, c in zip(texts, covers)], columns=["text", "n"])
 
-    df = df.withColumn("__r", left("text", "__cover"))
-    keep = [F.col("__r.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    return df.select(*keep, "__r.n_sentences", "__r.n_removed")
+    df = df.withColumn("__r", left(F.when(F.col("__cover").isNotNull(), F.col("text")), "__cover"))
+    text = F.when(F.col("__cover").isNull(), F.col("text")).otherwise(F.col("__r.text"))
+    keep = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    return df.select(*keep, F.col("__n").cast("long").alias("n_sentences"), F.col("__r.n").alias("n_removed"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
