@@ -206,6 +206,46 @@ def test_language_model_knows_words_beyond_the_first_classes(spark):
     assert right > swapped + 0.01 and abs(right - mixed) > 1e-4 and abs(other - mixed) > 1e-4
 
 
+def test_probabilities_sum_to_one_and_scores_are_theirs(spark):
+    """Over all tokens: words with vectors, the end, and each class by spelling with its tokens and the one never seen."""
+    import math
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    fitted = lm.fit(d)
+    m, words = fitted.model, fitted.words
+    grid = np.arange(m.v)
+    for before in ([0, 0, 0], [1, 5, 0], [m.v - 1, 3, 900], [len(words), m.v - 7, 2]):
+        p = m.chances(np.repeat(np.array(before)[:, None], m.v, axis=1), grid)
+        assert abs(p.sum(dtype=np.float64) - 1) < 1e-3, before
+    place = {t: 1 + i for i, t in enumerate(words)}
+    count = {bytes(r["token"]): r["n"] for r in fitted.counts.collect()}
+    inside = {}
+    for t, n in count.items():
+        if t not in place:
+            inside.setdefault(lm.spelling(t), []).append(n)
+    for c, ns in inside.items():  # the shares inside a class, with a token never seen
+        assert abs(sum((n + lm.ADD) / 10 ** fitted.inside[c] for n in [*ns, 0]) - 1) < 1e-9
+
+    def plain(text):
+        ids, total = [0] * lm.CONTEXT, 0.0
+        for t in [*lm.tokens(text), None]:
+            w = 0 if t is None else place.get(t, 1 + len(words) + (lm.spelling(t) if t is not None else 0))
+            u = [int(m.of[x]) for x in ids]
+            p = float(m.mix[u[0], lm.CONTEXT]) * float(m.noise[w])
+            for k in range(lm.CONTEXT):
+                s = sum(float(a) * float(b) * float(c) for a, b, c in zip(m.rows[u[k]][:-1], m.rows[m.u + k][:-1], m.rows[m.u + lm.CONTEXT + w][:-1])) + float(m.rows[m.u + lm.CONTEXT + w][-1])
+                p += float(m.mix[u[0], k]) * math.exp(s - float(m.norm[k, u[k]]))
+            total += math.log10(p)
+            if t is not None and t not in place:
+                total += math.log10(count.get(t, 0) + lm.ADD) - fitted.inside[lm.spelling(t)]
+            ids = [w, *ids[:-1]]
+        return total
+
+    texts = dict(pairs(some(spark, "documents")))
+    got = {r["doc_id"]: r["score"] for r in lm.score(d, fitted).filter("n_tokens < 120").collect()}
+    assert len(got) > 20 and all(abs(got[i] - plain(texts[i])) < 1e-3 * (1 + abs(got[i])) for i in sorted(got)[:25])
+
+
 def test_model_is_normalised():
     r = np.random.default_rng(1)
     m = lm.train(r.integers(0, 50, (30, 30)).astype(float), rounds=50)

@@ -1,25 +1,31 @@
 """A log-bilinear language model, trained by noise-contrastive estimation.
 
 Tokens are words in lower case and one end for each text.  The ``HEAD`` most frequent words and
-the end have vectors of their own, as a word and as a context; every other token falls into one
-of ``TAIL`` classes by its spelling (characters beyond ASCII, last character, length), which has
-vectors as a word has, and inside such a class a token has the share of its smoothed count.
+the end have vectors of their own; every other token falls into one of ``TAIL`` classes by its
+spelling (characters beyond ASCII, last character, length), which has a vector as a word has, and
+inside such a class a token has the share of its smoothed count.
+
+A token is predicted from the ``CONTEXT`` tokens before it, each of which (one of the ``CONTEXTS``
+most frequent words, or a class by spelling) has a vector r, and each place a weight c: place k
+gives the log-bilinear distribution p_k(w) ~ exp(q_w . (c_k * r_u) + b_w), and the model is their
+mixture, with the unigram distribution, by weights that depend on the nearest token.  Each p_k is
+divided by its exact sum over all words, which batched matrix products give once for every
+context and place, so the probabilities of all tokens after a text sum to one.
 
-A token is predicted from the ``CONTEXT`` tokens before it: s(w, h) = q_w . sum_k c_k * r_(u_k) + b_w.
 Training starts from a small model, of the ``WORDS`` most frequent words and the classes by
 spelling, one class from the class before it: noise-contrastive estimation in expectation on
-the pair counts of all training texts, by numpy on the driver, normalised exactly.  From there
-each task goes over all tokens of its training documents with sampled noise (noise-contrastive
-estimation, unigram noise, AdaGrad by rows).  What the tasks change is merged by blocks of rows:
-rows seen seldom get the sum of the changes, rows seen often their mean, by a = n / (n + ``STEPS``)
-of each task (sent in half precision).  As is usual for models trained so, exp(s) is taken for the probability: its sum
-over words is learned to be one, and not computed (``sums`` does it, for checks).
+the pair counts of all training texts, by numpy on the driver.  From there each task goes over
+all tokens of its training documents with sampled noise (noise-contrastive estimation, unigram
+noise, AdaGrad by rows), and counts what the places explained, which gives the mixture's weights.
+What the tasks change is merged by blocks of rows: rows seen seldom get the sum of the changes,
+rows seen often their mean, by a = n / (n + ``STEPS``) of each task (sent in half precision).
 
 Counts of the ``HEAD`` most frequent tokens go to the workers.  Other tokens are joined with
 the counts; none of them is frequent, so that join has no hot key.
 
-Defined cases: a null or empty text is one end.  Rows with a null doc_id are training rows.
-Repeated rows count and are scored each.  Further columns are dropped.
+Defined cases: a null or empty text is one end.  A very long text is one row with its numbers as
+binary.  Rows with a null doc_id are training rows.  Repeated rows count and are scored each.
+Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ from .shared import arrow_batches, crc_mod, stored
 WORDS, TAIL = 959, 64
 CLASSES = 1 + WORDS + TAIL
 HEAD = 200_000
+#: Words that have vectors as contexts; others are contexts by their spelling.
+CONTEXTS = 8191
 DIM = 24
 NOISE = 20
 ROUNDS = 250
@@ -48,8 +56,13 @@ ADD = 0.1
 #: Pairs that each class adds to its own, dealt as all tokens are: a class seen seldom predicts as all do.
 SHRINK = 100.0
 #: Tokens that predict; positions and noise tokens of a step; updates at which a task counts for half; rows in a block.
-CONTEXT, STEP, SAMPLES, STEPS, BLOCK = 3, 4096, 64, 20.0, 1024
-RATE, SQUARE = 0.05, 1.0
+#: Then the rate, what AdaGrad's sums begin with, and how many noise tokens weigh as much as a token.
+CONTEXT, STEP, SAMPLES, STEPS, BLOCK = 3, 1024, 64, 20.0, 1024
+RATE, SQUARE, FAKES = 0.05, 1.0, 10
+#: What the places count for the vectors that they share.
+WEIGHTS = (1.0, 0.1, 0.1)
+#: How the places' weights and the mixture's (the places', the unigram's) begin, and the tokens that this start counts as.
+PLACES, MIXTURE, BELIEF = (1.0, 0.5, 0.3), (0.7, 0.15, 0.1, 0.05), 50.0
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -156,20 +169,30 @@ def small_classes(words: Iterable[bytes]) -> np.ndarray:
     return np.array([0, *own, *range(1 + WORDS, CLASSES)], np.int64)
 
 
-class Large:
-    """rows: vectors of the v contexts, the CONTEXT weights of places, vectors of the v words.  The last
-    value of a word is its bias, the one before meets what the small model divides by.  noise: of words."""
+def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The context of each number of the large model, and the small model's class of each context."""
+    n = min(len(words), CONTEXTS)
+    of = np.array([0, *(1 + i if i < n else 1 + n + spelling(t) for i, t in enumerate(words)), *range(1 + n, 1 + n + TAIL)], np.int64)
+    return of, small_classes(words[:n])
+
 
-    def __init__(self, small: Model, of: np.ndarray, n: np.ndarray):
-        self.v, n = len(of), n + ADD
+class Large:
+    """rows: vectors of the u contexts, the weights of the CONTEXT places, vectors of the v words.  The last value of a word
+    is its bias, the one before meets what the small model divides by.  noise: of words; norm: logarithms of the exact sums,
+    by place and context; mix: weights of the places and of the unigram, by the nearest context."""
+
+    def __init__(self, small: Model, words: list[bytes], n: np.ndarray):
+        of = small_classes(words)
+        self.of, classes = contexts(words)
+        self.u, self.v, n = len(classes), len(of), n + ADD
         self.noise = (n / n.sum()).astype(np.float32)
         share = n / np.bincount(of, n, len(small.bias))[of]
-        one = np.ones((self.v, 1), np.float32)
-        left = np.hstack([small.left[of], -small.log_sum[of][:, None], 0 * one])
-        places = np.zeros((CONTEXT, left.shape[1]))
-        places[0] = 1
-        right = np.hstack([small.right[of], one, (small.bias[of] + np.log(share))[:, None]])
+        left = np.hstack([small.left[classes], -small.log_sum[classes][:, None], np.zeros((self.u, 1))])
+        places = np.array(PLACES[:CONTEXT])[:, None] * np.ones((CONTEXT, left.shape[1]))
+        right = np.hstack([small.right[of], np.ones((self.v, 1)), (small.bias[of] + np.log(share))[:, None]])
         self.rows = np.vstack([left, places, right]).astype(np.float32)
+        self.norm = np.zeros((CONTEXT, self.u), np.float32)
+        self.mix = np.tile(np.array(MIXTURE, np.float32), (self.u, 1))
 
     def __getstate__(self) -> dict:
         """Vectors go to the workers in half precision, biases in single."""
@@ -178,25 +201,47 @@ class Large:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state | {"rows": np.hstack([state["rows"][0].astype(np.float32), state["rows"][1]])})
 
-    def context(self, before: np.ndarray) -> np.ndarray:
-        h = sum(self.rows[u] * self.rows[self.v + k] for k, u in enumerate(before))
+    def predicted(self, place: int, context: np.ndarray) -> np.ndarray:
+        h = self.rows[context] * self.rows[self.u + place]
         h[:, -1] = 1
         return h
 
-    def log10(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """before: CONTEXT rows of numbers, the nearest first."""
-        s = np.einsum("ij,ij->i", self.context(before), self.rows[self.v + CONTEXT + after])
-        return s.astype(np.float64) / np.log(10)
+    def sums(self, context: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all words, by place, of contexts: batched matrix products."""
+        words, out = self.rows[self.u + CONTEXT :].T, np.empty((CONTEXT, len(context)), np.float32)
+        for i in range(0, len(context), 64):
+            for k in range(CONTEXT):
+                s = self.predicted(k, context[i : i + 64]) @ words
+                top = s.max(axis=1)
+                s -= top[:, None]
+                np.exp(s, out=s)
+                out[k, i : i + 64] = top + np.log(s.sum(axis=1, dtype=np.float64))
+        return out
+
+    def chances(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Probabilities of after (numbers); before: CONTEXT rows of numbers, the nearest first."""
+        u, q = self.of[before], self.rows[self.u + CONTEXT + after]
+        mix = self.mix[u[0]]
+        p = mix[:, CONTEXT] * self.noise[after]
+        for k in range(CONTEXT):
+            p += mix[:, k] * np.exp(np.einsum("ij,ij->i", self.predicted(k, u[k]), q) - self.norm[k, u[k]])
+        return p
 
-    def sums(self, before: np.ndarray) -> np.ndarray:
-        return np.exp(self.context(before) @ self.rows[self.v + CONTEXT :].T).sum(axis=1)
+    def log10(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return np.log10(self.chances(before, after).astype(np.float64))
 
 
 def windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The tokens before each token of texts, nearest first (ends before a text), and the tokens."""
     after = np.concatenate(seqs)
-    before = [np.concatenate([x for q in seqs for x in (np.zeros(min(k, len(q)), np.int64), q[:-k])]) for k in range(1, CONTEXT + 1)]
-    return np.stack(before), after
+    starts = np.cumsum([0, *map(len, seqs)])[:-1]
+    before = np.zeros((CONTEXT, len(after)), np.int64)
+    for k in range(CONTEXT):
+        before[k, k + 1 :] = after[: len(after) - k - 1]
+        for j in range(k + 1):  # a text's first tokens have ends before them
+            at = starts + j
+            before[k, at[at < len(after)]] = 0
+    return before, after
 
 
 class Learner:
@@ -208,27 +253,53 @@ class Learner:
         self.start, self.rng = model.rows, np.random.default_rng(seed)
         self.square = np.full(len(model.rows), SQUARE, np.float32)
         self.times = np.zeros(len(model.rows), np.float32)
-        self.shift = np.log(NOISE * model.noise)
+        self.shift = np.log(FAKES * model.noise)
         self.upto = np.cumsum(model.noise, dtype=np.float64)
+        self.explained = np.zeros((model.u, CONTEXT + 1))
+        self.steps = 0
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
-        m, v, p = self.m, self.m.v, self.m.rows
-        fake = np.minimum(np.searchsorted(self.upto, self.rng.random(SAMPLES) * self.upto[-1], "right"), v - 1)
-        left = p[before]
-        h = np.einsum("kij,kj->ij", left, p[v : v + CONTEXT])
-        h[:, -1] = 1
-        q, qf = p[v + CONTEXT + after], p[v + CONTEXT + fake]
-        d = np.clip(np.einsum("ij,ij->i", h, q) - self.shift[after], -30, 30)
-        g = -1 / (1 + np.exp(d))
-        e = h @ qf.T
+        m, u, p = self.m, self.m.u, self.m.rows
+        width = p.shape[1]
+        fake = np.minimum(np.searchsorted(self.upto, self.rng.random(SAMPLES) * self.upto[-1], "right"), m.v - 1)
+        of = m.of[before]
+        left, places = p[of], p[u : u + CONTEXT][:, None]
+        h = left * places
+        h[:, :, -1] = 1
+        q, qf = p[u + CONTEXT + after], p[u + CONTEXT + fake]
+        s = np.einsum("kij,ij->ki", h, q)
+        g = -1 / (1 + np.exp(np.clip(s - self.shift[after], -30, 30)))
+        flat = h.reshape(-1, width)
+        e = flat @ qf.T
         e -= self.shift[fake]
         np.clip(e, -30, 30, out=e)
-        e = (NOISE / SAMPLES) / (1 + np.exp(-e))
-        gh = g[:, None] * q + e @ qf
-        gh[:, -1] = 0
-        own = gh[None] * p[v : v + CONTEXT][:, None]
-        self.update(np.concatenate([before.ravel(), v + CONTEXT + after, v + CONTEXT + fake]), np.vstack([*own, g[:, None] * h, e.T @ h]))
-        self.update(np.arange(v, v + CONTEXT), np.einsum("ij,kij->kj", gh, left))
+        np.negative(e, out=e)
+        np.exp(e, out=e)
+        e += 1
+        np.divide(FAKES / SAMPLES, e, out=e)
+        gh = (e @ qf).reshape(h.shape)
+        gh += g[:, :, None] * q
+        gh[:, :, -1] = 0
+        self.update(np.arange(u, u + CONTEXT), np.einsum("kij,kij->kj", gh, left))
+        weight = np.array(WEIGHTS[:CONTEXT], np.float32)[:, None]
+        own = gh * (places * weight[:, :, None])
+        g *= weight
+        e *= np.repeat(weight, h.shape[1], axis=0)
+        at = np.concatenate([of.ravel(), u + CONTEXT + after, u + CONTEXT + fake])
+        self.update(at, np.vstack([own.reshape(-1, width), np.einsum("ki,kij->ij", g, h), e.T @ flat]))
+        self.explain(of[0], np.exp(np.minimum(s, 0)), m.noise[after])
+
+    def explain(self, nearest: np.ndarray, places: np.ndarray, unigram: np.ndarray) -> None:
+        """A step of expectation-maximisation for the mixture's weights."""
+        if self.steps % 20 == 0:
+            self.m.mix = mixture(self.explained)
+        self.steps += 1
+        w = self.m.mix[nearest]
+        w[:, :CONTEXT] *= places.T
+        w[:, CONTEXT] *= unigram
+        w /= w.sum(axis=1, keepdims=True)
+        for k in range(CONTEXT + 1):
+            self.explained[:, k] += np.bincount(nearest, w[:, k], len(self.explained))
 
     def update(self, at: np.ndarray, g: np.ndarray) -> None:
         order = np.argsort(at, kind="stable")
@@ -239,9 +310,17 @@ class Learner:
         self.times[rows] += 1
 
 
+def mixture(explained: np.ndarray) -> np.ndarray:
+    """Weights by the nearest context, from how many tokens each place and the unigram explained there."""
+    of_all = explained.sum(axis=0) + BELIEF * np.array(MIXTURE)
+    w = explained + BELIEF * of_all / of_all.sum()
+    return (w / w.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
 def trained(model: Large, rows: DataFrame) -> Large:
-    """The model after sampled noise-contrastive estimation on all texts of rows (ids)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    """The model after sampled noise-contrastive estimation on all texts of rows (ids), with its mixture and its exact sums."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(model)
     width, n_rows = model.rows.shape[1], len(model.rows)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,6 +336,7 @@ def trained(model: Large, rows: DataFrame) -> Large:
             for i in range(0, len(order), STEP):
                 own.step(before[:, order[i : i + STEP]], after[order[i : i + STEP]])
         if own:
+            yield pd.DataFrame({"block": [-1], "at": [b""], "a": [b""], "d": [own.explained.astype("<f8").tobytes()]})
             a = own.times / (own.times + STEPS)
             for i in range(0, n_rows, BLOCK):
                 at = np.flatnonzero(own.times[i : i + BLOCK]).astype("<i4")
@@ -265,27 +345,50 @@ def trained(model: Large, rows: DataFrame) -> Large:
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[np.ndarray]] = {}
+        explained = None
         for b in batches:
             for block, at, a, d in zip(b["block"], b["at"], b["a"], b["d"]):
+                if block < 0:
+                    own = np.frombuffer(d, "<f8")
+                    explained = own if explained is None else explained + own
+                    continue
                 x = held.setdefault(block, [np.zeros((BLOCK, width)), np.zeros(BLOCK), np.zeros(BLOCK)])
                 at, a = np.frombuffer(at, "<i4"), np.frombuffer(a, np.float32)
                 x[0][at] += np.frombuffer(d, np.float16).reshape(-1, width)
                 x[1][at] += a
                 x[2][at] += np.log1p(-a)
+        if explained is not None:
+            yield pd.DataFrame({"block": [-1], "d": [explained.astype("<f8").tobytes()]})
         for block, (d, a, log) in held.items():
             d *= (-np.expm1(log) / np.maximum(a, 1e-9))[:, None]
             yield pd.DataFrame({"block": [block], "d": [d.astype(np.float32).tobytes()]})
 
     texts = rows.select("ids")  # a learner passes on a row for each token that it has seen; so they are fewer than tasks
-    texts = texts.coalesce(max(texts.rdd.getNumPartitions() // 2, rows.sparkSession.sparkContext.defaultParallelism))
+    texts = texts.coalesce(max(texts.rdd.getNumPartitions() // 2, spark.sparkContext.defaultParallelism))
     parts = texts.mapInPandas(learn, "block int, at binary, a binary, d binary")
     out = copy(model)
-    out.rows = model.rows.copy()
+    out.rows, explained = model.rows.copy(), np.zeros((model.u, CONTEXT + 1))
     for r in parts.repartition("block").mapInPandas(merge, "block int, d binary").toLocalIterator():  # the model's size
+        if r["block"] < 0:
+            explained += np.frombuffer(r["d"], "<f8").reshape(explained.shape)
+            continue
         d = np.frombuffer(r["d"], np.float32).reshape(-1, width)
         i = r["block"] * BLOCK
         out.rows[i : i + BLOCK] += d[: n_rows - i]
+    out.mix = mixture(explained)
+    out.__setstate__(out.__getstate__())  # as the workers see it
     shared.destroy()
+    final = spark.sparkContext.broadcast(out)
+
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"id": b["id"], "z": final.value.sums(b["id"].to_numpy()).T.astype("<f8").tolist()})
+
+    tasks = max(1, min(-(-out.u // 128), 2 * spark.sparkContext.defaultParallelism))
+    for r in spark.range(0, out.u, 1, tasks).mapInPandas(divide, "id long, z array<double>").collect():  # a row for each context
+        out.norm[:, r["id"]] = r["z"]
+    final.destroy()
     return out
 
 
@@ -330,15 +433,21 @@ def encoded(docs: DataFrame, shared, ends: int) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string"), held_out().alias("held_out"), "text").mapInPandas(run, schema)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+class Fitted:
+    """model; inside: log10 of what the counts of a class by spelling are divided by; counts: a table of all training tokens;
+    n_train, n_types and rows (``encoded``)."""
+
+    def __init__(self, **values):
+        self.__dict__.update(values)
+
+
+def fit(docs: DataFrame) -> Fitted:
     spark = docs.sparkSession
     arrow_batches(spark)
     learn = docs.filter(~held_out())
     counts = stored(token_counts(learn), "lm-counts")
     ends = learn.count()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).collect()[0]
-    n_train, n_types = total + ends, distinct + (ends > 0)
     head = frequent(counts, HEAD)
     words = spark.sparkContext.broadcast(head)  # HEAD entries
     rows = stored(encoded(docs, words, ends), "lm-rows")
@@ -356,9 +465,16 @@ def score(docs: DataFrame) -> DataFrame:
     matrix = np.zeros(CLASSES * CLASSES)
     matrix[pairs["keys"].to_numpy()] = pairs["n"].to_numpy()
     small = train(matrix.reshape(CLASSES, CLASSES))
-    start = Large(small, small_classes(head), np.array([ends, *head.values(), *tail], np.float64))
+    start = Large(small, list(head), np.array([ends, *head.values(), *tail], np.float64))
     model = trained(start, rows.filter("uid is not null and not held_out"))
-    shared = spark.sparkContext.broadcast(model)
+    return Fitted(model=model, inside=inside, counts=counts, n_train=total + ends, n_types=distinct + (ends > 0), rows=rows, words=list(head))
+
+
+def score(docs: DataFrame, fitted: Fitted | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    fitted = fitted or fit(docs)
+    rows, counts, inside, n_train, n_types = fitted.rows, fitted.counts, fitted.inside, fitted.n_train, fitted.n_types
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
 
     found = rows.filter("uid is not null")
     rare = found.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
