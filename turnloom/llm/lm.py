@@ -55,14 +55,16 @@ DISTINCT = 300_000
 ADD = 0.1
 #: Pairs that each class adds to its own, dealt as all tokens are: a class seen seldom predicts as all do.
 SHRINK = 100.0
-#: Tokens that predict; positions and noise tokens of a step; updates at which a task counts for half; rows in a block.
+#: Tokens that predict (a third one gave no more at sf0.1, at a third more time); positions and noise tokens of a step; updates at which a task counts for half; rows in a block.
 #: Then the rate, what AdaGrad's sums begin with, and how many noise tokens weigh as much as a token.
-CONTEXT, STEP, SAMPLES, STEPS, BLOCK = 3, 1024, 64, 20.0, 1024
+CONTEXT, STEP, SAMPLES, STEPS, BLOCK = 2, 1024, 64, 20.0, 1024
 RATE, SQUARE, FAKES = 0.05, 1.0, 10
 #: What the places count for the vectors that they share.
-WEIGHTS = (1.0, 0.1, 0.1)
+WEIGHTS = (1.0, 0.2)
+#: Steps after which the mixture's weights follow.
+HELD = 40
 #: How the places' weights and the mixture's (the places', the unigram's) begin, and the tokens that this start counts as.
-PLACES, MIXTURE, BELIEF = (1.0, 0.5, 0.3), (0.7, 0.15, 0.1, 0.05), 50.0
+PLACES, MIXTURE, BELIEF = (1.0, 0.5), (0.75, 0.2, 0.05), 50.0
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -256,7 +258,7 @@ class Learner:
         self.shift = np.log(FAKES * model.noise)
         self.upto = np.cumsum(model.noise, dtype=np.float64)
         self.explained = np.zeros((model.u, CONTEXT + 1))
-        self.steps = 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
         m, u, p = self.m, self.m.u, self.m.rows
@@ -271,10 +273,9 @@ class Learner:
         g = -1 / (1 + np.exp(np.clip(s - self.shift[after], -30, 30)))
         flat = h.reshape(-1, width)
         e = flat @ qf.T
-        e -= self.shift[fake]
-        np.clip(e, -30, 30, out=e)
-        np.negative(e, out=e)
-        np.exp(e, out=e)
+        np.subtract(self.shift[fake], e, out=e)
+        with np.errstate(over="ignore"):  # then the share is 0
+            np.exp(e, out=e)
         e += 1
         np.divide(FAKES / SAMPLES, e, out=e)
         gh = (e @ qf).reshape(h.shape)
@@ -285,26 +286,33 @@ class Learner:
         own = gh * (places * weight[:, :, None])
         g *= weight
         e *= np.repeat(weight, h.shape[1], axis=0)
-        at = np.concatenate([of.ravel(), u + CONTEXT + after, u + CONTEXT + fake])
+        at = np.concatenate([of.ravel(), u + CONTEXT + after, u + CONTEXT + fake]).astype(np.int32)
         self.update(at, np.vstack([own.reshape(-1, width), np.einsum("ki,kij->ij", g, h), e.T @ flat]))
         self.explain(of[0], np.exp(np.minimum(s, 0)), m.noise[after])
 
     def explain(self, nearest: np.ndarray, places: np.ndarray, unigram: np.ndarray) -> None:
-        """A step of expectation-maximisation for the mixture's weights."""
-        if self.steps % 20 == 0:
-            self.m.mix = mixture(self.explained)
-        self.steps += 1
+        """A step of expectation-maximisation for the mixture's weights, which follow at times."""
         w = self.m.mix[nearest]
         w[:, :CONTEXT] *= places.T
         w[:, CONTEXT] *= unigram
         w /= w.sum(axis=1, keepdims=True)
-        for k in range(CONTEXT + 1):
-            self.explained[:, k] += np.bincount(nearest, w[:, k], len(self.explained))
+        self.held.append((nearest, w))
+        if len(self.held) >= HELD:
+            self.weigh()
+
+    def weigh(self) -> None:
+        if self.held:
+            nearest, w = (np.concatenate(x) for x in zip(*self.held))
+            for k in range(CONTEXT + 1):
+                self.explained[:, k] += np.bincount(nearest, w[:, k], len(self.explained))
+            self.m.mix = mixture(self.explained)
+            self.held.clear()
 
     def update(self, at: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        rows, first = np.unique(at[order], return_index=True)
-        g = np.add.reduceat(g[order], first, axis=0)
+        order = np.argsort(at)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        rows, g = at[first], np.add.reduceat(g[order], first, axis=0)
         self.square[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
         self.m.rows[rows] -= RATE * g / np.sqrt(self.square[rows])[:, None]
         self.times[rows] += 1
@@ -336,6 +344,7 @@ def trained(model: Large, rows: DataFrame) -> Large:
             for i in range(0, len(order), STEP):
                 own.step(before[:, order[i : i + STEP]], after[order[i : i + STEP]])
         if own:
+            own.weigh()
             yield pd.DataFrame({"block": [-1], "at": [b""], "a": [b""], "d": [own.explained.astype("<f8").tobytes()]})
             a = own.times / (own.times + STEPS)
             for i in range(0, n_rows, BLOCK):
@@ -392,6 +401,13 @@ def trained(model: Large, rows: DataFrame) -> Large:
     return out
 
 
+class Places(dict):
+    """Numbers of words; -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def encoded(docs: DataFrame, shared, ends: int) -> DataFrame:
     """A row for each document: uid, doc_id (as a string), held_out, n_tokens, base (sum of log10(c + ADD)
     over tokens in head and the end), known, ids (0 the end, then the words of shared, then the classes by
@@ -400,7 +416,7 @@ def encoded(docs: DataFrame, shared, ends: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
-        place = {t: i for i, t in enumerate(table)}
+        place = Places({t: i for i, t in enumerate(table)})
         of = small_classes(table)
         log = np.log10(np.array([*table.values(), ends]) + ADD)
         seen = np.zeros(CLASSES * CLASSES, np.int64)
@@ -408,12 +424,11 @@ def encoded(docs: DataFrame, shared, ends: int) -> DataFrame:
             out = []
             for uid, doc, held, text in zip(b["uid"], b["doc_id"], b["held_out"], b["text"]):
                 words = tokens(text)
-                at = [place.get(x) for x in words]
-                rare = Counter(x for x, i in zip(words, at) if i is None)
-                at = np.array([-1 if i is None else i for i in at] + [len(table)], np.int64)
+                at = np.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), len(table))
                 seq = np.append(at[:-1] + 1, 0)
+                gaps = np.flatnonzero(at < 0)
+                rare = Counter(words[i] for i in gaps.tolist())
                 if rare:
-                    gaps = np.flatnonzero(at == -1)
                     seq[gaps] = [1 + len(table) + spelling(words[i]) for i in gaps.tolist()]
                     base = log[at[at >= 0]].sum()
                 else:
