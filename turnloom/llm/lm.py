@@ -47,7 +47,7 @@ CLASSES = 1 + WORDS + TAIL
 HEAD = 200_000
 #: Words that have vectors as contexts; others are contexts by their spelling.
 CONTEXTS = 8191
-DIM = 24
+DIM = 16
 NOISE = 20
 ROUNDS = 250
 #: Distinct tokens that a task counts before it passes them on.
