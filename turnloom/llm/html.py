@@ -1,6 +1,7 @@
 """Main text of HTML pages: boosted trees over DOM nodes, decoded along the tree.
 
-A page is parsed into its block elements; scripts, styles, comments and controls never give
+A page is parsed, in one pass, into its block elements and those inline elements that have a
+class, id, role or other name; scripts, styles, comments, controls and hidden elements never give
 text.  Every node gets features of its subtree (text, links, tags, density), of its class, id
 and role tokens, of its depth, its ancestors and its siblings.  Boosted trees give the odds that
 it belongs to the article.  Decoding takes, of all labellings in which a dropped node drops
@@ -9,11 +10,14 @@ dropped with its whole subtree.
 
 The trees are trained on pages that ``training_pages`` makes, with a fixed seed, from common
 layouts (semantic elements or plain ones with telling class names, deep or flat, with menus,
-notices, adverts, forms, sidebars, reader comments and unclosed elements).
+notices, adverts, forms, sidebars, reader comments, inline adverts and unclosed elements).
 
 Defined cases: a null or empty html gives an empty text.  An element that is never closed ends
-with its parent, an unclosed comment or script with the page.  Repeated rows each give a row,
-null ids and addresses stay.  Further columns are dropped.
+with its parent, a control where the next block begins; an svg, iframe, noscript or template without
+an end is none; an unclosed comment, script, style, textarea or title ends with the page; of a tag that
+is never closed, and after one whose quotes do not match, quotes mean nothing.  Time is linear in
+the page, so very long ones need no cut.  Repeated rows each give a row, null ids and addresses
+stay.  Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -32,12 +37,16 @@ from pyspark.sql import functions as F
 from .shared import arrow_batches
 from .trees import Boosted
 
-_RAW = "script|style|noscript|template|svg|iframe|textarea|select|button|object|title|audio|video|canvas|math"
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements whose content is no markup, those that never give text, and inline ones that may be nodes.
+RAW = frozenset("script style textarea title xmp noembed noframes".split())
+DARK = frozenset("noscript template svg iframe select button datalist".split())
+CONTROLS = frozenset("select button datalist".split())
+INLINE = frozenset("span a b i u em strong small font ins del mark label cite q code kbd sup sub time abbr big s".split())
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"""[>"']""")
+_PLAIN = re.compile(r"[<>]")
+_ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that make a block, those that end at the next of their kind, and telling names.
 BLOCKS = frozenset(
@@ -58,74 +67,158 @@ AWAY_NAMES = frozenset(
     "subscribe subscription newsletter share sharing social related recommended recommendations more trending popular breadcrumb breadcrumbs crumbs pagination pager "
     "modal popup overlay copyright legal toolbar tags taglist meta byline skip hidden".split()
 )
-BUCKETS = 12
+BUCKETS = 24
+
+
+class Tags:
+    """The tags of a page in one pass: (start, end, name, closing, attributes); name is "" for comments and the like.  Where
+    something is found next, or that it is not, is kept, so nothing is looked for twice."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes = html, True
+        self.lower = html.lower() if html.isascii() else "".join(c.lower() if c.isascii() else c for c in html)
+        self.next: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of what (in lower case); -1 if there is none."""
+        known = self.next.get(what, 0)
+        if 0 <= known < at or what not in self.next:
+            known = self.next[what] = self.lower.find(what, at)
+        return known
+
+    def closes(self, name: str, at: int) -> bool:
+        return self.find(f"</{name}", at) >= 0
+
+    def end(self, at: int) -> int:
+        """Where the tag ends that goes on at a place; -1 if it does not."""
+        i = at
+        while self.quotes and (m := _STOP.search(self.html, i)):
+            if m[0] == ">":
+                return m.end()
+            close = self.find(m[0], m.end())
+            i = close + 1 if close >= 0 else m.end()  # a quote without an end is none
+        self.quotes = False
+        m = _PLAIN.search(self.html, at)
+        return m.end() if m and m[0] == ">" else -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        html, at = self.html, 0
+        after = lambda what, i: end + len(what) if (end := self.find(what, i)) >= 0 else len(html)
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = after("-->", at + 4)
+                yield at, end, "", False, ""
+            elif html[at + 1 : at + 2] in ("!", "?"):
+                end = after(">", at)
+                yield at, end, "", False, ""
+            else:
+                closing = html[at + 1 : at + 2] == "/"
+                m = _NAME.match(html, at + 1 + closing)
+                end = self.end(m.end()) if m else -1
+                if end < 0:
+                    at += 1
+                    continue
+                name, attrs = m[0].lower(), html[m.end() : end - 1]
+                if name in RAW and not closing and not attrs.endswith("/"):
+                    close = self.find(f"</{name}", end)
+                    end = len(html) if close < 0 else after(">", close)
+                    name = ""
+                yield at, end, name, closing, attrs
+            at = end
 
 
 class Page:
-    """Nodes in page order and the text blocks (node, text)."""
+    """Nodes in page order and the text blocks: for each the block's node and the pieces (node, text) in it."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.names, self.depth = ["#"], [-1], [()], [0]
         self.inputs, self.links, self.link_chars = [0], [0], [0]
-        self.blocks: list[tuple[int, str]] = []
-        stack, held, anchor, at, dark = [0], [], False, 0, False
+        self.blocks: list[tuple[int, list[tuple[int, str]]]] = []
+        stack, block, held, anchor, at, head = [0], [0], [], False, 0, False
+        open_: dict[str, int] = {}
+        dark = [False]  # by node
+        loose: set[int] = set()
 
         def flush():
-            text = " ".join("".join(held).split())
+            if any(s and not s.isspace() for _, s in held):
+                self.blocks.append((block[-1], held.copy()))
             held.clear()
-            if text:
-                self.blocks.append((stack[-1], text))
-
-        for m in _TAG.finditer(html):
-            if m.start() > at and not dark:
-                s = html[at : m.start()]
-                s = unescape(s) if "&" in s else s
-                held.append(s)
+
+        def pop():
+            node = stack.pop()
+            open_[self.tag[node]] -= 1
+            if block[-1] == node:
+                block.pop()
+
+        def text(s: str):
+            if s and not head and not dark[stack[-1]]:
+                held.append((stack[-1], s))
                 if anchor:
                     self.link_chars[stack[-1]] += len(s)
-            at = m.end()
-            name = m[3]
-            if name is None:
+
+        tags = Tags(html)
+        for start, end, name, closing, attrs in tags:
+            if start > at:
+                s = html[at:start]
+                text(unescape(s) if "&" in s else s)
+            at = end
+            if not name:
                 continue
-            name = name.lower()
             if name == "head":
-                dark = not m[2]
+                head = not closing
                 continue
-            if name in BLOCKS:
-                dark = False
-                flush()
-                if m[2]:
-                    anchor = False
-                    if name in (self.tag[i] for i in stack):
-                        while self.tag[stack.pop()] != name:
-                            pass
-                    continue
-                if self.tag[stack[-1]] == "p":
-                    stack.pop()
-                for end in CLOSES.get(name, ()):
-                    if self.tag[stack[-1]] == end:
-                        stack.pop()
-                anchor = False
-                self.tag.append(name)
-                self.parent.append(stack[-1])
-                self.depth.append(len(stack))
-                self.names.append(tuple(x.lower() for a in _ATTR.finditer(m[4]) for x in _PART.findall(a[2] or a[3] or a[4] or "")) if m[4] else ())
-                self.inputs.append(0)
-                self.links.append(0)
-                self.link_chars.append(0)
-                stack.append(len(self.tag) - 1)
-            elif name == "a":
-                anchor = not m[2]
+            names = tuple(x.lower() for a in _ATTR.finditer(attrs) for x in _PART.findall(a[2] or a[3] or a[4] or "")) if attrs else ()
+            hidden = bool(attrs) and _HIDDEN.search(attrs) is not None
+            if name == "a":
+                anchor = not closing
                 self.links[stack[-1]] += anchor
             elif name in ("br", "hr"):
                 flush()
             elif name in ("input", "label"):
-                self.inputs[stack[-1]] += 1
-        if at < len(html) and not dark:
+                self.inputs[stack[-1]] += not closing
+            is_block = name in BLOCKS
+            if is_block:
+                head = False
+                flush()
+                anchor = False
+            if closing:
+                if open_.get(name):
+                    while self.tag[stack[-1]] != name:
+                        pop()
+                    pop()
+                continue
+            closed = name not in DARK or tags.closes(name, end)
+            is_dark = name in DARK and (closed or name in CONTROLS)
+            if not (is_block or is_dark or (name in INLINE and (names or hidden))) or (attrs.endswith("/") and not is_block):
+                continue
+            if is_block:
+                # inline elements, and controls without an end, end where a block begins
+                while stack[-1] != block[-1] and (self.tag[stack[-1]] not in DARK or stack[-1] in loose):
+                    pop()
+                if self.tag[stack[-1]] == "p":
+                    pop()
+                for tag in CLOSES.get(name, ()):
+                    if self.tag[stack[-1]] == tag:
+                        pop()
+            self.tag.append(name)
+            self.parent.append(stack[-1])
+            self.depth.append(len(stack))
+            self.names.append(names)
+            self.inputs.append(0)
+            self.links.append(0)
+            self.link_chars.append(0)
+            dark.append(dark[stack[-1]] or hidden or is_dark)
+            open_[name] = open_.get(name, 0) + 1
+            if not closed:
+                loose.add(len(self.tag) - 1)
+            stack.append(len(self.tag) - 1)
+            if is_block:
+                block.append(stack[-1])
+        if at < len(html):
             s = html[at:]
             cut = s.rfind("<")  # an element cut off at the end of the page is no text
             s = s[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!][^>]*\Z", s[cut:]) else s
-            held.append(unescape(s))
+            text(unescape(s) if "&" in s else s)
         flush()
 
     def features(self) -> np.ndarray:
@@ -133,13 +226,15 @@ class Page:
         own, stops, words = [0] * n, [0] * n, [0] * n
         first = [-1] * n
         total = 0
-        for node, text in self.blocks:
-            own[node] += len(text)
-            stops[node] += text.count(".") + text.count(",")
-            words[node] += text.count(" ") + 1
-            if first[node] < 0:
+        for node, raw in (piece for _, pieces in self.blocks for piece in pieces):
+            n_words = len(parts := raw.split())
+            size = sum(map(len, parts)) + max(n_words - 1, 0)
+            own[node] += size
+            stops[node] += raw.count(".") + raw.count(",")
+            words[node] += n_words
+            if first[node] < 0 and size:
                 first[node] = total
-            total += len(text)
+            total += size
         all_, link, links, stop, kids, inside, inputs, paras = own[:], self.link_chars[:], self.links[:], stops[:], [0] * n, [1] * n, self.inputs[:], [int(t in TEXT_TAGS) for t in self.tag]
         child: list[list[int]] = [[] for _ in range(n)]
         for i in range(n - 1, 0, -1):
@@ -179,7 +274,7 @@ class Page:
                 main, away, up_main[i], up_away[i], up_tag[i], up_main_tag[i], len(names),
             )
             for x in names:
-                row[34 + sum(x.encode()) % BUCKETS] = 1
+                row[34 + crc32(x.encode()) % BUCKETS] = 1
             up_main[i] += main
             up_away[i] += away
             up_tag[i] += tag in AWAY_TAGS
@@ -200,8 +295,12 @@ class Page:
         return kept
 
     def text(self, odds: np.ndarray) -> str:
-        kept = self.decoded(odds)
-        return " ".join(t for node, t in self.blocks if kept[node])
+        return self.of_nodes(self.decoded(odds))
+
+    def of_nodes(self, kept: list[bool]) -> str:
+        """The text of the nodes kept: white space inside a block as one space, blocks joined by one."""
+        blocks = (" ".join("".join(s for node, s in pieces if kept[node]).split()) for block, pieces in self.blocks if kept[block])
+        return " ".join(b for b in blocks if b)
 
 
 # --- training pages ------------------------------------------------------------------------
@@ -217,7 +316,12 @@ _SYLLABLES = "ta ri no ve lo ka me su di pa er an in re on é ü ñ st ch".split
 
 def _paragraph(r: random.Random) -> str:
     x = " ".join(_sentence(r, r.randint(3, 18)) for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9))))
-    return x + "".join(r.choice((" &amp; ", "*** ", "%%% ", "!! ")) for _ in range(r.choice((0, 0, 0, 3))))
+    y = r.random()
+    if y < 0.06:  # an advert inside the line; data-x marks it
+        x += f' <span class="{r.choice(("ad-inline", "sponsored", "promo", "share-link", "advert"))}" data-x="1">{_sentence(r, r.randint(2, 6))}</span>'
+    elif y < 0.14:
+        x += f' <{(t := r.choice(("em", "span", "strong", "code")))} class="{r.choice(("term", "name", "highlight", "quote", "lead"))}">{_sentence(r, r.randint(1, 5))}</{t}> ' + _sentence(r, 4)
+    return x + r.choice(("", "", "", " &amp; ", " #1 &gt; 2", " + - = / | ~"))
 
 
 def _links(r: random.Random, n: int, wrap: str = "li") -> str:
@@ -250,7 +354,8 @@ def _aside_part(r: random.Random) -> str:
             body += "<form><input type=text></form>"
     else:
         body = "".join(r.choice((f"<p>{_paragraph(r)}</p>", _sentence(r, r.randint(3, 14)), f"<div>{_sentence(r, 6)}</div>")) for _ in range(r.choice((1, 1, 2, 3))))
-        body = "&copy; example.com &middot; " + body if kind in ("footer", "legal") and r.random() < 0.6 else body
+        if kind in ("footer", "legal") and r.random() < 0.6:
+            body = r.choice(("&copy; ", "Copyright ", "&#169; 2020 ", "All rights reserved. ")) + _sentence(r, r.randint(1, 3)) + body
         body += _links(r, r.randint(0, 5), "span") if kind in ("footer", "side") else ""
     return f'<{tag}{attr} data-x="1">{body}</{tag}>'
 
@@ -261,7 +366,7 @@ def _article(r: random.Random) -> str:
         x = r.random()
         if x < 0.68:
             p = _paragraph(r)
-            parts.append(r.choice((f"<p>{p}</p>", f"<p>{p}", f"<p><b>{p}<br>", f"<div>{p}</div>", f'<p>{_sentence(r, 4)} <a href="/x">{_sentence(r, 3)}</a> {p}</p>')))
+            parts.append(r.choice((f"<p>{p}</p>", f"<p>{p}", f"<p><i>{_sentence(r, 3)}</i><br>{p}</p>", f"<p><strong>{p}", f"<div>{p}</div>", f'<p>{_sentence(r, 4)} <a href="/x">{_sentence(r, 3)}</a> {p}</p>')))
         elif x < 0.76:
             parts.append(f"<h2>{_sentence(r, 4)}</h2>")
         elif x < 0.82:
@@ -292,7 +397,7 @@ def training_pages(n: int, seed: int = 11) -> Iterator[str]:
         for _ in range(r.choice((0, 0, 1, 2))):
             body = f'<div{r.choice(("", " class=wrapper", " id=page", " class=container"))}>{body}</div>'
         end = r.choice(("</body></html>", "</body></html>", ""))
-        yield f'<!DOCTYPE html><html lang="en"><head><title>{_sentence(r, 4)}</title><script>var t="</p>";</script></head><body>{body}{end}'
+        yield f'<!DOCTYPE html><html lang="en"><head><title>{_sentence(r, 4)}</title><style>body{{color:#222}}</style><script>if (1 < 2) {{ go("<div>"); }}</script></head><body>{body}{end}'
 
 
 @lru_cache(maxsize=1)
@@ -305,7 +410,7 @@ def model(pages: int = 500) -> Boosted:
         holds = [False] * len(marked.tag)
         for i in range(1, len(bad)):
             bad[i] = bad[marked.parent[i]] or "xmarkx" in marked.names[i]
-        for node, _ in marked.blocks:
+        for node in (node for _, pieces in marked.blocks for node, s in pieces if s.strip()):
             while node >= 0 and not bad[node] and not holds[node]:
                 holds[node] = True
                 node = marked.parent[node]
