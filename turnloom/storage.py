@@ -25,15 +25,27 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that this process has written, in order.
+written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: one run of its plan,
     whatever reads it later, and nothing that is lost with an executor."""
     path = place(df.sparkSession, name)
     df.write.parquet(path)
+    written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Removes the tables that this application has stored; for when its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    written.clear()
