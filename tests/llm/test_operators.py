@@ -280,6 +280,25 @@ def test_simhash(spark, docs, clash, empty):
     assert ids == sorted([*want, None], key=repr)
 
 
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    made = [(1, "a b c d"), (1, "a b c d"), (1, "quite another text here"), (2, "a b c d"), (None, "a b c d"), (None, "only here, without an id"), (None, "only here, without an id"), (3, ""), (4, None)]
+    left = simhash.dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(3))
+    assert rows(left) == sorted([(1, "a b c d"), (1, "quite another text here"), (None, "only here, without an id"), (3, "")], key=repr)
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    from turnloom.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", 2)
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    assert rows(simhash.op9(d)) == sorted(brute.op9(pairs(some(spark, "documents"))), key=repr)
+
+
+def test_held_out_is_never_null(spark):
+    df = spark.createDataFrame([(None, "x y"), (1, "z")], "doc_id long, text string")
+    assert {r["held_out"] for r in quality.op8(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()} <= {True, False}
+
+
 def test_links_lose_no_pair(spark):
     import random
 

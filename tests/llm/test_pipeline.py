@@ -33,3 +33,29 @@ def test_stages(spark, monkeypatch):
     tk.encode_special_tokens = True
     brute.op5([tuple(r) for r in s5(spark, d, sf).collect()], list(after.items()), lambda t: tk.encode(t, add_special_tokens=False).ids)
     assert corpus_pipeline.run(spark, sf).selectExpr("sum(length)").first()[0] == s5(spark, d, sf).selectExpr("sum(length)").first()[0]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns and an empty table go through every stage."""
+    from pyspark.sql import functions as F
+
+    sf = str(tmp_path)
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    good = "This is a plain text about one thing and another, number "
+    made = [(1, line, "en", "a", 1), (2, good + "two.", "en", "a", 1), (2, good + "two.", "en", "a", 1), (None, good + "nine", None, None, None), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "Mail a@b.cd now " + good, "en", "a", 1)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit("x").alias(c) for c in ("spans", "score", "fp", "h", "a", "b", "hit", "row", "base", "more", "w", "n", "cut", "wide", "ids")])
+    spark.createDataFrame([(1, line)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, 1) for i in range(1, 6)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    now = docs
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf)
+        assert now.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0, name
+        now = now.cache()
+        sizes.append(now.count())
+    got = {(r["doc_id"], r["text"]) for r in now.collect()}
+    assert sizes[0] == 7 and sizes[3] == sizes[2] and not any(t == line for _, t in got) and any("[EMAIL]" in (t or "") for _, t in got)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+    assert pieces.count() == sizes[3] and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == sizes[3]

@@ -11,8 +11,8 @@ vocabulary's pre-tokens begin at a space or inside such a chunk, never across it
 as long as a chunk does not begin with further white space; those that do are joined to
 the chunk before.
 
-Defined cases: a null or empty text has only the end id.  Repeated rows are packed each.
-Without rows the result is empty.  Further columns are dropped.
+Defined cases: a null or empty text has only the end id.  A very long text is encoded whole, as
+one row, and cut into pieces.  Repeated rows are packed each.  Without rows the result is empty.  Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ WINDOW = 2048
 END = 1
 #: Chunks that an encoder keeps; then it begins anew.
 KEPT = 600_000
+#: Characters of the longest chunk that is kept, so that what is kept is bounded in bytes (some 150 MB).
+LONGEST = 48
 #: The split of byte-level BPE before merging (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -73,7 +75,8 @@ class Encoder(dict):
             ids = self[chunk[:-1]] + self.ends[chunk[-1]]
         else:
             ids = self.whole(" " + chunk)
-        self[chunk] = ids
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
     def whole(self, text: str) -> bytes:

@@ -12,7 +12,9 @@ that table (``BUCKETS`` numbers) is what scoring needs, and scoring is one pass
 shuffle.  Texts are hashed in blocks of code points, so a long one needs no more memory.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept.
-Labels that are null are not learned from; without labels of both classes the score is the
+Labels that are null are not learned from, nor are
+rows with a null doc_id, which are not held out; of several labels of one id the largest counts, of
+several texts the least; without labels of both classes the score is the
 share of class 1 (0.5 without labels).  Repeated rows each give a row.
 """
 
@@ -191,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn: Column
         ids = ids.filter(learn)
     ids = ids.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most sample rows are broadcast
-    rows = counts(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])).toArrow()
+    rows = counts(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))).toArrow()
     return train(sorted(zip(rows["label"].to_pylist(), rows["features"].to_pylist())))
 
 
@@ -217,7 +219,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def held_out() -> Column:
-    return crc_mod(F.col("doc_id"), 5) == 0
+    return F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

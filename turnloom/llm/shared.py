@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cleanup, shared_dir, stored
 
-__all__ = ["arrow_batches", "ascii_lower", "cleanup", "crc_mod", "few", "looked_up", "shared_dir", "space_words", "stored", "table"]
+__all__ = ["arrow_batches", "ascii_lower", "cleanup", "crc_mod", "few", "joined_by_size", "looked_up", "shared_dir", "space_words", "stored", "table"]
 
 #: Rows in a batch that goes to Python.  Texts can be long, so batches are short.
 ARROW_ROWS = 400
@@ -42,6 +42,17 @@ def looked_up(left: DataFrame, right: DataFrame, on: list[str], how: str, rows:
     return left.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(dealt, [*on, "__salt"], how).drop("__salt")
 
 
+#: Rows of one key above which it is joined by a broadcast of its row: of n rows at most n / HOT keys have so many.
+HOT = 100_000
+
+
+def joined_by_size(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """left joined with right (a row for each key of on, which is not null, and n, the rows that left has for it): keys
+    with many rows by broadcast, so that no task meets them all, others in a shuffle.  n is dropped."""
+    many, few_ = right.filter(F.col("n") > HOT).drop("n"), right.filter(F.col("n") <= HOT).drop("n")
+    return left.join(F.broadcast(many), on).unionByName(left.join(few_, on))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -9,10 +9,11 @@ bit_count(a ^ b).  A fingerprint has at most C(64,1) + C(64,2) + C(64,3) = 43,74
 within 3 bits, so links grow with the number of distinct fingerprints, and copies, which share
 a fingerprint, add none.
 
-Components are found by alternating stars (large and small), each round a written table.
+Components are found by alternating stars (large and small), each round a written table.  What
+belongs to a fingerprint, a node or a root with very many rows is broadcast to them.
 
 Defined cases: a null or empty text, or one of white space, has the fingerprint 0 and is
-linked like any other.  A null doc_id never names a component; a component without any other
+linked like any other.  A very long text is hashed whole, in blocks of shingles.  A null doc_id never names a component; a component without any other
 id has a null id.  Repeated rows each give a row.  Further columns are dropped.
 """
 
@@ -21,10 +22,10 @@ from __future__ import annotations
 from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, stored
+from .shared import arrow_batches, joined_by_size, stored
 
 SHINGLE = 3
 SEED = 42
@@ -54,8 +55,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (long, the unsigned value's bits)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, *keep: Column) -> DataFrame:
+    """doc_id, keep, fp (long, the unsigned value's bits)."""
     arrow_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
         found = [fingerprint(t, shingle, seed) for t in texts]
         return pd.Series([x - (1 << 64) if x >> 63 else x for x in found], dtype="int64")
 
-    return docs.select("doc_id", fps("text").alias("fp"))
+    return docs.select("doc_id", *keep, fps("text").alias("fp"))
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
@@ -95,11 +96,11 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_by_size(both.filter("v > u"), least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         large = stored(large, "large-star")
-        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = large.withColumnRenamed("b", "u").join(low, "u")
+        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = joined_by_size(large.withColumnRenamed("b", "u"), low, "u")
         pairs = small.select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a <> b").unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
         e = stored(pairs.distinct(), "small-star")
         now = size(e)
@@ -112,25 +113,33 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
     found = stored(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "nodes")
+    at = stored(rooted(nodes, bits), "roots")
+    ids = at.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    of_fp = joined_by_size(at.select("fp", "root", F.col("n").alias("rows")), ids, "root")
+    return joined_by_size(found, of_fp.select("fp", "component_id", F.col("rows").alias("n")), "fp").select("doc_id", "fp", "component_id")
+
+
+def rooted(nodes: DataFrame, bits: int) -> DataFrame:
+    """nodes (fp, n and others) with root, the least fingerprint that theirs reaches."""
     roots = components(links(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
-    at = nodes.join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    at = stored(at, "roots")
-    ids = at.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_fp = at.join(ids, "root").select("fp", "component_id")
-    return found.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def dedup(docs: DataFrame, **how) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component.  Rows with a null doc_id stay:
-    no result names them.  Of repeated rows that have the smallest id, one stays."""
-    gone = groups(docs, **how).filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    more = left.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if more.isEmpty():
-        return left
-    once = left.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(more, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def dedup(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS) -> DataFrame:
+    """docs with one row of each component: of the smallest doc_id (null ids last), then of the smallest hash of the text."""
+    rows = stored(fingerprints(docs, shingle, seed, F.xxhash64("text").alias("h")), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    nodes = stored(rows.groupBy("fp").agg(best.alias("best"), F.count("*").alias("n")), "nodes")
+    stay = stored(rooted(nodes, bits).groupBy("root").agg(F.min("best").alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.h").alias("__h")), "near-kept")
+    docs = docs.withColumn("__hash", F.xxhash64("text"))
+    on = lambda df: F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
+    left = docs.join(stay, on(docs), "left_semi")
+    again = stored(rows.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).count().filter("count > 1").select("__id", "__h"), "near-repeated")
+    if again.isEmpty():
+        return left.drop("__hash")
+    once = left.join(again, on(left), "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return left.join(again, on(left), "left_anti").unionByName(once).drop("__hash")
 
 
 def op9(docs: DataFrame) -> DataFrame:
