@@ -55,9 +55,9 @@ DISTINCT = 300_000
 ADD = 0.1
 #: Pairs that each class adds to its own, dealt as all tokens are: a class seen seldom predicts as all do.
 SHRINK = 100.0
-#: Tokens that predict (a third one gave no more at sf0.1, at a third more time); positions and noise tokens of a step; updates at which a task counts for half; rows in a block.
+#: Tokens that predict (a third one gave no more at sf0.1, at a third more time); positions and noise tokens (by place) of a step; updates at which a task counts for half; rows in a block.
 #: Then the rate, what AdaGrad's sums begin with, and how many noise tokens weigh as much as a token.
-CONTEXT, STEP, SAMPLES, STEPS, BLOCK = 2, 1024, 64, 20.0, 1024
+CONTEXT, STEP, SAMPLES, STEPS, BLOCK = 2, 1024, (64, 32), 20.0, 1024
 RATE, SQUARE, FAKES = 0.05, 1.0, 10
 #: What the places count for the vectors that they share.
 WEIGHTS = (1.0, 0.2)
@@ -262,8 +262,7 @@ class Learner:
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
         m, u, p = self.m, self.m.u, self.m.rows
-        width = p.shape[1]
-        fake = np.minimum(np.searchsorted(self.upto, self.rng.random(SAMPLES) * self.upto[-1], "right"), m.v - 1)
+        fake = np.minimum(np.searchsorted(self.upto, self.rng.random(max(SAMPLES)) * self.upto[-1], "right"), m.v - 1)
         of = m.of[before]
         left, places = p[of], p[u : u + CONTEXT][:, None]
         h = left * places
@@ -271,23 +270,24 @@ class Learner:
         q, qf = p[u + CONTEXT + after], p[u + CONTEXT + fake]
         s = np.einsum("kij,ij->ki", h, q)
         g = -1 / (1 + np.exp(np.clip(s - self.shift[after], -30, 30)))
-        flat = h.reshape(-1, width)
-        e = flat @ qf.T
-        np.subtract(self.shift[fake], e, out=e)
-        with np.errstate(over="ignore"):  # then the share is 0
-            np.exp(e, out=e)
-        e += 1
-        np.divide(FAKES / SAMPLES, e, out=e)
-        gh = (e @ qf).reshape(h.shape)
+        gh, gf = np.empty_like(h), np.zeros_like(qf)
+        for k, (n, weight) in enumerate(zip(SAMPLES, WEIGHTS)):
+            e = h[k] @ qf[:n].T
+            np.subtract(self.shift[fake[:n]], e, out=e)
+            with np.errstate(over="ignore"):  # then the share is 0
+                np.exp(e, out=e)
+            e += 1
+            np.divide(FAKES / n, e, out=e)
+            np.matmul(e, qf[:n], out=gh[k])
+            gf[:n] += np.float32(weight) * (e.T @ h[k])
         gh += g[:, :, None] * q
         gh[:, :, -1] = 0
         self.update(np.arange(u, u + CONTEXT), np.einsum("kij,kij->kj", gh, left))
-        weight = np.array(WEIGHTS[:CONTEXT], np.float32)[:, None]
+        weight = np.array(WEIGHTS, np.float32)[:, None]
         own = gh * (places * weight[:, :, None])
         g *= weight
-        e *= np.repeat(weight, h.shape[1], axis=0)
         at = np.concatenate([of.ravel(), u + CONTEXT + after, u + CONTEXT + fake]).astype(np.int32)
-        self.update(at, np.vstack([own.reshape(-1, width), np.einsum("ki,kij->ij", g, h), e.T @ flat]))
+        self.update(at, np.vstack([own.reshape(-1, p.shape[1]), np.einsum("ki,kij->ij", g, h), gf]))
         self.explain(of[0], np.exp(np.minimum(s, 0)), m.noise[after])
 
     def explain(self, nearest: np.ndarray, places: np.ndarray, unigram: np.ndarray) -> None:
