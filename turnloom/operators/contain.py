@@ -8,9 +8,10 @@ items are looked up by the first characters of their longest word among the piec
 characters of a text's words, items of white space by their first character.  What is found is
 verified.  No text is looked up by a prefix alone and nothing is left out.
 
-Items of at most ``BROADCAST_BYTES`` are broadcast: each text is read once and shuffled not at
-all.  Beyond that (item, text hash) pairs are joined on salted hashes and the texts found are
-joined back.
+Hashes of a text go on with its id and its own hash, never with the text, so work is linear in the
+length of a text.  Items of at most ``BROADCAST_BYTES`` are broadcast, else (item, text hash) pairs are
+joined on salted hashes.  The texts found are joined back to be verified: the pairs found are broadcast with
+their items up to as many bytes, beyond that both sides are dealt by id and hash.
 
 Defined cases: null texts and null items match nothing, an empty item stands in each text that
 is not null.  Repeated rows give one row.
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 CLASSES = (1, 2, 4, 8)
 GRAM = 4
 BROADCAST_BYTES = 32 << 20
@@ -80,14 +83,18 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text
     if not size["kinds"]:
         return d.limit(0).select(F.col("__id").alias(doc_id), F.lit(None).cast(items.schema["item_id"].dataType).alias(item_id))
     looked = _looked_up(F.col("__text"), F.col("__words"), size["kinds"])
-    rows = d.withColumn("__words", _words(F.col("__text")))
+    keys = d.withColumn("__words", _words(F.col("__text"))).select("__id", F.xxhash64("__text").alias("__hash"), F.explode(F.array_distinct(looked)).alias("h"))
+    ids = items.select("item_id", "h").distinct()
     if size["bytes"] <= limit:
-        got = rows.select("__id", "__text", F.explode(looked).alias("h")).join(F.broadcast(items.select("item_id", "item", "h")), "h")
+        pairs = keys.join(F.broadcast(ids), "h")
     else:
-        salt = F.pmod(F.xxhash64("__id", "__hash"), F.lit(SALTS)).cast("int")
-        pairs = rows.withColumn("__hash", F.xxhash64("__text")).select("__id", "__hash", salt.alias("salt"), F.explode(F.array_distinct(looked)).alias("h"))
-        salted = items.select("item_id", "item", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        pairs = pairs.join(salted, ["h", "salt"]).select(F.col("__id").alias("__of"), "__hash", "item_id", "item").distinct()
-        on = F.col("__id").eqNullSafe(F.col("__of")) & (F.xxhash64("__text") == F.col("__hash"))
-        got = d.join(pairs, on)
+        salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = keys.withColumn("salt", F.pmod(F.xxhash64("__id", "__hash"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
+    pairs = stored(pairs.select(F.col("__id").alias("__of"), "__hash", "item_id").distinct(), "contained")
+    texts = items.select("item_id", "item").distinct()
+    # by id, as an id may have several texts: each is tried
+    found = pairs.join(F.broadcast(texts) if size["bytes"] <= limit else texts, pairs["item_id"].eqNullSafe(texts["item_id"])).select("__of", "__hash", pairs["item_id"], "item")
+    few = limit >= 0 and found.agg(F.coalesce(F.sum(F.octet_length("item") + 64), F.lit(0))).first()[0] <= limit
+    on = F.col("__id").eqNullSafe(F.col("__of")) & (F.xxhash64("__text") == F.col("__hash"))
+    got = d.join(F.broadcast(found) if few else found, on)
     return got.filter(F.contains("__text", "item")).select(F.col("__id").alias(doc_id), F.col("item_id").alias(item_id)).distinct()
