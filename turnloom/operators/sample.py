@@ -6,6 +6,8 @@ it); no task ranks all rows of a group.  ``hashed`` order ends in the key, so ra
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,22 @@ def rank_in(df: DataFrame, group: list[str], key: str, salt: str, name: str = "r
     return out.drop("__h", "__band", "__b", "__size", "__before", "__all", "__rank", *[f"__{i}" for i in range(len(group))])
 
 
+#: Most rows of a group that Spark's own limit inside groups (a partial limit before the shuffle) covers, and the parts that
+#: groups with more are cut into, level by level: a task of the last levels meets at most the rows asked for from each part.
+SPARK_GROUP_LIMIT, PARTS = 1000, (4096, 64, 1)
+
+
+def heads(df: DataFrame, group: list[str], n: int, order: list[Column | str], name: str = "__rn") -> DataFrame:
+    """The first n rows of each group by order, with their rank.  A group may hold most rows.  Up to Spark's limit each task passes
+    on no more than n of a group; beyond it rows are cut by hash of their order into parts, each part to its first n rows,
+    and parts of parts likewise.  Rows of equal order are told apart by chance; let order end in a unique column."""
+    part = F.xxhash64(*order)
+    for parts in PARTS if n > SPARK_GROUP_LIMIT else PARTS[-1:]:
+        by = [*group, F.pmod(part, F.lit(parts))] if parts > 1 else group
+        df = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= n)
+    return df
+
+
 def stratum(domain: Column, context_required: Column) -> Column:
     """domain|true, domain|false or domain|na."""
     return F.concat_ws("|", F.coalesce(domain, F.lit("unknown")), F.coalesce(context_required.cast("string"), F.lit("na")))
@@ -147,10 +165,8 @@ def capped(df: DataFrame, bucket: list[str], quota: dict[tuple, int], cap: int,
         return df.limit(0)
     kinds = dict(df.dtypes)
     takes = df.sparkSession.createDataFrame([(*k, v) for k, v in plan.items()], ", ".join(f"`{c}` {kinds[c]}" for c in bucket) + ", take int")
-    ranks = df.withColumn("rn", F.row_number().over(Window.partitionBy(*bucket).orderBy(order)))
-    ranks = ranks.filter(F.col("rn") <= max(plan.values()))  # a constant, so that each task passes on no more than that of a bucket
     takes = F.broadcast(takes) if len(plan) <= FEW_BUCKETS else takes
-    return ranks.join(takes, bucket).filter("rn <= take").select(*df.columns)
+    return heads(df, bucket, max(plan.values()), [order], "rn").join(takes, bucket).filter("rn <= take").select(*df.columns)
 
 
 def few_shots(pool: DataFrame, context_required: bool, user_turns: int, k: int, order: str, salt: str = "shots") -> DataFrame:
@@ -161,7 +177,36 @@ def few_shots(pool: DataFrame, context_required: bool, user_turns: int, k: int,
     return take(first, k, order, salt)
 
 
+def few_shots_of(pool: DataFrame, k: int, order: str, by: list[str], salt: str = "shots") -> DataFrame:
+    """``few_shots`` for every bucket (context_required, user_turns) in each group of by (say, domain), in one plan: the pool's rows
+    with for_context and for_turns, the bucket that they are shown to.  A bucket's pool is its group's rows of that context
+    or, where there are none, all of the group.
+
+    A row stands in two lists, that of its group and context and that of its group alone.  Of a list only the first
+    max(3k, 6) rows of each count of turns, and of all counts, go on; so a bucket chooses among few rows and none is ranked."""
+    n, keys = max(3 * k, 6), [f"__by{i}" for i in range(len(by))]
+    rows = pool.select(F.struct(*[F.col(f"`{c}`") for c in pool.columns]).alias("row"), *[F.col(c).alias(b) for c, b in zip(by, keys)], F.col("context_required").alias("context"), F.col("user_turns").alias("turns"), F.col(order).alias("at"))
+    lists = rows.withColumn("wide", F.explode(F.array(F.lit(False), F.lit(True)))).filter("wide OR context IS NOT NULL").withColumn("context", F.when(~F.col("wide"), F.col("context")))
+    of = [*keys, "wide", "context"]
+    same = heads(lists, [*of, "turns"], n, ["at"]).drop("__rn")
+    first = heads(same, of, n, ["at"]).drop("__rn")
+    own = rows.filter("context IS NOT NULL").select(*keys, F.col("context").alias("for_context"), F.lit(False).alias("wide")).distinct()
+    buckets = rows.select(*keys, F.col("turns").alias("for_turns"), F.explode(F.array(F.lit(False), F.lit(True))).alias("for_context")).distinct()
+    buckets = _joined(buckets, own, [*keys, "for_context"], "left").withColumn("wide", F.coalesce("wide", F.lit(True))).withColumn("context", F.when(~F.col("wide"), F.col("for_context")))
+    exact = _joined(buckets.withColumn("turns", F.col("for_turns")), same, [*of, "turns"]).withColumn("other", F.lit(0))
+    rest = _joined(buckets, first, of).filter(~F.col("turns").eqNullSafe(F.col("for_turns"))).withColumn("other", F.lit(1))
+    bucket = [*keys, "for_turns", "for_context"]
+    cols = [*bucket, "other", "at", "row"]
+    chosen = heads(exact.select(*cols).unionByName(rest.select(*cols)), bucket, n, ["other", "at"]).drop("__rn")
+    return heads(chosen.withColumn("h", hashed(F.col("at"), salt)), bucket, k, ["h", "at"]).select("for_context", "for_turns", "row.*")
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which nulls of the keys equal each other."""
+    right = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]), how).drop(*[f"__r_{c}" for c in on])
+
+
 def target_cut(df: DataFrame, group: list[str], target: int, *order: str) -> DataFrame:
-    """The first target rows of each group.  The bound is a constant, so each task passes on no more than that of a group."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("__rn", rank).filter(F.col("__rn") <= target).drop("__rn")
+    """The first target rows of each group, however large the group or the target."""
+    return heads(df, group, target, list(order)).drop("__rn")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import first_wins, not_in
+from ..operators.sample import heads
 
 
 def accepted(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
@@ -34,8 +34,7 @@ def waves(source: DataFrame, path: str, checkpoint: str, key: list[str], order:
             have = old.groupBy(*bucket).agg(F.count("*").alias("have"))
             room = quota.join(have, bucket, "left").select(*bucket, (F.col("quota") - F.coalesce("have", F.lit(0))).alias("room")).filter("room > 0")
             most = room.agg(F.max("room")).first()[0] or 0
-            rank = F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))
-            new = new.join(room, bucket).withColumn("rn", rank).filter(F.col("rn") <= most).filter("rn <= room").select(*source.columns)
+            new = heads(new.join(room, bucket), bucket, most, order, "rn").filter("rn <= room").select(*source.columns)
         new.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
