@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions.text import strip
 from ..operators.dedup import union_all
 from ..operators.dialogue import chat_messages, seed_samples
 from ..schema import CONVERSATIONS_RECORD, SAMPLE, TURNS
@@ -20,7 +21,7 @@ from ..schema import CONVERSATIONS_RECORD, SAMPLE, TURNS
 def jsonl(spark: SparkSession, path: str | list[str], schema: str, mode: str = "strict") -> DataFrame:
     """JSON lines: "strict" fails at a bad line, "blanks" also skips blank lines, "tolerant" drops bad lines."""
     if mode == "blanks":
-        lines = spark.read.text(path).filter(F.trim("value") != "")
+        lines = spark.read.text(path).filter(strip(F.col("value")) != "")
         return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     return spark.read.schema(schema).option("mode", {"strict": "FAILFAST", "tolerant": "DROPMALFORMED"}[mode]).json(path)
 
