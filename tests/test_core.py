@@ -12,6 +12,7 @@ from turnloom.functions import text as X
 from turnloom.operators import contain, dedup, dialogue, evaluate, sample, validate
 from turnloom.plans import prompts, templates
 from turnloom.schema import SAMPLE, TURNS
+from turnloom.sources.publish import Store
 from turnloom.sources import ingest, sinks
 from turnloom.streaming import resume
 
@@ -280,8 +281,9 @@ def test_sinks(spark, tmp_path):
     sinks.by_split(df, str(tmp_path / "s"))
     sinks.by_model(df, str(tmp_path / "m"))
     assert {p.name for p in (tmp_path / "s").iterdir() if p.is_dir()} == {"split=train", "split=test"} and (tmp_path / "m" / "model_slug=a_b").is_dir()
-    to = sinks.merged(df, df.withColumn("id", F.col("id") + 1), ["id"], ["id"], str(tmp_path / "g"))
-    assert spark.read.json(to).count() == 3
+    assert sinks.merged(df, ["id"], ["id"], str(tmp_path / "g")) == 1
+    assert sinks.merged(df.withColumn("id", F.col("id") + 1), ["id"], ["id"], str(tmp_path / "g")) == 2
+    assert sorted(r["id"] for r in Store(spark, str(tmp_path / "g")).read("id int, t string").collect()) == [1, 2, 3]
 
 
 def test_stream(spark, tmp_path):
@@ -368,11 +370,14 @@ def test_services(spark):
     def send(client, prompt):
         seen.append(client)
         if len(seen) < 4:
-            raise RuntimeError("429 too many" if len(seen) < 3 else "broken pipe")
+            error = RuntimeError("too many" if len(seen) < 3 else "broken pipe")
+            error.status = 429 if len(seen) < 3 else None
+            raise error
         return prompt.upper()
 
-    call = hooks.service(["k1", "k2"], send, sleep=pauses.append, jitter=lambda: 0.5)
-    assert call("x") == "X" and seen == ["k1", "k2", "k1", "k2"] and pauses == [1.5, 2.0, 1.5]
+    call = hooks.service(["k1", "k2"], send, sleep=pauses.append, clock=lambda: 0.0)
+    # both keys rest, for one second and for two; then the pipe breaks
+    assert call("x") == "X" and seen == ["k1", "k2", "k1", "k1"] and pauses == [1.0, 0.5, 1.0]
     assert hooks.service(["k"], lambda c, p: 1 / 0, tries=2, sleep=pauses.append)("x") is None
     sizes = hooks.applied(spark.range(10).coalesce(1), lambda: lambda b: b.assign(id=len(b)), "id long", chunk=4).collect()
     assert sorted(r["id"] for r in sizes) == [2, 2, 4, 4, 4, 4, 4, 4, 4, 4]
@@ -417,7 +422,7 @@ def test_requests_seeds_and_training_files(spark, tmp_path):
     pool = ingest.seed_pool(spark.createDataFrame([(1, "z")], "id int, rewrite string"), spark.read.schema(CONVERSATIONS_RECORD).json(str(tmp_path / "t.json")))
     assert [(r["rewrite"], r["domain"], r["source_rank"]) for r in pool.orderBy("source_rank").collect()] == [("z", None, 0), ("y", "music", 1)]
     keys = hooks.Keys(["a", "b"])
-    assert [keys() for _ in range(3)] == ["a", "b", "a"]
+    assert [keys()[1] for _ in range(3)] == ["a", "b", "a"]
 
 
 def test_exact_decontamination_of_odd_items(spark):
