@@ -6,19 +6,20 @@ it has words, is one window.  A document word inside any occurrence of a window
 
 Every occurrence of a window of L words covers one whole chunk of k = (L + 1) // 2 document
 words that starts at a multiple of k.  So the scan hashes only those chunks, a hash for each
-k words, and joins them with the hashes of all runs of k words of the windows.  A chunk that is
-found goes on with the 2L - k words around it, never with the text, and the windows that lie
-there are joined, as strings, with the benchmark's.
+k words, and joins them with the hashes of all runs of k words of the windows.  A chunk goes on with
+the text's own hash (96 bits) and its place, never with words, so work is linear in the length of a text.
+
+Places found are gathered by text, once for all its copies.  The texts that have some are read again,
+one of each, and the windows around the places are joined, as strings, with the benchmark's.
 
 The chunk hashes are broadcast, ``BROADCAST_CHUNKS`` at a time: a benchmark with more of them (some
 two million words) takes a pass over the documents for each such part.  So the plan is the same
-at any size and no text is shuffled.  Windows are broadcast up to ``BROADCAST_WINDOWS``, else the
-places found are joined with them on salted keys.  Hits are kept by text (96 bits of hashes), once
-for all its copies, and joined back to the documents: broadcast up to ``BROADCAST_HITS`` (words hit,
-or contaminated texts for ``clean``), else on salted keys.
+at any size.  Windows are broadcast up to ``BROADCAST_WINDOWS``, else the windows found are joined with
+them on salted keys.  Hits are kept by text and joined back to the documents: broadcast up to
+``BROADCAST_HITS`` (words hit, or texts), else on salted keys.
 
 Defined cases: a null or empty text has no words and is never hit.  A very long text is one row
-with an array of its words.  Null item ids name no item, repeated ids one.  Repeated document
+with an array of its words; time grows with its length.  Null item ids name no item, repeated ids one.  Repeated document
 rows each give a row.  Further columns are dropped (``clean`` keeps all).
 """
 
@@ -90,14 +91,17 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limits: tuple[
         return docs.sparkSession.createDataFrame([], nothing)
     chunks = stored(_chunk_runs(wins), "decontam-chunks")
     items = stored(wins.groupBy("window").agg(F.collect_set("item_id").alias("ids")), "decontam-items")
-    rows = docs.select(*_text_key(), words(F.col("text")).alias("w"))
-    rows = rows.select("a", "b", "w", F.explode(F.concat(*map(_aligned, lengths))).alias("c")).select("a", "b", "w", F.col("c.l").alias("l"), F.col("c.at").alias("at"), F.col("c.h").alias("h"))
-    first = F.greatest(F.lit(0), F.col("at") + F.expr("(l + 1) div 2") - F.col("l")).cast("int")
+    scan = docs.select(*_text_key(), words(F.col("text")).alias("w"))
+    scan = scan.select("a", "b", F.explode(F.concat(*map(_aligned, lengths))).alias("c")).select("a", "b", F.col("c.l").alias("l"), F.col("c.at").alias("at"), F.col("c.h").alias("h"))
     passes = -(-chunks.count() // most_chunks)
-    found = reduce(DataFrame.unionByName, [rows.join(F.broadcast(chunks.filter(F.pmod("h", F.lit(passes)) == p)), "h", "left_semi") for p in range(passes)])
-    near = found.select("a", "b", F.size("w").alias("n"), "l", first.alias("first"), F.expr("slice(w, int(greatest(0, at + (l + 1) div 2 - l)) + 1, int(least(at, size(w) - l) - greatest(0, at + (l + 1) div 2 - l)) + l)").alias("w"))
-    spread = near.select("a", "b", "n", "l", F.explode(F.expr("transform(sequence(0, size(w) - l), s -> struct(first + s as s, array_join(slice(w, s + 1, l), ' ') as window))")).alias("x"))
-    hit = looked_up(spread.select("a", "b", "n", "l", "x.s", "x.window"), items, ["window"], "inner", most_windows, F.struct("a", "s"))
+    found = reduce(DataFrame.unionByName, [scan.join(F.broadcast(chunks.filter(F.pmod("h", F.lit(passes)) == p)), "h", "left_semi") for p in range(passes)])
+    places = stored(found.groupBy("a", "b").agg(F.collect_set(F.struct("l", "at")).alias("c")), "decontam-places")
+    texts = looked_up(docs.select(*_text_key(), "text", F.monotonically_increasing_id().alias("row")), places.select("a", "b"), ["a", "b"], "left_semi", BROADCAST_HITS, F.col("row"))
+    texts = texts.select("a", "b", "text").dropDuplicates(["a", "b"]).join(places, ["a", "b"]).select("a", "b", "c", words(F.col("text")).alias("w"))
+    first, last = "greatest(0, c.at + (c.l + 1) div 2 - c.l)", "least(c.at, size(w) - c.l)"
+    around = F.expr(f"flatten(transform(c, c -> if({last} >= {first}, transform(sequence(int({first}), int({last})), s -> struct(s, c.l as l, array_join(slice(w, s + 1, c.l), ' ') as window)), array())))")
+    spread = texts.select("a", "b", F.size("w").alias("n"), F.explode(F.array_distinct(around)).alias("x")).select("a", "b", "n", "x.s", "x.l", "x.window")
+    hit = looked_up(spread, items, ["window"], "inner", most_windows, F.struct("a", "s"))
     by_text = hit.groupBy("a", "b", "n").agg(F.collect_set(F.struct("s", "l")).alias("x"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"))
     return by_text.select("a", "b", "n", F.array_sort(F.array_distinct(F.flatten(F.transform("x", lambda x: F.sequence(x["s"], x["s"] + x["l"] - 1))))).alias("hit"), F.array_sort("items").alias("items"))
 
