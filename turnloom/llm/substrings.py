@@ -15,10 +15,10 @@ cover are removed.
 
 Only hashes and places are shuffled, once; the texts are, once, for the removal, where only those
 with a covered sentence go to Python.  Hot spans, which would meet in one task, stay out of that
-shuffle: each task names those that it sees ``NAMED`` times in a million spans; of all named, those
-that make up more than 1/100,000 of all spans (so 100,000 at most, which are broadcast) are summed
-to their first places, in each task first, and all others of them are not the first.  So a task
-gets 1/100,000 of all spans for one span, or little more.
+shuffle: tasks that each see a million spans or more, however small the files are, name those that they
+see ``NAMED`` times in a million; of all named, those that make up more than 1/100,000 of all spans (so
+100,000 at most, which are broadcast) are summed to their first places, in each task first, and all
+others of them are not the first.  So a task gets 1/100,000 of all spans for one span, or little more.
 
 Defined cases: a null or empty text has no sentences and stays.  A very long text is one row with
 an array of hashes.  Rows with one doc_id and one text are one document: each gets its result.  Rows with a null doc_id come first in order.
@@ -148,7 +148,8 @@ def hot_spans(found: DataFrame) -> DataFrame:
 
         def named():
             own, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"a": own[n >= NAMED], "n": n[n >= NAMED]})
+            kept = n >= min(NAMED, max(2, NAMED * size // CHUNK))  # a last part that is smaller names as many as its size asks for
+            return pd.DataFrame({"a": own[kept], "n": n[kept]})
 
         for b in batches:
             for x in b["a"]:
@@ -161,7 +162,7 @@ def hot_spans(found: DataFrame) -> DataFrame:
             yield named()
 
     total = found.agg(F.sum(F.size("r.a"))).first()[0] or 0
-    got = found.select("r.a").mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    got = found.select("r.a").coalesce(max(1, total // (2 * CHUNK))).mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
     return stored(got.filter(F.col("n") > max(total * HOT, LEAST)).select("a"), "hot-spans")
 
 
