@@ -20,8 +20,8 @@ noise, AdaGrad by rows), and counts what the places explained, which gives the m
 What the tasks change is merged by blocks of rows: rows seen seldom get the sum of the changes,
 rows seen often their mean, by a = n / (n + ``STEPS``) of each task (sent in half precision).
 
-Counts of the ``HEAD`` most frequent tokens go to the workers.  Other tokens are joined with
-the counts; none of them is frequent, so that join has no hot key.
+Counts of the ``HEAD`` most frequent tokens go to the workers.  Other tokens are joined with the counts;
+none of them is frequent in training texts, and those frequent in held-out texts are joined by broadcast.
 
 Defined cases: a null or empty text is one end.  A very long text is one row with its numbers as
 binary.  Rows with a null doc_id are training rows.  Repeated rows count and are scored each.
@@ -50,6 +50,8 @@ CONTEXTS = 8191
 DIM = 16
 NOISE = 20
 ROUNDS = 250
+#: Held-out texts with a token outside of the head above which it is joined by broadcast.
+HOT = 100_000
 #: Distinct tokens that a task counts before it passes them on.
 DISTINCT = 300_000
 ADD = 0.1
@@ -485,6 +487,17 @@ def fit(docs: DataFrame) -> Fitted:
     return Fitted(model=model, inside=inside, counts=counts, n_train=total + ends, n_types=distinct + (ends > 0), rows=rows, words=list(head))
 
 
+def _with_counts(rare: DataFrame, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rare (uid, token, times) with n, null for tokens that training texts don't have.  Tokens outside of the head are seldom in
+    training texts, but may be frequent in the others: those in more than HOT of these (so few) are joined by broadcast."""
+    hot = rows.filter("held_out").select(F.explode("rare").alias("token")).groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT).select("token")
+    hot = stored(hot, "lm-hot")
+    if hot.isEmpty():
+        return rare.join(counts, "token", "left")
+    hot = F.broadcast(hot.join(counts, "token", "left"))
+    return rare.join(hot, "token").unionByName(rare.join(hot, "token", "left_anti").join(counts, "token", "left"))
+
+
 def score(docs: DataFrame, fitted: Fitted | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     fitted = fitted or fit(docs)
@@ -494,7 +507,7 @@ def score(docs: DataFrame, fitted: Fitted | None = None) -> DataFrame:
     found = rows.filter("uid is not null")
     rare = found.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     got = (
-        rare.join(counts, "token", "left")
+        _with_counts(rare, found, counts)
         .select("uid", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("log"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"))
         .groupBy("uid")
         .agg(F.sum("log").alias("log"), F.sum("known").alias("more"))
