@@ -68,6 +68,14 @@ AWAY_NAMES = frozenset(
     "modal popup overlay copyright legal toolbar tags taglist meta byline skip hidden".split()
 )
 BUCKETS = 24
+#: Words and signs of page furniture; they count in short blocks only, as articles use them too.
+CUE_WORDS = frozenset(
+    "cookie cookies consent accept privacy policy terms imprint impressum datenschutz kontakt contact copyright rights reserved subscribe newsletter login register signup sign log "
+    "share tweet facebook twitter whatsapp instagram reddit pinterest comments comment reply advertisement sponsored promoted menu home search skip previous next read related "
+    "mentions légales confidentialité accepter acepto aceptar privacidad aviso contacto akzeptieren agb".split()
+)
+CUE_SIGNS = "©®"
+CUE_MOST, CUE_TRIM = 30, ".,:;!?()[]\"'"
 
 
 class Tags:
@@ -223,7 +231,7 @@ class Page:
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
-        own, stops, words = [0] * n, [0] * n, [0] * n
+        own, stops, words, cues = [0] * n, [0] * n, [0] * n, [0] * n
         first = [-1] * n
         total = 0
         for node, raw in (piece for _, pieces in self.blocks for piece in pieces):
@@ -232,10 +240,13 @@ class Page:
             own[node] += size
             stops[node] += raw.count(".") + raw.count(",")
             words[node] += n_words
+            if n_words <= CUE_MOST:
+                cues[node] += sum(w.lower().strip(CUE_TRIM) in CUE_WORDS or w[0] in CUE_SIGNS for w in parts)
             if first[node] < 0 and size:
                 first[node] = total
             total += size
         all_, link, links, stop, kids, inside, inputs, paras = own[:], self.link_chars[:], self.links[:], stops[:], [0] * n, [1] * n, self.inputs[:], [int(t in TEXT_TAGS) for t in self.tag]
+        cue, most, said = cues[:], own[:], words[:]
         child: list[list[int]] = [[] for _ in range(n)]
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
@@ -243,6 +254,9 @@ class Page:
             link[p] += link[i]
             links[p] += links[i]
             stop[p] += stop[i]
+            cue[p] += cue[i]
+            said[p] += said[i]
+            most[p] = max(most[p], most[i])
             inside[p] += inside[i]
             inputs[p] += inputs[i]
             paras[p] += paras[i]
@@ -258,7 +272,14 @@ class Page:
                 before[i] = all_[c[j - 1]] if j else 0
                 after[i] = all_[c[j + 1]] if j + 1 < len(c) else 0
         up_main, up_away, up_tag, up_main_tag = [0] * n, [0] * n, [0] * n, [0] * n
-        rows = np.zeros((n, 34 + BUCKETS))
+        largest = max(range(n), key=own.__getitem__)
+        near = [0] * n  # how many parents of the largest text a node is from below it
+        up = self.parent[largest]
+        steps = 1
+        while up >= 0:
+            near[up] = steps
+            up, steps = self.parent[up], steps + 1
+        rows = np.zeros((n, 41 + BUCKETS))
         for i in range(n):
             tag, names, p = self.tag[i], self.names[i], self.parent[i]
             main = sum(x in MAIN_NAMES for x in names)
@@ -266,15 +287,16 @@ class Page:
             if p >= 0:
                 up_main[i], up_away[i], up_tag[i], up_main_tag[i] = up_main[p], up_away[p], up_tag[p], up_main_tag[p]
             row = rows[i]
-            row[:34] = (
+            row[:41] = (
                 self.depth[i], own[i], all_[i], link[i] / (all_[i] + 1), links[i], inside[i], 100 * inside[i] / (all_[i] + 1), kids[i], place[i], kids[p] if p >= 0 else 0,
                 all_[i] / (all_[p] + 1) if p >= 0 else 1, all_[i] / (total + 1), paras[i], 100 * stop[i] / (all_[i] + 1), inputs[i], words[i],
                 before[i], after[i], max(first[i], 0) / (total + 1),
                 tag in AWAY_TAGS, tag in MAIN_TAGS, tag in TEXT_TAGS, tag in HEADS, tag in LIST_TAGS, tag in TABLE_TAGS, tag == "footer", tag == "header",
                 main, away, up_main[i], up_away[i], up_tag[i], up_main_tag[i], len(names),
+                cue[i], cue[i] / (said[i] + 1), said[i], most[i], near[p] if p >= 0 else 0, i > largest, tag in ("h1", "h2"),
             )
             for x in names:
-                row[34 + crc32(x.encode()) % BUCKETS] = 1
+                row[41 + crc32(x.encode()) % BUCKETS] = 1
             up_main[i] += main
             up_away[i] += away
             up_tag[i] += tag in AWAY_TAGS
@@ -317,6 +339,8 @@ _SYLLABLES = "ta ri no ve lo ka me su di pa er an in re on é ü ñ st ch".split
 def _paragraph(r: random.Random) -> str:
     x = " ".join(_sentence(r, r.randint(3, 18)) for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9))))
     y = r.random()
+    if y > 0.93:  # articles speak of such things too
+        x += " " + r.choice(("We use cookies in the kitchen, and accept that.", "He had to sign the terms and read the policy.", "Contact with the copyright office was lost.", "Her comment: share what you read.", "They search the home for a reply."))
     if y < 0.06:  # an advert inside the line; data-x marks it
         x += f' <span class="{r.choice(("ad-inline", "sponsored", "promo", "share-link", "advert"))}" data-x="1">{_sentence(r, r.randint(2, 6))}</span>'
     elif y < 0.14:
@@ -328,7 +352,50 @@ def _links(r: random.Random, n: int, wrap: str = "li") -> str:
     return "".join(f'<{wrap}><a href="/{i}">{_sentence(r, r.randint(1, 4))[:-1]}</a></{wrap}>' for i in range(n))
 
 
+#: Short furniture in the words that sites use; {} is filled with words of the page's own tongue.
+_SHORT = {
+    "notice": ("We use cookies to {}. Accept", "Accept all cookies?", "This site uses cookies.", "By going on you consent to cookies. OK", "Wir verwenden Cookies. Akzeptieren", "Nous utilisons des cookies. Accepter"),
+    "legal": ("&copy; 2020 {}", "© {} 2023. All rights reserved.", "Copyright 2019 {}", "Impressum | Datenschutz", "Imprint · Privacy · Contact", "Terms of use | Privacy policy", "Mentions légales | Contact", "Aviso legal · Privacidad"),
+    "header": ("{}", "{}", "The {}", "{} | {}", "Menu", "Home » {}"),
+    "share": ("Share on Facebook", "Share: Twitter · WhatsApp", "Tweet this", "Share this {}"),
+    "form": ("Subscribe to our newsletter", "Sign up for {}", "Log in or register", "Search"),
+    "comments": ("3 comments", "Leave a reply", "No comments", "12 Comments on {}"),
+    "ad": ("Advertisement", "Sponsored: {}", "Promoted by {}"),
+    "related": ("Read next: {}", "Related: {}", "Previous: {}", "More from {}"),
+}
+
+
+def _made_name(r: random.Random) -> str:
+    """A class or id as tools make it, or one that says nothing; articles and furniture have them alike."""
+    made = "".join(r.choice("abcdefghijkmnprstuvwxyz") for _ in range(r.randint(1, 3)))
+    return r.choice((f' class="css-{r.randint(1, 999)}"', f' class="sc-{made}"', f' class="{made}-{r.randint(1, 99)}"', f' class="{made}{made[::-1]}"', f' id="{made}{r.randint(1, 9)}"', ' class="box"', ' class="row"', ' class="page"'))
+
+
+def _short_part(r: random.Random) -> str:
+    """Short furniture without a telling name: bare, or with names made by a tool; some is like any short text but for its place."""
+    kind = r.choice(list(_SHORT))
+    words = r.choice(_SHORT[kind])
+    while "{}" in words:
+        words = words.replace("{}", _sentence(r, r.randint(1, 3))[:-1], 1)
+    if r.random() < 0.25:
+        words = f'<a href="/x">{words}</a>'
+    name = _made_name(r) if r.random() < 0.7 else ""
+    tag = "header" if kind == "header" and words[:1].isupper() and "|" not in words and words != "Menu" else r.choice({"header": ("header", "div", "p"), "legal": ("footer", "div", "p", "p"), "form": ("form", "div", "p")}.get(kind, ("div", "p", "section", "div")))
+    inner = words if tag == "p" or r.random() < 0.5 else f"<{(t := r.choice(('p', 'span', 'div')))}>{words}</{t}>"
+    return f'<{tag}{name} data-x="1">{inner}</{tag}>'
+
+
+def _hidden_names(r: random.Random, part: str) -> str:
+    """A part with its telling name replaced by one that says nothing, or left out."""
+    return re.sub(r' (?:class|id)="[^"]*" data-x', (_made_name(r) if r.random() < 0.7 else "") + " data-x", part, count=1)
+
+
 def _aside_part(r: random.Random) -> str:
+    y = r.random()
+    return _short_part(r) if y < 0.18 else _hidden_names(r, _named_part(r)) if y < 0.3 else _named_part(r)
+
+
+def _named_part(r: random.Random) -> str:
     """One thing that is not the article; data-x marks it for the labels."""
     kind = r.choice("nav header footer side notice ad form comments related share crumbs legal".split())
     names = {
@@ -366,7 +433,7 @@ def _article(r: random.Random) -> str:
         x = r.random()
         if x < 0.68:
             p = _paragraph(r)
-            parts.append(r.choice((f"<p>{p}</p>", f"<p>{p}", f"<p><i>{_sentence(r, 3)}</i><br>{p}</p>", f"<p><strong>{p}", f"<div>{p}</div>", f'<p>{_sentence(r, 4)} <a href="/x">{_sentence(r, 3)}</a> {p}</p>')))
+            parts.append(r.choice((f"<p>{p}</p>", f"<p>{p}</p>", f"<p{_made_name(r) if r.random() < 0.3 else ''}>{p}</p>", f"<p>{p}", f"<p><i>{_sentence(r, 3)}</i><br>{p}</p>", f"<p><strong>{p}", f"<div>{p}</div>", f'<p>{_sentence(r, 4)} <a href="/x">{_sentence(r, 3)}</a> {p}</p>')))
         elif x < 0.76:
             parts.append(f"<h2>{_sentence(r, 4)}</h2>")
         elif x < 0.82:
@@ -377,14 +444,16 @@ def _article(r: random.Random) -> str:
             parts.append(f"<pre>{_sentence(r, 9)}\n{_sentence(r, 5)}</pre>")
         elif x < 0.95:
             parts.append("<table>" + "".join(f"<tr><td>{_sentence(r, 2)}</td><td>{_sentence(r, 3)}</td></tr>" for _ in range(r.randint(2, 4))) + "</table>")
-        elif x < 0.97:
+        elif x < 0.965:  # license lines and lines with bars inside an article are its own
+            parts.append(f"<p>{r.choice(('All rights reserved.', 'Copyright ' + _sentence(r, 3), _sentence(r, 6) + ' All rights reserved. ' + _sentence(r, 5), ' | '.join(_sentence(r, 1)[:-1] for _ in range(r.randint(3, 12)))))}</p>")
+        elif x < 0.98:
             parts.append(f"<figure><img src=a.png><figcaption>{_sentence(r, 7)}</figcaption></figure>")
         else:
             parts.append(_aside_part(r))
     title = f"<h1>{_sentence(r, r.randint(2, 9))}</h1>" if r.random() < 0.85 or not parts else ""
     open_, close = r.choice((
         ("<article>", "</article>"), ("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"),
-        ('<div class="post-body">', "</div>"), ('<div class="entry"><div class="text">', "</div></div>"), ('<section class="story">', "</section>"), ("<div>", "</div>"), ('<article class="post"><header>' + title + "</header>", "</article>"),
+        (f"<div{_made_name(r)}>", "</div>"), (f"<div{_made_name(r)}>", "</div>"), (f"<section{_made_name(r)}>", "</section>"), ("<div>", "</div>"), ("<td>", "</td>"), ('<div class="post-body">', "</div>"), ('<div class="entry"><div class="text">', "</div></div>"), ('<section class="story">', "</section>"), ("<div>", "</div>"), ('<article class="post"><header>' + title + "</header>", "</article>"),
     ))
     return open_ + ("" if "<header>" in open_ else title) + "".join(parts) + close
 
@@ -401,7 +470,7 @@ def training_pages(n: int, seed: int = 11) -> Iterator[str]:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 500) -> Boosted:
+def model(pages: int = 800) -> Boosted:
     """The trees; made once in a process."""
     xs, ys = [], []
     for html in training_pages(pages):
