@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from copy import copy
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,8 @@ SHRINK = 100.0
 #: Then the rate, what AdaGrad's sums begin with, and how many noise tokens weigh as much as a token.
 CONTEXT, STEP, SAMPLES, STEPS, BLOCK = 2, 1024, (64, 32), 20.0, 1024
 RATE, SQUARE, FAKES = 0.05, 1.0, 10
+#: Bits for a place among the rows that a step changes.
+PLACE_BITS = 20
 #: What the places count for the vectors that they share.
 WEIGHTS = (1.0, 0.2)
 #: Steps after which the mixture's weights follow.
@@ -73,16 +76,18 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+#: By last byte: letters (and bytes beyond ASCII), full stops, commas and others.
+_LAST = [2 * (0 if b > 127 or 97 <= b <= 122 else 1 if b == 46 else 2 if b == 44 else 3) for b in range(256)]
+
+
 def spelling(token: bytes) -> int:
     """The class by spelling, from 0 to TAIL - 1."""
-    if token.isascii():
-        other = 0
-    else:
-        i = next(i for i, b in enumerate(token) if b > 127)
-        other = 1 + (token[i] * 31 + token[i + 1 if i + 1 < len(token) else i]) % 7
-    last = token[-1]
-    kind = 0 if last > 127 or 97 <= last <= 122 else 1 if last == 46 else 2 if last == 44 else 3
-    return (other * 4 + kind) * 2 + (len(token) > 7)
+    return _LAST[token[-1]] + (len(token) > 7) + (0 if token.isascii() else _beyond_ascii(token))
+
+
+def _beyond_ascii(token: bytes) -> int:
+    i = next(i for i, b in enumerate(token) if b > 127)
+    return 8 * (1 + (token[i] * 31 + token[i + 1 if i + 1 < len(token) else i]) % 7)
 
 
 def held_out() -> Column:
@@ -206,7 +211,7 @@ class Large:
         self.__dict__.update(state | {"rows": np.hstack([state["rows"][0].astype(np.float32), state["rows"][1]])})
 
     def predicted(self, place: int, context: np.ndarray) -> np.ndarray:
-        h = self.rows[context] * self.rows[self.u + place]
+        h = self.rows.take(context, 0) * self.rows[self.u + place]
         h[:, -1] = 1
         return h
 
@@ -224,9 +229,9 @@ class Large:
 
     def chances(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Probabilities of after (numbers); before: CONTEXT rows of numbers, the nearest first."""
-        u, q = self.of[before], self.rows[self.u + CONTEXT + after]
-        mix = self.mix[u[0]]
-        p = mix[:, CONTEXT] * self.noise[after]
+        u, q = self.of.take(before), self.rows.take(self.u + CONTEXT + after, 0)
+        mix = self.mix.take(u[0], 0)
+        p = mix[:, CONTEXT] * self.noise.take(after)
         for k in range(CONTEXT):
             p += mix[:, k] * np.exp(np.einsum("ij,ij->i", self.predicted(k, u[k]), q) - self.norm[k, u[k]])
         return p
@@ -265,23 +270,23 @@ class Learner:
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
         m, u, p = self.m, self.m.u, self.m.rows
         fake = np.minimum(np.searchsorted(self.upto, self.rng.random(max(SAMPLES)) * self.upto[-1], "right"), m.v - 1)
-        of = m.of[before]
-        left, places = p[of], p[u : u + CONTEXT][:, None]
+        of = m.of.take(before)
+        left, places = p.take(of.ravel(), 0).reshape(*of.shape, -1), p[u : u + CONTEXT][:, None]
         h = left * places
         h[:, :, -1] = 1
-        q, qf = p[u + CONTEXT + after], p[u + CONTEXT + fake]
+        q, qf = p.take(u + CONTEXT + after, 0), p.take(u + CONTEXT + fake, 0)
         s = np.einsum("kij,ij->ki", h, q)
         g = -1 / (1 + np.exp(np.clip(s - self.shift[after], -30, 30)))
         gh, gf = np.empty_like(h), np.zeros_like(qf)
         for k, (n, weight) in enumerate(zip(SAMPLES, WEIGHTS)):
-            e = h[k] @ qf[:n].T
-            np.subtract(self.shift[fake[:n]], e, out=e)
+            e = qf[:n] @ h[k].T  # noise by tokens: products with either side are fast this way
+            np.subtract(self.shift[fake[:n], None], e, out=e)
             with np.errstate(over="ignore"):  # then the share is 0
                 np.exp(e, out=e)
             e += 1
             np.divide(FAKES / n, e, out=e)
-            np.matmul(e, qf[:n], out=gh[k])
-            gf[:n] += np.float32(weight) * (e.T @ h[k])
+            np.matmul(e.T, qf[:n], out=gh[k])
+            gf[:n] += np.float32(weight) * (e @ h[k])
         gh += g[:, :, None] * q
         gh[:, :, -1] = 0
         self.update(np.arange(u, u + CONTEXT), np.einsum("kij,kij->kj", gh, left))
@@ -294,7 +299,7 @@ class Learner:
 
     def explain(self, nearest: np.ndarray, places: np.ndarray, unigram: np.ndarray) -> None:
         """A step of expectation-maximisation for the mixture's weights, which follow at times."""
-        w = self.m.mix[nearest]
+        w = self.m.mix.take(nearest, 0)
         w[:, :CONTEXT] *= places.T
         w[:, CONTEXT] *= unigram
         w /= w.sum(axis=1, keepdims=True)
@@ -311,12 +316,17 @@ class Learner:
             self.held.clear()
 
     def update(self, at: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(at)
-        at = at[order]
+        keys = at.astype(np.int64) << PLACE_BITS
+        keys |= np.arange(len(at))
+        keys.sort()  # numbers alone sort faster than their places
+        at = keys >> PLACE_BITS
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        rows, g = at[first], np.add.reduceat(g[order], first, axis=0)
-        self.square[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        self.m.rows[rows] -= RATE * g / np.sqrt(self.square[rows])[:, None]
+        rows, g = at.take(first), np.add.reduceat(g.take(keys & ((1 << PLACE_BITS) - 1), 0), first, axis=0)
+        square = self.square.take(rows)
+        square += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.square[rows] = square
+        g *= (np.float32(RATE) / np.sqrt(square))[:, None]
+        self.m.rows[rows] = self.m.rows.take(rows, 0) - g
         self.times[rows] += 1
 
 
@@ -403,13 +413,6 @@ def trained(model: Large, rows: DataFrame) -> Large:
     return out
 
 
-class Places(dict):
-    """Numbers of words; -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def encoded(docs: DataFrame, shared, ends: int) -> DataFrame:
     """A row for each document: uid, doc_id (as a string), held_out, n_tokens, base (sum of log10(c + ADD)
     over tokens in head and the end), known, ids (0 the end, then the words of shared, then the classes by
@@ -418,7 +421,8 @@ def encoded(docs: DataFrame, shared, ends: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
-        place = Places({t: i for i, t in enumerate(table)})
+        place = {t: i for i, t in enumerate(table)}.get
+        first_tail, last = 1 + len(table), _LAST
         of = small_classes(table)
         log = np.log10(np.array([*table.values(), ends]) + ADD)
         seen = np.zeros(CLASSES * CLASSES, np.int64)
@@ -426,12 +430,13 @@ def encoded(docs: DataFrame, shared, ends: int) -> DataFrame:
             out = []
             for uid, doc, held, text in zip(b["uid"], b["doc_id"], b["held_out"], b["text"]):
                 words = tokens(text)
-                at = np.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), len(table))
+                at = np.append(np.fromiter(map(place, words, repeat(-1)), np.int64, len(words)), len(table))
                 seq = np.append(at[:-1] + 1, 0)
                 gaps = np.flatnonzero(at < 0)
-                rare = Counter(words[i] for i in gaps.tolist())
+                odd = [words[i] for i in gaps.tolist()]
+                rare = Counter(odd)
                 if rare:
-                    seq[gaps] = [1 + len(table) + spelling(words[i]) for i in gaps.tolist()]
+                    seq[gaps] = [first_tail + last[t[-1]] + (len(t) > 7) if t.isascii() else first_tail + spelling(t) for t in odd]
                     base = log[at[at >= 0]].sum()
                 else:
                     base = log[at].sum()
