@@ -76,3 +76,20 @@ def test_meeting_keeps_words_and_chances():
         assert abs(sum(s * v for (s, _), v in zip(rows, x)) - total) < 1e-6
         hits = [h + v for h, v in zip(hits, x)]
     assert all(abs(h / n - 0.3) < 0.015 for h in hits), hits
+
+
+def test_small_sources_come_near_their_targets():
+    """A long document that stays open is rounded, and shorter ones make up for it."""
+    import numpy as np
+
+    sizes, x = np.array([5000.0, 800, 300, 120, 60, 30, 11, 5, 2]), np.array([0.42, 0, 1, 0, 0, 0, 0, 1, 0])
+    total = float(sizes @ x)
+    mixing.settle(sizes, x, 0)
+    assert set(x) <= {0.0, 1.0} and abs(sizes @ x - total) == 1077  # 2,100 words are owed, the other documents that can turn have 1,023
+    sizes, x = np.array([50.0, 9, 8, 7, 3, 2, 1]), np.array([0.6, 0, 1, 1, 1, 0, 1])
+    total = float(sizes @ x)
+    mixing.settle(sizes, x, 0)
+    assert abs(sizes @ x - total) <= 1
+    x = np.array([0.5])
+    mixing.settle(np.array([7.0]), x, 0)
+    assert x.tolist() == [1.0]

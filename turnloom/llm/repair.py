@@ -6,18 +6,19 @@ user's or assistant's turn without text) 3; a truncated row that is not deleted
 and duplicates have to go.  Four states (nothing yet, after s, after u, after a) say what may
 follow, and each edit leads from a state to one other, so the edits' initials fix the result.
 
-Rows are dealt to tasks by conversation and sorted there.  A task gathers conversations up to
-``BATCH`` rows, puts those of like length (powers of two) into one tensor, time first, and walks it
-backward: at each time the costs of all states of all conversations in one step.  These costs are
-stored; forward, all conversations take at each time the least letter that keeps the least cost.
+Rows that repeat an earlier one are found by a window over conversation, role and text.  Then rows are dealt to
+tasks by conversation and sorted there.  A task gathers conversations up to ``BATCH`` rows, puts those of like
+length (powers of two) into one tensor, time first, and walks it backward: at each time the costs of all states of
+all conversations in one step.  These costs are stored, each less the least of its time, so that a byte holds one;
+forward, all conversations take at each time the least letter that keeps the least cost.
 
 Defined cases: nulls of role and text are one space, so such rows are blank; rows without a turn come
 first; rows of one turn are in order of role and text; a null conv_id is one conversation.  Repeated
 rows are duplicates.  An empty table gives no rows.  A conversation without rows gives zeros, an empty
 audit and the hash of the empty string.  Roles that begin with none of s, u, a can't be kept.  Very
-long texts are whole rows; texts of one conversation beyond ``SPOOL`` bytes lie in an unnamed file of
-the task while it is repaired, so that a conversation of very many rows needs some 100 bytes a row of
-memory.  It stays with one task, as its hash runs over all its text.  Further columns are dropped.
+long texts are whole rows.  A conversation stays with one task, as its hash runs over all its text; texts of one
+conversation beyond ``SPOOL`` bytes lie in an unnamed file of the task meanwhile, so that a conversation of
+very many rows needs some 30 bytes a row of memory.  Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ import hashlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from sys import intern
 from tempfile import SpooledTemporaryFile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import crc_mod
@@ -51,7 +53,8 @@ KEPT["sua".index("a"), USER] = ASSISTANT
 FORCED = np.array([USER, USER, ASSISTANT, USER])
 #: What is missing at the end: nothing, user and assistant, assistant, nothing.
 END = np.array([0, 2 * INSERT, INSERT, 0])
-FAR = 1 << 28
+#: More than any difference of two states' costs.
+FAR = 100
 SOUND, DOOMED, SHORT = range(3)
 
 
@@ -60,39 +63,39 @@ def edits(initials: np.ndarray, faults: np.ndarray, rows: np.ndarray) -> tuple[n
     places in "sua" or 3, faults SOUND, DOOMED or SHORT.  Letters are step by conversation, 0 where a step does nothing."""
     times, n = initials.shape
     every = np.arange(n)
-    costs = np.empty((times + 1, n, 5), np.int32)
-    costs[times, :, :4], costs[:, :, NOWHERE] = END, FAR
-    extra = np.where(faults == SHORT, TRUNCATED, 0).astype(np.int32)[:, :, None]
-    doomed = np.where(faults == DOOMED, FAR, 0).astype(np.int32)[:, :, None]
-    after = KEPT[initials]
+    costs, falls = np.full((times + 1, n, 5), FAR, np.int8), np.zeros((times, n), np.int8)
+    costs[times, :, :4] = END
+    extra = np.array([0, FAR, TRUNCATED, 0], np.int16)  # the last beyond a conversation's end
     for t in range(times - 1, -1, -1):
-        then = costs[t + 1]
-        kept = np.take_along_axis(then, after[t], 1)
-        now = np.minimum(then[:, :4] + DELETE, np.minimum(kept, then[:, FORCED] + REROLE) + extra[t] + doomed[t])
+        then = costs[t + 1].astype(np.int16)
+        kept = np.take_along_axis(then, KEPT[initials[t]], 1)
+        now = np.minimum(then[:, :4] + DELETE, np.minimum(kept, then[:, FORCED] + REROLE) + extra[faults[t]][:, None])
         now[:, [USER, ASSISTANT]] = np.minimum(now[:, [USER, ASSISTANT]], now[:, [ASSISTANT, USER]] + INSERT)
         now[:, [START, SYSTEM]] = np.minimum(now[:, [START, SYSTEM]], now[:, [USER]] + INSERT)
-        costs[t, :, :4] = np.where((t < rows)[:, None], now, then[:, :4])
+        there, least = t < rows, now.min(axis=1)
+        falls[t] = np.where(there, least, 0)
+        costs[t, :, :4] = np.where(there[:, None], now - least[:, None], then[:, :4])
     state, letters = np.zeros(n, int), np.zeros((3 * times + 3, n), np.uint8)
     for t in range(times + 1):
-        there = t < rows
-        ending = t == rows
-        then = costs[min(t + 1, times)]
+        there, ending = t < rows, t == rows
+        own, then = costs[t].astype(np.int16), costs[min(t + 1, times)].astype(np.int16)
+        fall = falls[t].astype(np.int16) if t < times else np.zeros(n, np.int16)
         for k in range(2):
-            cost = costs[t, every, state]
-            dropped = there & (cost == then[every, state] + DELETE)
-            put = (there | ending) & ~dropped & (cost == costs[t, every, FORCED[state]] + INSERT)
+            cost = own[every, state]
+            dropped = there & (cost + fall == then[every, state] + DELETE)
+            put = (there | ending) & ~dropped & (cost == own[every, FORCED[state]] + INSERT)
             letters[3 * t + k, put] = ord("I")
             state = np.where(put, FORCED[state], state)
         if t == times:
             break
-        cost = costs[t, every, state]
+        cost = own[every, state] + fall
         dropped = there & (cost == then[every, state] + DELETE)
-        to = after[t][every, state]
-        kept = there & ~dropped & (cost == then[every, to] + extra[t, :, 0] + doomed[t, :, 0])
+        to = KEPT[initials[t], state]
+        kept = there & ~dropped & (cost == then[every, to] + extra[faults[t]])
         moved = there & ~dropped & ~kept
         letters[3 * t + 2] = np.where(dropped, ord("D"), np.where(kept, ord("K"), np.where(moved, ord("R"), 0)))
         state = np.where(kept, to, np.where(moved, FORCED[state], state))
-    return costs[0, :, START], letters
+    return falls.sum(axis=0, dtype=np.int64) + costs[0, :, START], letters
 
 
 class Talk:
@@ -100,30 +103,30 @@ class Talk:
 
     def __init__(self, key):
         self.key, self.roles, self.initials, self.faults = key, [], array("b"), array("b")
-        self.size, self.text, self.seen, self.turns = array("q"), SpooledTemporaryFile(SPOOL), set(), set()
+        self.size, self.text = array("q"), SpooledTemporaryFile(SPOOL)
+        self.turns, self.first, self.last = 0, None, None  # distinct turns, in order
         self.counts, self.illegal = [0, 0, 0], 0
 
-    def add(self, turn, role: str, text: str, blank: bool, short: bool) -> None:
+    def add(self, turn, role: str, text: str, blank: bool, again: bool, short: bool) -> None:
         raw = text.encode("utf-8", "surrogatepass")
-        print_ = hashlib.blake2b(raw, digest_size=16, key=hashlib.blake2b(role.encode("utf-8", "surrogatepass")).digest()).digest()
-        fault = 0 if blank else 1 if print_ in self.seen else 2 if short else None
+        fault = 0 if blank else 1 if again else 2 if short else None
         if fault is None:
             self.faults.append(SOUND)
         else:
             self.counts[fault] += 1
             self.faults.append(SHORT if fault == 2 else DOOMED)
-        self.seen.add(print_)
         if self.roles and self.roles[-1][:1] + role[:1] not in ("su", "ua", "au"):
             self.illegal += 1
-        self.initials.append(("sua".index(role[:1]) if role[:1] in ("s", "u", "a") else 3))
-        self.roles.append(role)
+        self.initials.append("sua".index(role[:1]) if role[:1] in ("s", "u", "a") else 3)
+        self.roles.append(intern(role))
         self.size.append(len(raw))
         self.text.write(raw)
         if turn is not None:
-            self.turns.add(turn)
+            self.turns += turn != self.last
+            self.first, self.last = turn if self.first is None else self.first, turn
 
     def gaps(self) -> int:
-        return max(self.turns) - min(self.turns) + 1 - len(self.turns) if self.turns else 0
+        return self.last - self.first + 1 - self.turns if self.turns else 0
 
     def repaired(self, audit: bytes) -> Iterator[tuple[str, bytes, str]]:
         """role, text (UTF-8) and edit of each turn that is left."""
@@ -150,14 +153,14 @@ def _talks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Talk]]:
     held: list[Talk] = []
     rows = 0
     for b in batches:
-        for key, turn, role, text, gone, blank, short in zip(*(c.to_pylist() for c in b.columns)):
+        for key, turn, role, text, gone, blank, again, short in zip(*(c.to_pylist() for c in b.columns)):
             if not held or held[-1].key != key:
                 if rows >= BATCH:
                     yield held
                     held, rows = [], 0
                 held.append(Talk(key))
             if not gone:
-                held[-1].add(turn, role, text, blank, short)
+                held[-1].add(turn, role, text, blank, again, short)
                 rows += 1
     if held:
         yield held
@@ -184,8 +187,11 @@ def _sorted(rows: DataFrame) -> DataFrame:
     gone = F.col("gone") if "gone" in rows.columns else F.lit(False)
     df = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role, text, gone.alias("gone"))
     end = F.right(F.rtrim("text", F.lit(BLANKS)), F.lit(1))
-    df = df.select("*", (end == "").alias("blank"), (~end.isin(".", "!", "?")).alias("short"))
-    return df.repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text")
+    same = Window.partitionBy("conv_id", "role", "text", "gone").orderBy(F.asc_nulls_first("turn"))
+    again = F.row_number().over(same) > 1
+    df = df.select("conv_id", "turn", "role", "text", "gone", (end == "").alias("blank"), again.alias("again"), (~end.isin(".", "!", "?")).alias("short"))
+    # of equal rows the one that isn't a repetition comes first
+    return df.repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text", "again")
 
 
 def repair(conversations: DataFrame) -> DataFrame:
