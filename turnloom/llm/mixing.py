@@ -9,7 +9,8 @@ both is 0 or 1.  That keeps the words of the two together exactly and each proba
 Documents are dealt by hash to blocks of some ``BLOCK`` rows inside their source; a block lets its
 documents meet in order of size, the largest first, so that one, mostly a small one, stays open.
 What stays open goes up: blocks of blocks do the same, down to one document for each source, which is
-rounded to the nearer end.  So a source's words miss its target by half a document at most.
+rounded to the nearer end.  That would leave half a long document too much or too little in a small source, so
+documents of the last block that make up for it are turned over, each as long as it brings the sum nearer.
 
 Identical rows (source, id, size) are one row with a count: their certain copies need no meeting and
 their common rest is one probability.  Sums over sources are a row for each source; target shares come
@@ -26,6 +27,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,12 +83,31 @@ def meet(rows: list[tuple[float, float]], chance: random.Random) -> tuple[list[f
     return x, now
 
 
-def _level(docs: DataFrame, level: int) -> DataFrame:
-    """The rows of docs (source_key, block, doc, size, whole, chance) after all of a block have met; open marks what is left."""
+def settle(sizes: np.ndarray, x: np.ndarray, left: int) -> None:
+    """Rounds the row that is open to the nearer end; rows then turn over, that which brings the sum of words nearest first, as long
+    as one brings it nearer."""
+    owed = sizes[left] * x[left]
+    x[left] = float(x[left] >= 0.5)
+    owed -= sizes[left] * x[left]
+    while True:
+        turned = np.flatnonzero((x == (0.0 if owed > 0 else 1.0)) & (sizes < 2 * abs(owed)))
+        if not len(turned):
+            return
+        best = turned[np.argmin(np.abs(sizes[turned] - abs(owed)))]
+        x[best] = 1 - x[best]
+        owed -= sizes[best] * (1 if x[best] else -1)
+
+
+def _level(docs: DataFrame, level: int, last: bool) -> DataFrame:
+    """The rows of docs (source_key, block, doc, size, whole, chance) after all of a block have met; open marks what is left, of the last level none."""
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["size", "doc"], ascending=[False, True], na_position="first", kind="stable").reset_index(drop=True)
         x, left = meet(list(zip(b["size"].tolist(), b["chance"].tolist())), random.Random(f"{level}|{key[0]}|{key[1]}"))
+        x = np.array(x, float)
+        if last and left is not None:
+            settle(b["size"].to_numpy("float64"), x, left)
+            left = None
         b["chance"] = x
         b["open"] = b.index == (-1 if left is None else left)
         return b
@@ -103,14 +124,11 @@ def rounded(docs: DataFrame) -> Iterator[DataFrame]:
     most = docs.agg(F.max(blocks)).first()[0] or 1
     level = 0
     while True:
-        met = stored(_level(now, level), f"mixing{level}")
-        open_ = F.col("open")
+        met = stored(_level(now, level, most == 1), f"mixing{level}")
+        yield met.filter("NOT open").drop("open", "block")
         if most == 1:
-            nearest = F.when(open_, F.when(F.col("chance") >= 0.5, 1.0).otherwise(0.0)).otherwise(F.col("chance"))
-            yield met.withColumn("chance", nearest).drop("open", "block")
             return
-        yield met.filter(~open_).drop("open", "block")
-        now = met.filter(open_).drop("open").withColumn("block", F.expr(f"block div {BLOCK}"))
+        now = met.filter("open").drop("open").withColumn("block", F.expr(f"block div {BLOCK}"))
         most, level = -(-most // BLOCK), level + 1
 
 
