@@ -76,19 +76,23 @@ def unfenced(c: Column) -> Column:
     return F.regexp_replace(F.when(c.rlike(r"(?s)```(?:json)?\s*.*?```"), fenced).otherwise(c), r"^\s+|\s+$", "")
 
 
+def _values(text: Column) -> Column:
+    """The values of a JSON text in brackets, as the parser alone does not mind what follows a value; null where it is bad."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+
+
 def payload_items(df: DataFrame, text: str = "value") -> DataFrame:
     """df with pos and item (JSON text of one object) for each object of a payload: an object with
     samples, a list, one object, or objects line by line, each a sample or with samples; other lines
     (lists among them) and items are dropped."""
     body = unfenced(F.col(text))
-    # in brackets, as the parser alone does not mind what follows a value
-    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    one = F.size(F.try_variant_get(whole, "$", "array<variant>")) == 1
+    one = F.size(_values(body)) == 1
     lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.regexp_replace(F.trim(x), r",+$", "")), lambda x: x != "")
     parts = F.when(one & body.rlike(r"^[\[{]"), F.array(body)).otherwise(lines)
     kept = [c for c in df.columns]
     df = df.select(*kept, one.alias("__one"), F.posexplode(parts).alias("__line", "__part"))
-    v = F.try_parse_json("__part")
+    values = _values(F.col("__part"))
+    v = F.when(F.size(values) == 1, F.get(values, F.lit(0)))
     listed = F.col("__part").startswith("[")
     many = F.when(listed, F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(F.expr("try_variant_get(v, '$.samples', 'array<variant>')"))
     df = df.withColumn("v", v).filter(F.col("v").isNotNull() & (F.coalesce("__one", F.lit(False)) | ~listed))
