@@ -115,6 +115,17 @@ def test_heads_of_hot_groups(spark, monkeypatch, n):
     assert capped.count() == 4000
 
 
+@pytest.mark.parametrize("cap", [3, 10, 57, 200, 5000])
+def test_caps_of_many_buckets(spark, monkeypatch, cap):
+    """The plan by prefix sums takes what the plan on the driver takes."""
+    chance = random.Random(9)
+    rows = [(i, chance.choice(["p", "q", None, *"abcdefgh"[: 1 + i % 8]])) for i in range(300)]
+    df, quota = spark.createDataFrame(rows, "id long, b string"), {("p",): 20, ("q",): 3, (None,): 9, ("a",): 30, ("zz",): 5}
+    one = sorted(r["id"] for r in sample.capped(df, ["b"], quota, cap, "id").collect())
+    monkeypatch.setattr(sample, "FEW_BUCKETS", 2)
+    assert sorted(r["id"] for r in sample.capped(df, ["b"], quota, cap, "id").collect()) == one and len(one) == min(cap, 300)
+
+
 def test_few_shots_of_every_bucket(spark):
     chance = random.Random(4)
     rows = [(i, chance.choice(["d", "e", None]), chance.choice([True, False, None]), chance.randrange(1, 5)) for i in range(120)] + [(900 + i, "only", True, 2) for i in range(9)]
@@ -298,3 +309,64 @@ def test_service_reply_is_json_free_of_rate(spark):
     naps = []
     assert hooks.service(["k"], lambda c, p: (_ for _ in ()).throw(RuntimeError("failed to generate")), tries=3, sleep=naps.append)("x") is None
     assert naps == [0.5, 1.0] and json.dumps(naps)
+
+
+# --- payloads as a data source ----------------------------------------------------------------
+
+SHAPES = {
+    "a.json": '{"samples": [{"rewrite": "é"}, 3, {"rewrite": "b", "n": 1.5}]}', "b.txt": ' [{"rewrite": "c"}, [1], {"rewrite": "d"}] ', "c.json": '{"rewrite": "e"}', "d.txt": 'x\n{"rewrite": "f"},\n\n[{"rewrite": "no"}]\n{"samples": [{"rewrite": "g"}]}\n{"a": 1, "a": 2}\n{"a": NaN}',
+    "e.md": 'Here:\n```json\n{"samples": [{"rewrite": "h"}]}\n```\n{"rewrite": "no"}', "f.json": "", "g.txt": "[", "_h.json": '{"rewrite": "hidden"}', "i.json": '{"rewrite": "j"} {"rewrite": "k"}', "k.txt": "```\n[]\n```",
+}
+
+
+def test_payload_source_reads_as_the_expressions_do(spark, tmp_path):
+    from turnloom.sources import payloads
+
+    payloads.register(spark)
+    for name, text in SHAPES.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    whole = ingest.payload_items(ingest.whole_files(spark, [str(tmp_path / n) for n in SHAPES if n[0] != "_"]))
+    want = sorted((r["file"].split("/")[-1], r["pos"], json.loads(r["item"])["rewrite"] if "rewrite" in r["item"] else r["item"]) for r in whole.collect())
+    for size in ("1", "134217728"):
+        got = spark.read.format("payloads").option("partitionBytes", size).load(str(tmp_path))
+        assert sorted((r["file"].split("/")[-1], r["pos"], json.loads(r["item"])["rewrite"] if "rewrite" in r["item"] else r["item"]) for r in got.collect()) == want
+    assert [w[2] for w in want] == ["é", "b", "c", "d", "e", "f", "g", "h"]
+    assert spark.read.format("payloads").option("glob", "c*").load(str(tmp_path)).count() == 1
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("payloads").load(str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 10_000])
+def test_lines_are_cut_by_bytes_and_none_is_lost(spark, tmp_path, step):
+    from turnloom.sources import payloads
+
+    payloads.register(spark)
+    rows = [f'{{"rewrite": "é{i}{"x" * (i % 11)}"}}' + ("," if i % 3 == 0 else "") for i in range(60)] + ["bad", "", '{"rewrite": "last"}']
+    (tmp_path / "p.jsonl").write_text("\n".join(rows) + ("\n" if step == 7 else ""), encoding="utf-8")
+    for small in (1, 5, 1 << 20):
+        with open(tmp_path / "p.jsonl", "rb") as f:
+            size = len(f.read())
+            got = [x for at in range(0, size, step) for x in payloads.lines_of(f, at, min(at + step, size), small)]
+        assert [t for _, t in got] == [r for r in rows if r]
+    if step > 7:
+        df = spark.read.format("payloads").option("partitionBytes", str(step)).load(str(tmp_path))
+        assert [json.loads(r["item"])["rewrite"] for r in df.orderBy("pos").collect()] == [json.loads(r.rstrip(","))["rewrite"] for r in rows if r not in ("bad", "")]
+
+
+def test_payload_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from turnloom.sources import payloads
+
+    payloads.register(spark)
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+
+    def run(*names):
+        for n in names:
+            (folder / n).write_text(f'{{"samples": [{{"rewrite": "{n}1"}}, {{"rewrite": "{n}2"}}]}}')
+        stream = spark.readStream.format("payloads").load(str(folder))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(json.loads(r["item"])["rewrite"] for r in spark.read.schema("file string, pos long, item string").parquet(out).collect())
+
+    assert run("a.json") == ["a.json1", "a.json2"]
+    assert run() == ["a.json1", "a.json2"]
+    assert run("b.json", "c.json") == [f"{n}.json{k}" for n in "abc" for k in (1, 2)]

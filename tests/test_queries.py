@@ -14,7 +14,7 @@ def con():
 
 
 def test_all_have_sql():
-    assert set(QUERIES) == set(SQL) and len(QUERIES) == 69
+    assert set(QUERIES) == set(SQL) and len(QUERIES) == 77
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

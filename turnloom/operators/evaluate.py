@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import percent
+from ..storage import stored
 
 
 def models_by_records(models: list[str], records: DataFrame) -> DataFrame:
@@ -40,9 +41,9 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def shares(df: DataFrame, *by: str) -> DataFrame:
-    """Counts with their share of all rows and that as a text; a row for each group is held, not the rows."""
-    got = df.groupBy(*by).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
+    """Counts with their share of all rows and that as a text; rows are counted once, and their sum is one number."""
+    got = stored(df.groupBy(*by).agg(F.count("*").alias("n")), "shares")
+    share = F.col("n") / F.lit(got.agg(F.sum("n")).first()[0])
     return got.withColumn("share", share).withColumn("percent", percent(share))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed
+from ..storage import stored
+from .rowids import running
 
 #: The share of samples that need context, and how many user turns samples have.
 CONTEXT_SHARE = 2 / 3
@@ -138,6 +140,11 @@ def batches_needed(deficit: int, size: int, oversample: float) -> int:
     return max(1, int((deficit * oversample + size - 1) // size))
 
 
+def batches(deficit: Column, size: int, oversample: float) -> Column:
+    """``batches_needed`` for each row."""
+    return F.greatest(F.lit(1).cast("long"), F.floor((deficit * oversample + (size - 1)) / size))
+
+
 def samples_per_call(user_turns: Column, default: int = 4, long: int = 2) -> Column:
     return F.when(user_turns >= 4, long).when(user_turns == 3, 3).otherwise(default)
 
@@ -157,16 +164,34 @@ def cap_plan(sizes: list[tuple[tuple, int]], quota: dict[tuple, int], cap: int)
     return got
 
 
+def cap_takes(sizes: DataFrame, cap: int) -> DataFrame:
+    """``cap_plan`` where there are many buckets: sizes (n, first, quota) with take.  What stands before a bucket in the order of its
+    spare rows comes from prefix sums, so no task and not the driver sees all buckets."""
+    got = sizes.withColumn("take", F.least("n", F.coalesce("quota", F.lit(0).cast("long"))))
+    missing = cap - (got.agg(F.sum("take")).first()[0] or 0)
+    got = got.withColumn("spare", F.col("n") - F.col("take") if missing > 0 else F.col("take"))
+    got = running(got, [F.desc("spare"), F.asc("first")], "spare", "before")
+    step = F.least(F.col("spare"), F.greatest(F.lit(0), F.lit(abs(missing)) - F.col("before")))
+    return got.withColumn("take", F.col("take") + step if missing > 0 else F.col("take") - step).drop("spare", "before", "quota")
+
+
 def capped(df: DataFrame, bucket: list[str], quota: dict[tuple, int], cap: int, order: str) -> DataFrame:
     """At most cap rows, by cap_plan; in a bucket the first by order."""
-    sizes = df.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy("first").collect()  # a row for each bucket
-    plan = cap_plan([(tuple(r[c] for c in bucket), r["n"]) for r in sizes], quota, cap)
-    if not plan:
-        return df.limit(0)
     kinds = dict(df.dtypes)
-    takes = df.sparkSession.createDataFrame([(*k, v) for k, v in plan.items()], ", ".join(f"`{c}` {kinds[c]}" for c in bucket) + ", take int")
-    takes = F.broadcast(takes) if len(plan) <= FEW_BUCKETS else takes
-    return heads(df, bucket, max(plan.values()), [order], "rn").join(takes, bucket).filter("rn <= take").select(*df.columns)
+    names = ", ".join(f"`{c}` {kinds[c]}" for c in bucket)
+    sizes = stored(df.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(order).alias("first")), "capped")
+    spark, few = df.sparkSession, sizes.count() <= FEW_BUCKETS
+    if few:
+        rows = sizes.orderBy("first").collect()
+        plan = cap_plan([(tuple(r[c] for c in bucket), r["n"]) for r in rows], quota, cap)
+        takes = spark.createDataFrame([(*k, v) for k, v in plan.items()], f"{names}, take long")
+    else:
+        quotas = spark.createDataFrame([(*k, v) for k, v in quota.items()], f"{names}, quota long")
+        takes = stored(cap_takes(_joined(sizes, quotas, bucket, "left"), cap).select(*bucket, "take"), "capped")
+    most = takes.agg(F.max("take")).first()[0]
+    if not most:
+        return df.limit(0)
+    return _joined(heads(df, bucket, most, [order], "__rn"), F.broadcast(takes) if few else takes, bucket).filter("__rn <= take").select(*df.columns)
 
 
 def few_shots(pool: DataFrame, context_required: bool, user_turns: int, k: int, order: str, salt: str = "shots") -> DataFrame:

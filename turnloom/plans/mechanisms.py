@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import hooks, storage
 from ..functions import text as X
-from ..operators import align, bloom, dedup, evaluate, rowids, sample, validate
+from ..operators import align, bloom, dedup, dialogue, evaluate, rowids, sample, validate
 from ..schema import PATTERNS
-from ..sources import ingest, sinks
+from ..sources import ingest, payloads, sinks
 from ..sources.publish import Store
 from ..streaming import keyed
-from .queries import QUERIES, SAMPLES, SQL, USERS, _SCORE, big, h, inside, marker, norm, numbers, query, samples, strip, table, tokens
+from .queries import _LF, QUERIES, SAMPLES, SQL, USERS, _SCORE, big, conversations_records, h, inside, marker, norm, numbers, query, samples, split_rows, strip, table, tokens
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -182,3 +182,96 @@ def q69_domains_markers_scores(spark, sf):
         "conv_id", X.coerce_domain(name, F.col("domain")).alias("domain"), X.has_marker(F.col("last_user"), X.COMPOUND_MARKERS).alias("compound"), big(X.token_count(F.col("last_user"))).alias("tokens"),
         big(sample.samples_per_call(F.col("user_turns"))).alias("samples"), big(X.score_of(reply)).alias("score"),
     )
+
+
+_LINE = """CASE conv_id % 4 WHEN 0 THEN '{"samples": [{"rewrite": "r' || conv_id || '-0"}, 3, {"rewrite": "r' || conv_id || '-1"}]}' WHEN 1 THEN ' {"rewrite": "r' || conv_id || '-0"}, ' WHEN 2 THEN 'no json ' || conv_id ELSE '[{"rewrite": "r' || conv_id || '"}]' END"""
+
+
+@query("SELECT conv_id, 'r' || conv_id || '-' || k AS rewrite FROM (SELECT conv_id, unnest(CASE conv_id % 4 WHEN 0 THEN [0, 1] ELSE [0] END) AS k FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 4 < 2)")
+def q70_payload_source(spark, sf):
+    """Payload lines of conversations, good and bad, written as text and read through the data source, whose partitions are cut by bytes."""
+    place = storage.place(spark, "payloads")
+    ids = table(spark, sf, "conversations").select("conv_id").distinct()
+    ids.select(F.expr(_LINE).alias("value")).write.text(place)
+    payloads.register(spark)
+    items = spark.read.format("payloads").option("lines", "true").option("partitionBytes", str(8 << 20)).load(place)
+    got = ingest.samples(items).select("rewrite")
+    return got.select(F.regexp_extract("rewrite", r"^r(\d+)-", 1).cast("long").alias("conv_id"), "rewrite")
+
+
+_OVER = "(VALUES (true, 2, 12), (true, 3, 9), (false, 1, 6), (false, 2, 5))"
+
+
+@query(f"""{SAMPLES}, g AS (SELECT context_required, user_turns, count(*) AS n, min(conv_id) AS first FROM s GROUP BY 1, 2),
+  t AS (SELECT g.*, least(n, coalesce(quota, 0)) AS take FROM g LEFT JOIN {_OVER} q(context_required, user_turns, quota) USING (context_required, user_turns)),
+  f AS (SELECT *, sum(take) OVER () - 8 AS extra, coalesce(sum(take) OVER (ORDER BY take DESC, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+  k AS (SELECT *, take - greatest(0, least(take, extra - before)) AS final FROM f), r AS (SELECT conv_id, context_required, user_turns, row_number() OVER (PARTITION BY context_required, user_turns ORDER BY conv_id) AS rn FROM s)
+  SELECT conv_id, context_required, user_turns::BIGINT AS user_turns FROM r JOIN k USING (context_required, user_turns) WHERE rn <= final""")
+def q71_capped_over_quota(spark, sf):
+    """A cap below the sum of the quotas: the largest buckets are trimmed first."""
+    quota = {(True, 2): 12, (True, 3): 9, (False, 1): 6, (False, 2): 5}
+    return sample.capped(samples(spark, sf).select("conv_id", "context_required", "user_turns"), ["context_required", "user_turns"], quota, 8, "conv_id").withColumn("user_turns", big("user_turns"))
+
+
+@query(SQL["q24_split_sizes"])
+def q72_split_files(spark, sf):
+    """Splits written as a folder each, with a line cut off in one; read back, bad lines dropped."""
+    place = storage.place(spark, "splits")
+    sinks.by_split(split_rows(spark, sf), place)
+    spark.range(1).select(F.lit('{"doc_id": 1, "str').alias("value")).write.mode("append").text(f"{place}/split=test")
+    rows = ingest.jsonl(spark, place, "doc_id long, stratum string, split string", "tolerant")
+    return evaluate.distribution(rows.filter("doc_id IS NOT NULL"), "split")
+
+
+@query(f"""{_LF}, x AS (SELECT lf.conv_id, s.* EXCLUDE (conv_id) FROM lf JOIN s USING (conv_id)), m AS (SELECT conv_id, {strip('rewrite')} AS rewrite, domain, CASE WHEN conv_id % 3 = 0 THEN true ELSE context_required END AS context_required, len({USERS}) AS user_turns, 1 AS source_rank FROM x WHERE conv_id % 2 = 1)
+  SELECT * FROM m UNION ALL SELECT conv_id, rewrite, domain, context_required, user_turns, 0 FROM s WHERE conv_id % 2 = 0""")
+def q73_seed_pool(spark, sf):
+    """Curated samples and, after them, records converted to samples; context_required is true where meta has none."""
+    kept = samples(spark, sf)
+    meta = F.struct(F.lit(None).cast("string").alias("intent"), "pattern", "domain", F.when(F.col("conv_id") % 3 != 0, F.col("context_required")).alias("context_required")).alias("meta")
+    records = conversations_records(spark, sf).filter("conv_id % 2 = 1").select("conv_id", "conversations", meta)
+    of_records = dialogue.seed_samples(records.withColumn("meta", F.col("meta").withField("pattern", F.col("conv_id").cast("string"))))  # the number travels as the pattern
+    curated = kept.filter("conv_id % 2 = 0").select("turns", "rewrite", "domain", "context_required", F.col("conv_id").cast("string").alias("pattern"), "user_turns", F.size("turns").alias("total_turns"))
+    pool = dedup.union_all(curated, of_records)
+    return pool.select(F.col("pattern").cast("long").alias("conv_id"), "rewrite", "domain", "context_required", big("user_turns").alias("user_turns"), big("source_rank").alias("source_rank"))
+
+
+@query(f"""{_LF} SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split, array_to_string(list_transform(c, lambda x: CASE x['from'] WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x['from'] END), ',') AS roles FROM lf""")
+def q74_training_messages(spark, sf):
+    """Records in two files as a trainer reads them: conversations renamed, other columns gone."""
+    place = storage.place(spark, "train")
+    number = F.transform("conversations", lambda x, i: F.struct(x["from"].alias("from"), F.when(i == 0, F.col("conv_id").cast("string")).otherwise(x["value"]).alias("value")))
+    records = conversations_records(spark, sf).select("conv_id", number.alias("conversations"), F.struct("domain").alias("meta"))
+    for name, of in (("train", "conv_id % 5 <> 0"), ("valid", "conv_id % 5 = 0")):
+        sinks.jsonl(records.filter(of).drop("conv_id"), f"{place}/{name}")
+    got = ingest.training(spark, f"{place}/train", f"{place}/valid")
+    return got.select(F.get("messages", F.lit(0))["content"].cast("long").alias("conv_id"), "split", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"))
+
+
+@query(f"{SAMPLES} SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS row_id FROM s QUALIFY (row_number() OVER (ORDER BY conv_id) - 1) % 3 <> 1")
+def q75_rows_without_an_answer(spark, sf):
+    """Resume by row number: rows that the cache of answers lacks."""
+    rows = rowids.numbered(samples(spark, sf).select("conv_id"), ["conv_id"])
+    cache = rows.filter("row_id % 3 = 1").select("row_id", F.lit("answer").alias("reply"))
+    return hooks.uncached(rows, cache, ["row_id"]).select("conv_id", "row_id")
+
+
+@query("SELECT conv_id, count(*) FILTER (role <> 'system') AS turns, sum(length(text)) FILTER (role <> 'system')::BIGINT AS chars FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role <> 'system') > 0")
+def q76_comparison_file(spark, sf):
+    """Dialogues written for comparison without their system messages, by a file that blank lines were added to."""
+    place = storage.place(spark, "comparison")
+    c = table(spark, sf, "conversations")
+    rows = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("dialogue"))
+    sinks.comparison(rows, place)
+    spark.range(3).select(F.lit("\t ").alias("value")).write.mode("append").text(place)
+    there = ingest.existing(spark, [place, f"{place}-missing"])  # what is not there is left out
+    got = ingest.jsonl(spark, there, "conv_id long, dialogue array<struct<role:string,content:string>>", "blanks").filter(F.size("dialogue") > 0)
+    return got.select("conv_id", big(F.size("dialogue")).alias("turns"), F.aggregate("dialogue", F.lit(0).cast("long"), lambda a, t: a + F.char_length(t["content"])).alias("chars"))
+
+
+@query(f"""{SAMPLES}, p AS (SELECT pattern, count(*) AS have FROM s GROUP BY pattern) SELECT pattern, have, greatest(0, 40 - have)::BIGINT AS deficit, CASE WHEN have < 40 THEN greatest(1, floor(((40 - have) * 2.5 + 7) / 8))::BIGINT ELSE 0 END AS batches FROM p""")
+def q77_batches_by_pattern(spark, sf):
+    """Batches of eight that each pattern still needs for forty samples."""
+    have = evaluate.distribution(samples(spark, sf), "pattern").withColumnRenamed("n", "have")
+    need = F.greatest(F.lit(0).cast("long"), F.lit(40) - F.col("have"))
+    return have.select("pattern", "have", need.alias("deficit"), F.when(need > 0, sample.batches(need, 8, 2.5)).otherwise(0).cast("long").alias("batches"))

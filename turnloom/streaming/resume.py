@@ -27,7 +27,7 @@ def waves(source: DataFrame, path: str, checkpoint: str, key: list[str], order:
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")  # once, so that there is a table
         old = accepted(spark, path, schema, n)
         new = not_in(first_wins(batch, key, order), old, key)
         if quota is not None:
