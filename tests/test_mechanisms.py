@@ -149,7 +149,7 @@ def stepped(spark, at, waves, quota):
     for rows in waves:
         if rows is not None:
             spark.createDataFrame(rows, ROWS).repartition(2).write.mode("append").parquet(f"{at}/in")
-        keyed.waves(spark.readStream.schema(ROWS).parquet(f"{at}/in"), f"{at}/out", f"{at}/mark", ["k"], ["id"], ["b"], quota).awaitTermination()
+        keyed.waves(spark.readStream.schema(ROWS).parquet(f"{at}/in"), f"{at}/out", f"{at}/mark", ["k"], ["id"], ["b"], quota, bands=4).awaitTermination()
         out.append(sorted(r["id"] for r in spark.read.schema(ROWS).parquet(f"{at}/out").collect()))
     return out
 
