@@ -223,8 +223,8 @@ def q72_split_files(spark, sf):
     return evaluate.distribution(rows.filter("doc_id IS NOT NULL"), "split")
 
 
-@query(f"""{_LF}, x AS (SELECT lf.conv_id, s.* EXCLUDE (conv_id) FROM lf JOIN s USING (conv_id)), m AS (SELECT conv_id, {strip('rewrite')} AS rewrite, domain, CASE WHEN conv_id % 3 = 0 THEN true ELSE context_required END AS context_required, len({USERS}) AS user_turns, 1 AS source_rank FROM x WHERE conv_id % 2 = 1)
-  SELECT * FROM m UNION ALL SELECT conv_id, rewrite, domain, context_required, user_turns, 0 FROM s WHERE conv_id % 2 = 0""")
+@query(f"""{_LF}, x AS (SELECT lf.conv_id, s.* EXCLUDE (conv_id) FROM lf JOIN s USING (conv_id)), m AS (SELECT conv_id, {strip('rewrite')} AS rewrite, domain, CASE WHEN conv_id % 3 = 0 THEN true ELSE context_required END AS context_required, len({USERS})::BIGINT AS user_turns, 1::BIGINT AS source_rank FROM x WHERE conv_id % 2 = 1)
+  SELECT * FROM m UNION ALL SELECT conv_id, rewrite, domain, context_required, user_turns::BIGINT, 0::BIGINT FROM s WHERE conv_id % 2 = 0""")
 def q73_seed_pool(spark, sf):
     """Curated samples and, after them, records converted to samples; context_required is true where meta has none."""
     kept = samples(spark, sf)
