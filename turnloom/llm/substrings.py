@@ -114,15 +114,24 @@ def ends(words: list[int]) -> list[int]:
     return out
 
 
-def runs(text: str | None) -> tuple[list[tuple[int, int]], int]:
+def hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Two parts of the hash of each span (the spans begin at the sentences 0, 1, 2 ...), and how many sentences there are."""
-    import xxhash
+    from xxhash import xxh3_64_digest, xxh3_128_digest
 
     words, heads, _ = cut(text)
-    parts = list(zip(heads, [*heads[1:], len(words)]))
-    codes = [xxhash.xxh3_64_digest(" ".join(words[s:e]).encode("utf-8", "surrogatepass")) for s, e in parts]
-    hashes = [xxhash.xxh3_128_intdigest(b"".join(codes[i:j])) for i, j in enumerate(ends([e - s for s, e in parts]))]
-    return [((h & (1 << 64) - 1) - (1 << 63), (h >> 96) - (1 << 31)) for h in hashes], len(parts)
+    tails = [*heads[1:], len(words)]
+    codes = [xxh3_64_digest(" ".join(words[s:e]).encode("utf-8", "surrogatepass")) for s, e in zip(heads, tails)]
+    joined = b"".join(codes)
+    digests = b"".join([xxh3_128_digest(joined[8 * i : 8 * j]) for i, j in enumerate(ends([e - s for s, e in zip(heads, tails)]))])
+    h = np.frombuffer(digests, ">u8").reshape(-1, 2)
+    low = (h[:, 1].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    return low, ((h[:, 0] >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32), len(heads)
+
+
+def runs(text: str | None) -> tuple[list[tuple[int, int]], int]:
+    """``hashes`` as pairs of numbers."""
+    a, b, n = hashes(text)
+    return list(zip(a.tolist(), b.tolist())), n
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -131,11 +140,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("n int, a array<long>, b array<int>")
     def found(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            own, n = runs(t)
-            rows.append((n, [a for a, _ in own], [b for _, b in own]))
-        return pd.DataFrame(rows, columns=["n", "a", "b"])
+        a, b, n = zip(*map(hashes, texts)) if len(texts) else ((), (), ())
+        return pd.DataFrame({"n": pd.Series(n, dtype="int32"), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), found("text").alias("r"))
 
