@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, looked_up, stored
+from .shared import ascii_lower, looked_up, merged, stored
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -97,7 +97,7 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limits: tuple[
     found = reduce(DataFrame.unionByName, [scan.join(F.broadcast(chunks.filter(F.pmod("h", F.lit(passes)) == p)), "h", "left_semi") for p in range(passes)])
     places = stored(found.groupBy("a", "b").agg(F.collect_set(F.struct("l", "at")).alias("c")), "decontam-places")
     texts = looked_up(docs.select(*_text_key(), "text", F.monotonically_increasing_id().alias("row")), places.select("a", "b"), ["a", "b"], "left_semi", BROADCAST_HITS, F.col("row"))
-    texts = texts.select("a", "b", "text").dropDuplicates(["a", "b"]).join(places, ["a", "b"]).select("a", "b", "c", words(F.col("text")).alias("w"))
+    texts = texts.select("a", "b", "text").dropDuplicates(["a", "b"]).join(merged(places), ["a", "b"]).select("a", "b", "c", words(F.col("text")).alias("w"))
     first, last = "greatest(0, c.at + (c.l + 1) div 2 - c.l)", "least(c.at, size(w) - c.l)"
     around = F.expr(f"flatten(transform(c, c -> if({last} >= {first}, transform(sequence(int({first}), int({last})), s -> struct(s, c.l as l, array_join(slice(w, s + 1, c.l), ' ') as window)), array())))")
     spread = texts.select("a", "b", F.size("w").alias("n"), F.explode(F.array_distinct(around)).alias("x")).select("a", "b", "n", "x.s", "x.l", "x.window")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cleanup, shared_dir, stored
 
-__all__ = ["arrow_batches", "ascii_lower", "cleanup", "crc_mod", "few", "joined_by_size", "looked_up", "shared_dir", "space_words", "stored", "table"]
+__all__ = ["arrow_batches", "ascii_lower", "cleanup", "crc_mod", "few", "joined_by_size", "looked_up", "merged", "shared_dir", "space_words", "stored", "table"]
 
 #: Rows in a batch that goes to Python.  Texts can be long, so batches are short.
 ARROW_ROWS = 400
@@ -33,13 +33,20 @@ def few(df: DataFrame, rows: int) -> bool:
     return df.count() <= rows
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that shuffles both sides, whatever Spark takes its size for.  Spark sizes a stored table by its
+    compressed file and leaves out what an explode adds, so of itself it may broadcast a table far above its threshold
+    and end the driver.  What is broadcast here is said so and bounded by its rows."""
+    return df.hint("merge")
+
+
 def looked_up(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, salt: Column, salts: int = 16) -> DataFrame:
     """left with what right (a stored table) has for it: right is broadcast up to so many rows; beyond that it is
     dealt to salts copies, so that the rows of a hot key, told apart by salt, meet in as many tasks."""
     if few(right, rows):
         return left.join(F.broadcast(right), on, how)
     dealt = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(dealt, [*on, "__salt"], how).drop("__salt")
+    return left.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(merged(dealt), [*on, "__salt"], how).drop("__salt")
 
 
 #: Rows of one key above which it is joined by a broadcast of its row: of n rows at most n / HOT keys have so many.
@@ -50,7 +57,7 @@ def joined_by_size(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """left joined with right (a row for each key of on, which is not null, and n, the rows that left has for it): keys
     with many rows by broadcast, so that no task meets them all, others in a shuffle.  n is dropped."""
     many, few_ = right.filter(F.col("n") > HOT).drop("n"), right.filter(F.col("n") <= HOT).drop("n")
-    return left.join(F.broadcast(many), on).unionByName(left.join(few_, on))
+    return left.join(F.broadcast(many), on).unionByName(left.join(merged(few_), on))
 
 
 def ascii_lower(text: Column) -> Column:

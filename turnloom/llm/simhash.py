@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, joined_by_size, stored
+from .shared import arrow_batches, joined_by_size, merged, stored
 
 SHINGLE = 3
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, *kee
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs a, b of the distinct values fp that differ in 1 to 3 bits; each pair at least once."""
+    """Pairs a, b of the distinct values fp that differ in 1 to 3 bits; each pair at least once.  A value gives 66 rows."""
     if not 0 < bits <= 3:
         raise ValueError("two halves allow for 1 to 3 bits")
     half = F.when(F.col("seg") == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
@@ -84,7 +84,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     a = rows.filter("whole or not set").select("key", "whole", F.col("fp").alias("a"))
     b = rows.filter("whole or set").select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, bits)
-    return a.join(b, "key").filter(near & (~F.col("whole") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return a.join(merged(b), "key").filter(near & (~F.col("whole") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int
 def rooted(nodes: DataFrame, bits: int) -> DataFrame:
     """nodes (fp, n and others) with root, the least fingerprint that theirs reaches."""
     roots = components(links(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
-    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return nodes.join(merged(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS) -> DataFrame:
@@ -134,12 +134,12 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int =
     stay = stored(rooted(nodes, bits).groupBy("root").agg(F.min("best").alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.h").alias("__h")), "near-kept")
     docs = docs.withColumn("__hash", F.xxhash64("text"))
     on = lambda df: F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
-    left = docs.join(stay, on(docs), "left_semi")
+    left = docs.join(merged(stay), on(docs), "left_semi")
     again = stored(rows.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).count().filter("count > 1").select("__id", "__h"), "near-repeated")
     if again.isEmpty():
         return left.drop("__hash")
-    once = left.join(again, on(left), "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return left.join(again, on(left), "left_anti").unionByName(once).drop("__hash")
+    once = left.join(merged(again), on(left), "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return left.join(merged(again), on(left), "left_anti").unionByName(once).drop("__hash")
 
 
 def op9(docs: DataFrame) -> DataFrame:
