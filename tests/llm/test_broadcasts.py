@@ -28,6 +28,12 @@ def test_near_dedup(spark, small_broadcasts):
     assert left.count() == 10_000 and left.filter("doc_id >= 10000").isEmpty()
 
 
+def test_simhash(spark, small_broadcasts):
+    got = simhash.op9(_many(spark, 10_000))
+    assert got.count() == 11_000
+    assert got.filter("doc_id >= 10000 and component_id = doc_id - 10000").count() == 1_000
+
+
 def test_places_in_decontamination(spark):
     """Of the texts with places, and of them alone, the keys are broadcast and not the places; the windows are."""
     item = " ".join(f"v{i}" for i in range(13))
