@@ -16,6 +16,18 @@ def small_broadcasts(spark):
     spark.conf.set(key, before)
 
 
+@pytest.fixture
+def taken_for_small(spark):
+    """Spark takes every table for small enough to broadcast, and none above 64 KB can be."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "8g", "spark.sql.maxBroadcastTableSize": "64k"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def _many(spark, n):
     """So many documents with fingerprints of their own, and copies of every tenth."""
     word = lambda k: F.concat(F.lit("w"), F.hex(F.xxhash64("id", F.lit(k))))
@@ -34,6 +46,23 @@ def test_simhash(spark, small_broadcasts):
     assert got.filter("doc_id >= 10000 and component_id = doc_id - 10000").count() == 1_000
 
 
+def test_simhash_at_any_size_taken(spark, taken_for_small):
+    """Copies alone, so that the joins that give documents their components hold all rows."""
+    got = simhash.op9(_many(spark, 5_000))
+    assert got.count() == 5_500
+    assert got.filter("component_id = if(doc_id >= 5000, doc_id - 5000, doc_id)").count() == 5_500
+
+
+def test_components_at_any_size_taken(spark, taken_for_small):
+    """Chains of four nodes, and one hub."""
+    at = spark.range(5_000).withColumn("at", F.col("id") * 4)
+    chains = [at.select((F.col("at") + i).alias("a"), (F.col("at") + i + 1).alias("b")) for i in range(3)]
+    hub = spark.range(1, 5_000).select(F.lit(100_000).cast("long").alias("a"), (F.col("id") + 100_000).alias("b"))
+    got = simhash.components(chains[0].unionByName(chains[1]).unionByName(chains[2]).unionByName(hub))
+    assert got.count() == 25_000
+    assert got.filter("root = if(node >= 100000, 100000, node - node % 4)").count() == 25_000
+
+
 def test_places_in_decontamination(spark):
     """Of the texts with places, and of them alone, the keys are broadcast and not the places; the windows are."""
     item = " ".join(f"v{i}" for i in range(13))
